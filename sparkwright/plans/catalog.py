@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_profile  # noqa: F401
+from . import q_profile, q_relational  # noqa: F401
 from .common import REGISTRY, tbl  # noqa: F401
 
 ENTRY_QUERY = "q_wide_row"
