@@ -70,18 +70,16 @@ def array_len(col: str | Column) -> Column:
     return F.size(_c(col)).cast("long")
 
 
-def normalise_array(col: str | Column, mode: str = "total") -> Column:
-    """Term frequencies from counts.
+def normalise_array(col: str | Column, total: str | Column | None = None) -> Column:
+    """N21/T9 on an array of counts: each count divided by ``total``.
 
-    ``total`` divides each count by the row's token total (true TF);
-    ``length`` divides by the array length, which is what the reference
-    did on a vocabulary-sized vector.
+    Pass the row's token total as ``total`` (a column computed before this
+    call; true TF). Without it the divisor is the array length, which is
+    what the reference did on a vocabulary-sized vector. The divisor is
+    never recomputed inside the element lambda.
     """
     a = _c(col)
-    if mode == "length":
-        denom = F.size(a).cast("double")
-    else:
-        denom = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    denom = F.size(a).cast("double") if total is None else _c(total).cast("double")
     return F.transform(a, lambda x: F.try_divide(x.cast("double"), denom))
 
 

@@ -77,8 +77,8 @@ def lookup_tokens(df: DataFrame, tokens: str, lexicon: DataFrame | Mapping[str,
     """
     if isinstance(lexicon, Mapping):
         m = F.create_map(*[x for k, v in lexicon.items() for x in (F.lit(k), F.lit(v))])
-        mapped = F.transform(F.col(tokens), lambda t: F.when(m[t].isNotNull(), m[t])
-                             .otherwise(t if keep_unmatched else F.lit(None)))
+        mapped = F.transform(F.col(tokens), lambda t: F.coalesce(
+            F.try_element_at(m, t), t if keep_unmatched else F.lit(None)))
         if not keep_unmatched:
             mapped = F.filter(mapped, lambda x: x.isNotNull())
         return df.withColumn(out, mapped)
