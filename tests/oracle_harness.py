@@ -50,6 +50,17 @@ def canon(rows, cols):
     return sorted(out)
 
 
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "DateType": "DATE", "TimestampNTZType": "TIMESTAMP",
+                 "FloatType": "FLOAT", "ShortType": "SMALLINT", "ByteType": "TINYINT"}
+
+
+def type_diff(sdf, desc):
+    s = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in sdf.schema.fields}
+    d = {x[0]: str(x[1]) for x in desc}
+    return {k: (s[k], d.get(k)) for k in s if s[k] != d.get(k)}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t = time.time()
     sdf = fn(spark, sf_dir)
@@ -63,6 +74,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     d_rows = d.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         return dict(name=name, status="COLS", spark=s_cols, duck=d_cols)
+    td = type_diff(sdf, d.description)
+    if td:
+        return dict(name=name, status="TYPES", diff=td)
     if len(s_rows) != len(d_rows):
         return dict(name=name, status="ROWS", spark=len(s_rows), duck=len(d_rows))
     a, b = canon(s_rows, s_cols), canon(d_rows, d_cols)
