@@ -73,22 +73,39 @@ def sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] = LEXICON,
     (``s / sqrt(s^2 + 15)`` of the score sum ``s``).
     """
     m = _lit_map({k: float(v) for k, v in lexicon.items()})
-    toks = _tokens(text)
-    scores = F.filter(F.transform(toks, lambda t: F.try_element_at(m, t)), lambda x: x.isNotNull())
-    n = F.size(toks)
-    k = F.size(scores)
-    s = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x)
-    npos = F.size(F.filter(scores, lambda x: x > 0))
-    nneg = F.size(F.filter(scores, lambda x: x < 0))
-    share = lambda a: F.coalesce(F.try_divide(a.cast("double"), n.cast("double")), F.lit(0.0))
+    # each intermediate array is its own projection, computed once per row:
+    # referencing one expression from many output columns would re-run the
+    # tokeniser and the lookups for every reference
+    t = df.withColumn("_toks", _tokens(text))
+    t = t.withColumn("_sc", F.filter(F.transform("_toks", lambda w: F.try_element_at(m, w)),
+                                     lambda x: x.isNotNull()))
+    t = t.withColumns({
+        "_n": F.size("_toks"), "_k": F.size("_sc"),
+        "_s": F.aggregate("_sc", F.lit(0.0), lambda acc, x: acc + x),
+        "_np": F.size(F.filter("_sc", lambda x: x > 0)), "_nn": F.size(F.filter("_sc", lambda x: x < 0)),
+    }).drop("_toks", "_sc")
+    n, k, s = F.col("_n").cast("double"), F.col("_k").cast("double"), F.col("_s")
+    share = lambda a: F.coalesce(F.try_divide(a.cast("double"), n), F.lit(0.0))
     cols = {
-        "n_tokens": n.cast("long"), "n_matched": k.cast("long"),
-        "polarity": F.coalesce(F.try_divide(s, k.cast("double")), F.lit(0.0)),
-        "subjectivity": share(k), "pos": share(npos), "neg": share(nneg),
+        "n_tokens": F.col("_n").cast("long"), "n_matched": F.col("_k").cast("long"),
+        "polarity": F.coalesce(F.try_divide(s, k), F.lit(0.0)),
+        "subjectivity": share(F.col("_k")), "pos": share(F.col("_np")), "neg": share(F.col("_nn")),
         "compound": s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA)),
     }
     cols["neu"] = F.lit(1.0) - cols["pos"] - cols["neg"]
-    return df.withColumns({prefix + k_: v for k_, v in cols.items()})
+    return t.withColumns({prefix + k_: v for k_, v in cols.items()}).drop("_n", "_k", "_s", "_np", "_nn")
+
+
+def explode_tokens(df: DataFrame, keep, arr: str | Column, out: str = "token", extra=()) -> DataFrame:
+    """One row per token (empty and null arrays give no row).
+
+    ``explode_outer`` + a null filter on the generated column: a plain
+    ``explode`` makes Catalyst add a ``size(arr) > 0`` filter that evaluates
+    the (expensive) token expression a second time.
+    """
+    keep = [keep] if isinstance(keep, str) else list(keep)
+    a = F.col(arr) if isinstance(arr, str) else arr
+    return df.select(*keep, *extra, F.explode_outer(a).alias(out)).filter(F.col(out).isNotNull())
 
 
 def term_counts(df: DataFrame, id_col: str, tok: str) -> DataFrame:
@@ -96,10 +113,12 @@ def term_counts(df: DataFrame, id_col: str, tok: str) -> DataFrame:
 
     Groups are (document, token) pairs: bounded by one document's length.
     """
-    ex = df.select(id_col, F.explode(F.col(tok)).alias("token"))
-    c = ex.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
-    tot = df.select(id_col, F.size(F.col(tok)).alias("_tot"))
-    return c.join(tot, id_col).withColumn("tf", F.col("n") / F.col("_tot")).drop("_tot")
+    # the token array is read once: its size travels with the exploded
+    # tokens, so no second pass over the documents and no join back
+    base = df.select(id_col, F.col(tok).alias("_t"))
+    ex = explode_tokens(base, id_col, "_t", extra=[F.size("_t").alias("_tot")])
+    c = ex.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"), F.max("_tot").alias("_tot"))
+    return c.withColumn("tf", F.col("n") / F.col("_tot")).drop("_tot")
 
 
 def doc_freq(df: DataFrame, id_col: str, tok: str, min_df: int = 1) -> DataFrame:
@@ -109,7 +128,7 @@ def doc_freq(df: DataFrame, id_col: str, tok: str, min_df: int = 1) -> DataFrame
     per-token count is a plain partial aggregate; N is a scalar subquery.
     """
     n_docs = df.agg(F.count(F.lit(1))).scalar()
-    ex = df.select(F.explode(F.array_distinct(F.col(tok))).alias("token"))
+    ex = explode_tokens(df, [], F.array_distinct(F.col(tok)))
     g = ex.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
     return g.withColumn("idf", F.log((n_docs + F.lit(1)) / (F.col("df") + F.lit(1))))
 

@@ -79,7 +79,7 @@ SELECT tok AS token, count(*) AS n FROM (SELECT unnest({_TOKS.format(c='text')})
 def q_tokens(spark, d):
     """N20 + X1/X2 + X7: token frequencies over the whole corpus."""
     doc = tbl(spark, d, "documents")
-    ex = doc.select(F.explode(TX.tokens("text")).alias("token"))
+    ex = T.explode_tokens(doc, [], TX.tokens("text"))
     return ex.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -105,7 +105,7 @@ def q_lemma(spark, d):
     """Dictionary lemmatiser (literal map, in-row), then frequencies."""
     doc = tbl(spark, d, "documents").select(TX.tokens("text").alias("toks"))
     lem = lookup_tokens(doc, "toks", T.LEMMAS, out="lem", keep_unmatched=True)
-    return lem.select(F.explode("lem").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return T.explode_tokens(lem, [], "lem").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _lex_values():
