@@ -72,6 +72,8 @@ def _out_flags(cols: Sequence[str]) -> list[Column]:
 
 
 def _with_bounds(df: DataFrame, by: Sequence[str], cols: Sequence[str], lo: float, hi: float) -> DataFrame:
+    # ``df`` is read by the bound computation (three passes) and by the join:
+    # pass a scan or a checkpointed frame, not an expensive derived plan
     b = quantiles_wide(df, cols, [lo, hi], by, names=["_lo", "_hi"])
     return df.join(b, list(by), "inner")
 

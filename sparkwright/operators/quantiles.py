@@ -76,10 +76,12 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             below_exprs += [F.count_if(v < lo).alias(f"_b{ci}_{pi}"),
                             F.max(F.when(v < lo, v)).alias(f"_pv{ci}_{pi}"),
                             F.min(F.when(v > hi, v)).alias(f"_nx{ci}_{pi}")]
+        below_exprs.append(F.max(f"_n{ci}").alias(f"_bn{ci}"))
     below = joined.groupBy(*key).agg(*below_exprs)
     below_long = below.select(*key, F.inline(F.array(*[
         F.struct(F.lit(ci).alias("_ci"), F.lit(pi).alias("_pi"), F.col(f"_b{ci}_{pi}").alias("_below"),
-                 F.col(f"_pv{ci}_{pi}").alias("_prev"), F.col(f"_nx{ci}_{pi}").alias("_next"))
+                 F.col(f"_pv{ci}_{pi}").alias("_prev"), F.col(f"_nx{ci}_{pi}").alias("_next"),
+                 F.col(f"_bn{ci}").alias("_gn"))
         for ci in range(len(cols)) for pi in range(len(probs))])))
 
     # 2b. distinct values inside each bracket, with multiplicity
@@ -97,7 +99,7 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     # 3. running count over the bracket's distinct values
     w = Window.partitionBy(*key, "_ci", "_pi").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.join(below_long, on=[*key, "_ci", "_pi"], how="inner") \
+    ranked = inside.join(below_long.drop("_gn"), on=[*key, "_ci", "_pi"], how="inner") \
         .withColumn("_le", F.col("_below") + F.sum("_cnt").over(w))
     if mode == "rank":
         fr = [Fraction(str(p)) for p in probs]
@@ -129,9 +131,8 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     out = picked.select(*key, "_ci", "_pi", "n", value.alias("value"), "value_prev")
 
     # groups/columns with no non-null value still get a row (value null)
-    empty = stats.select(*key, F.inline(F.array(*[
-        F.struct(F.lit(ci).alias("_ci"), F.lit(pi).alias("_pi"), F.col(f"_n{ci}").alias("n"))
-        for ci in range(len(cols)) for pi in range(len(probs))]))).filter(F.col("n") == 0) \
+    # (derived from the below-count aggregate: no second sketch pass)
+    empty = below_long.filter(F.col("_gn") == 0).select(*key, "_ci", "_pi", F.col("_gn").alias("n")) \
         .withColumn("value", F.lit(None).cast("double")).withColumn("value_prev", F.lit(None).cast("double"))
     out = out.unionByName(empty)
     return out.drop("_qk") if not by else out
