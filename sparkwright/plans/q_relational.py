@@ -187,7 +187,7 @@ def q_attach_agg(spark, d):
 
 
 @query("q_zip_by_key", """
-SELECT p_partkey, round(p_retailprice / p_size, 6) AS price_per_size, length(p_name) AS name_len,
+SELECT p_partkey, round(p_retailprice / p_size, 6) AS price_per_size, CAST(length(p_name) AS INTEGER) AS name_len,
        upper(p_brand) AS brand_upper FROM part""")
 def q_zip_by_key(spark, d):
     """Derived frames combined by an explicit key, never by position."""
