@@ -20,6 +20,8 @@ PUNCT_SPACE = r"[\p{P}\p{Z}]"              # N17 Unicode punctuation + separator
 LETTERS = r"[a-zA-Z]+"                     # X16 any ASCII word
 NON_LETTER = r"[^A-Za-z]"                  # X4 normaliser cleanup
 CAPITAL = r"[A-Z]"                         # N22 token holds a capital
+WORD_RUN = r"\w+"                          # one token of the WORD_SPLIT tokeniser
+CAPITAL_WORD = r"\w*[A-Z]\w*"              # one token holding a capital
 
 
 def _c(col):
@@ -65,6 +67,22 @@ def count_char(col: str | Column, ch: str) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))).cast("long")
 
 
+def token_count(col: str | Column, lower: bool = True) -> Column:
+    """N19 on ``tokens(col)`` without building the array.
+
+    The ``\\W+`` tokeniser yields exactly the maximal ``\\w`` runs, so their
+    count is one regex scan (same result as ``size(tokens(col))``).
+    """
+    c = F.coalesce(_c(col), F.lit(""))
+    return F.regexp_count(F.lower(c) if lower else c, F.lit(WORD_RUN)).cast("long")
+
+
+def capital_token_count(col: str | Column) -> Column:
+    """N22 without the array: tokens holding an ASCII capital, one regex scan
+    (same result as ``count_matching(tokens(col, lower=False))``)."""
+    return F.regexp_count(F.coalesce(_c(col), F.lit("")), F.lit(CAPITAL_WORD)).cast("long")
+
+
 def array_len(col: str | Column) -> Column:
     """Array size as bigint."""
     return F.size(_c(col)).cast("long")

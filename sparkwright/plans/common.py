@@ -39,8 +39,20 @@ def tie_safe_sql(sql: str) -> str:
     return sql.replace("round(", f"round({ROUND_NUDGE} + ")
 
 
+# Tables holding free text: per-row work on them (regex tokenising, lexicon
+# lookups) is CPU-bound, so a scan that arrives as fewer files than cores is
+# spread over the cores. For the other tables the first step is a cheap
+# map-side partial aggregate or a join, where an extra exchange costs more
+# than it gains (measured at sf0.1).
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
 def tbl(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from ..session import spread_if_narrow
+        df = spread_if_narrow(df)
+    return df
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

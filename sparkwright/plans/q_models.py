@@ -31,7 +31,7 @@ def doc_features(spark, d):
     doc = doc.select("doc_id", "source", "lang", (F.col("n_chars") / 1000.0).alias("n_chars_k"),
                      TX.count_char("text", "!").cast("double").alias("n_excl"),
                      TX.sentence_count("text").cast("double").alias("n_sentences"),
-                     TX.count_matching(TX.tokens("text", lower=False)).cast("double").alias("n_caps"),
+                     TX.capital_token_count("text").cast("double").alias("n_caps"),
                      "polarity", "subjectivity", "compound")
     lab = tbl(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"),
                                          F.col("toxic").cast("double").alias("toxic"))
@@ -254,7 +254,7 @@ def q_submission(spark, d):
     alld = T.sentiment(alld, "text").select(
         "doc_id", (F.col("n_chars") / 1000.0).alias("n_chars_k"), TX.count_char("text", "!").cast("double").alias("n_excl"),
         TX.sentence_count("text").cast("double").alias("n_sentences"),
-        TX.count_matching(TX.tokens("text", lower=False)).cast("double").alias("n_caps"),
+        TX.capital_token_count("text").cast("double").alias("n_caps"),
         "polarity", "subjectivity", "compound")
     pipe = Pipeline(stages=[X.assemble(DOC_FEATURES), LogisticRegression(featuresCol="features", labelCol="label")])
     model = pipe.fit(train)

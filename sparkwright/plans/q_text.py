@@ -28,8 +28,8 @@ def q_text_counts(spark, d):
     """N18, N19, N22 (per-row capital count, T3), X3 (sentences) on whole texts."""
     doc = tbl(spark, d, "documents")
     return doc.select("doc_id", TX.count_char("text", "!").alias("n_excl"),
-                      TX.array_len(TX.tokens("text")).alias("n_tokens"),
-                      TX.count_matching(TX.tokens("text", lower=False)).alias("n_caps"),
+                      TX.token_count("text").alias("n_tokens"),
+                      TX.capital_token_count("text").alias("n_caps"),
                       TX.sentence_count("text").alias("n_sentences"))
 
 

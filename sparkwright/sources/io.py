@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import save_intermediate
+from ..session import save_intermediate, spread_if_narrow
 
 
 def load_table(spark: SparkSession, name: str) -> DataFrame:
@@ -21,9 +21,11 @@ def load_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan (column pruning and filter pushdown apply)."""
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, spread: bool = True) -> DataFrame:
+    """Parquet scan (column pruning and filter pushdown apply); a table of
+    fewer files than cores is spread over the cores (``spread_if_narrow``)."""
+    df = spark.read.parquet(path)
+    return spread_if_narrow(df) if spread else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True,

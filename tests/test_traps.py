@@ -153,3 +153,12 @@ def test_a10_describe_all_tie_goes_to_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "c string")
     r = P.describe_all(df, ["c"]).first()
     assert (r["count"], r["unique"], r["top"], r["freq"]) == (4, 2, "a", 2)
+
+
+def test_count_forms_equal_array_forms(spark):
+    texts = ["Hello, World! abc_DEF 12x", "", None, "  lead and trail  ", "ÉCOLE école Kafé", "a-B c'D"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    r = df.select(TX.token_count("t").alias("a"), TX.array_len(TX.tokens("t")).alias("b"),
+                  TX.capital_token_count("t").alias("c"),
+                  TX.count_matching(TX.tokens("t", lower=False)).alias("d")).collect()
+    assert all(x.a == x.b and x.c == x.d for x in r)
