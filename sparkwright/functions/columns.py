@@ -119,7 +119,7 @@ def map_labels(col: str | Column, mapping: Mapping[object, object]) -> Column:
 
 
 def flag(cond: Column, true_value=1, false_value=0) -> Column:
-    """Binary flag with an else branch; a null condition takes the else."""
+    """Binary flag with an else branch; a null condition takes the else."""
     return F.when(cond, F.lit(true_value)).otherwise(F.lit(false_value))
 
 

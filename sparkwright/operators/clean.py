@@ -46,7 +46,9 @@ def match_flag(col, pattern: str, kind: str = "like") -> Column:
 
 
 def holdout(df: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows outside the hold-out period, rows inside it); null -> outside."""
+    """(rows outside the hold-out period, rows inside it); null -> outside.
+
+    Both masks are built on ``df`` itself (T38), never carried across frames."""
     inside = F.coalesce(cond, F.lit(False))
     return df.filter(~inside), df.filter(inside)
 
@@ -80,7 +82,7 @@ def _with_bounds(df: DataFrame, by: Sequence[str], cols: Sequence[str], lo: floa
 
 def trim_panel_any(df: DataFrame, by: Sequence[str], cols: Sequence[str],
                    lo: float = 0.005, hi: float = 0.995) -> DataFrame:
-    """drop rows where any column is outside its group's [q(lo), q(hi)]."""
+    """drop rows where any column is outside its group's [q(lo), q(hi)] (null never trims, T21)."""
     j = _with_bounds(df, by, cols, lo, hi)
     keep = ~F.greatest(*[f.cast("int") for f in _out_flags(cols)], F.lit(0)).cast("boolean")
     return j.filter(keep).select(*df.columns)

@@ -119,7 +119,7 @@ def explode_stage(col: str, out: str) -> MF.SQLTransformer:
 
 
 def fit_transform(stages: list | Pipeline, train: DataFrame, *others: DataFrame):
-    """Fit on ``train`` only (T5), transform train and every other frame."""
+    """Fit on ``train`` only (T5), transform train and every other frame with one fitted pipeline (T4)."""
     pipe = stages if isinstance(stages, Pipeline) else Pipeline(stages=list(stages))
     model: PipelineModel = pipe.fit(train)
     return (model, model.transform(train), *[model.transform(o) for o in others])

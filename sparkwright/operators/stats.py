@@ -37,7 +37,7 @@ def ols(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 
 
 def refit_significant(df: DataFrame, cols: Sequence[str], label: str, p_max: float = 0.1):
-    """Keep features with p <= p_max (T24: the code's rule) and refit."""
+    """Keep features with p <= p_max (T24: the code's rule) and refit; the returned table is the refit."""
     table = ols(df, cols, label).filter(F.col("feature") != "intercept")
     keep = [r["feature"] for r in table.filter(F.col("p_value") <= p_max).select("feature").collect()]
     if keep:

@@ -66,7 +66,7 @@ def lemmatise(tok: str | Column, lemmas: Mapping[str, str] = LEMMAS) -> Column:
 
 
 def sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] = LEXICON, prefix: str = "") -> DataFrame:
-    """Lexicon sentiment per document, computed in the row.
+    """Lexicon sentiment per document, computed in the row.
 
     Adds n_tokens, n_matched, polarity (mean matched score), subjectivity
     (matched share), pos/neg/neu (token shares) and compound
@@ -134,7 +134,7 @@ def doc_freq(df: DataFrame, id_col: str, tok: str, min_df: int = 1) -> DataFrame
 
 
 def pool_vectors(df: DataFrame, by: str | Sequence[str], vec: str) -> DataFrame:
-    """Mean of array vectors per group, long form (by..., dim, mean).
+    """Mean of array vectors per group, long form (by..., dim, mean).
 
     Groups are (group, dimension): a hot group is combined map-side.
     """
@@ -152,7 +152,7 @@ def pool_vectors_array(df: DataFrame, by: str | Sequence[str], vec: str, out: st
 
 
 def concat_vectors(*cols: str | Column) -> Column:
-    """Concatenate array columns and turn them into one ML vector."""
+    """Concatenate array columns and turn them into one ML vector."""
     from pyspark.ml.functions import array_to_vector
     arrs = [(F.col(c) if isinstance(c, str) else c).cast("array<double>") for c in cols]
     return array_to_vector(F.concat(*arrs))

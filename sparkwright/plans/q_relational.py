@@ -462,7 +462,7 @@ WHERE o_totalprice <= 400000 AND o_totalprice > 1000 AND o_totalprice < 300000
   AND NOT (year(o_orderdate) = 2001 AND month(o_orderdate) > 6)
 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")
 def q_rows_basic(spark, d):
-    """F1, F2, F4, F5, F7, F13, P1-P3, P6, P7, O1, O2 (head of a sorted frame)."""
+    """F1, F2, F4, F5, F7, F13, P1, P2, P3, P6, P7, O1, O2 (head of a sorted frame)."""
     o = tbl(spark, d, "orders")
     train, _hold = K.holdout(o, (F.year("o_orderdate") == 2001) & (F.month("o_orderdate") > 6))
     x = train.filter(F.col("o_totalprice") <= 400000) \

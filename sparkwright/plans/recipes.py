@@ -64,7 +64,7 @@ def r_panel_rank(spark, d):
 
 @query("r_reviews")
 def r_reviews(spark, d):
-    """Reviews recipe on events: ordinals (W1, W2), early flag (W4), deviations (W5, W7),
+    """Reviews recipe on events (T30: every feature is built before it is used): ordinals (W1, W2), early flag (W4), deviations (W5, W7),
     leak-free history (W6), decay weight (N14, N15), then a logistic fit and AUC (E6)."""
     e = tbl(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
     e = W.event_ordinal(e, "event_type", "ts", "event_id", "product_order")
@@ -83,7 +83,7 @@ def r_reviews(spark, d):
 
 @query("r_bookings")
 def r_bookings(spark, d):
-    """Bookings recipe on orders: binary flags (N6), binomial GLM (M24) on a
+    """Bookings recipe on orders: the label is named for what 1 means (T27), binary flags (N6), binomial GLM (M24) on a
     checkpointed frame, and confusion counts at three thresholds (E10)."""
     o = tbl(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate")
     o = o.withColumns({

@@ -31,7 +31,7 @@ def read_parquet(spark: SparkSession, path: str, spread: bool = True) -> DataFra
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True,
              encoding: str | None = None, date_cols: Sequence[str] = (), date_format: str | None = None,
              sep: str = ",") -> DataFrame:
-    """CSV with a header.
+    """CSV with a header.
 
     ``schema`` (preferred at scale) or type inference; ``encoding`` such as
     ``ISO-8859-1`` (S3); ``date_cols`` parsed to timestamps, with
@@ -53,7 +53,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def checkpoint_table(df: DataFrame, name: str) -> DataFrame:
-    """Save an intermediate under the shared checkpoint folder and reload it."""
+    """Save an intermediate under the shared checkpoint folder and reload it (T20: written before it is read)."""
     return save_intermediate(df, name)
 
 
