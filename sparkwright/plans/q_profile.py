@@ -60,6 +60,7 @@ query("q_wide_row", WIDE_ROW_SQL)(wide_row_plan)
 SELECT p_brand, count(*) AS count, round(count(*) / (SELECT count(*) FROM part), 6) AS share
 FROM part GROUP BY p_brand""")
 def q_value_counts(spark, d):
+    """A1 + A2: brand counts and shares (total from a scalar subquery)."""
     return rounded(P.value_counts(tbl(spark, d, "part"), "p_brand", normalize=True))
 
 
@@ -71,6 +72,7 @@ SELECT l_returnflag,
   min(l_discount) AS l_discount_min, max(l_discount) AS l_discount_max, round(avg(l_discount), 6) AS l_discount_mean
 FROM lineitem GROUP BY l_returnflag""")
 def q_group_minmaxmean(spark, d):
+    """A3: min / max / mean of three columns per return flag, one aggregate."""
     return rounded(P.summarise_by(tbl(spark, d, "lineitem"), "l_returnflag",
                                   ["l_quantity", "l_extendedprice", "l_discount"]))
 
@@ -85,6 +87,7 @@ SELECT o_orderpriority, round(sum(l_extendedprice), 6) AS l_extendedprice_sum,
        round(max(interest), 6) AS interest_max, round(min(interest), 6) AS interest_min
 FROM x GROUP BY o_orderpriority""")
 def q_agg_named(spark, d):
+    """A4 + P5 + N26: named sum/mean/max/min per priority; interest = total due - principal."""
     from ..functions.columns import diff
     li = tbl(spark, d, "lineitem")
     o = tbl(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
@@ -99,6 +102,7 @@ SELECT o_orderstatus, round(stddev_samp(o_totalprice), 6) AS o_totalprice_std,
        round(avg(o_totalprice), 6) AS o_totalprice_mean
 FROM orders GROUP BY o_orderstatus""")
 def q_std_by_group(spark, d):
+    """A5 + A6: sample standard deviation and mean per status."""
     o = tbl(spark, d, "orders")
     return rounded(P.group_std(o, "o_orderstatus", "o_totalprice")
                    .join(P.group_mean(o, "o_orderstatus", "o_totalprice"), "o_orderstatus"))
@@ -110,6 +114,7 @@ SELECT l_linestatus, CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber_sum,
        round(sum(l_discount), 6) AS l_discount_sum, round(sum(l_tax), 6) AS l_tax_sum
 FROM lineitem GROUP BY l_linestatus""")
 def q_sum_all(spark, d):
+    """Sum of every numeric non-key column per line status."""
     return rounded(P.sum_all(tbl(spark, d, "lineitem"), "l_linestatus",
                              exclude=["l_orderkey", "l_partkey", "l_suppkey"]))
 
@@ -123,6 +128,7 @@ FROM (SELECT CAST({c} AS DOUBLE) AS {c} FROM customer)"""
 
 @query("q_describe", _DESCRIBE_ONE.format(c="c_acctbal") + " UNION ALL " + _DESCRIBE_ONE.format(c="c_nationkey"))
 def q_describe(spark, d):
+    """A9 + A15: count, mean, sd, min, exact quartiles, max per column (long form)."""
     return rounded(P.describe(tbl(spark, d, "customer"), ["c_acctbal", "c_nationkey"]))
 
 
@@ -138,6 +144,7 @@ SELECT pc.col AS "column", CAST(pc.cnt AS BIGINT) AS count, CAST(pc.uniq AS BIGI
 FROM pc JOIN freq f ON f.col = pc.col AND f.n = pc.fr
 GROUP BY pc.col, pc.cnt, pc.uniq, pc.fr""")
 def q_describe_all(spark, d):
+    """A10: count, unique, top (ties to the smallest value), freq per column."""
     return P.describe_all(tbl(spark, d, "part"), ["p_brand", "p_type", "p_size"])
 
 
@@ -164,6 +171,7 @@ UNION ALL SELECT 'c_acctbal', CAST(sum(CASE WHEN c_acctbal IS NULL THEN 1 ELSE 0
 UNION ALL SELECT 'c_mktsegment', CAST(sum(CASE WHEN c_mktsegment IS NULL THEN 1 ELSE 0 END) AS BIGINT),
        round(sum(CASE WHEN c_mktsegment IS NULL THEN 1 ELSE 0 END) / count(*), 6) FROM c""")
 def q_null_counts(spark, d):
+    """A11 + N3: nulls per column after sentinel rules turn values into nulls."""
     return rounded(P.null_counts(_customer_with_nulls(spark, d), ["c_custkey", "c_acctbal", "c_mktsegment"]))
 
 
@@ -171,6 +179,7 @@ def q_null_counts(spark, d):
 WITH c AS {_CUST_NULLS}
 SELECT c_custkey, (CAST(c_acctbal IS NULL AS INTEGER) + CAST(c_mktsegment IS NULL AS INTEGER)) AS n_null FROM c""")
 def q_null_row(spark, d):
+    """Null cells per row."""
     c = _customer_with_nulls(spark, d)
     return c.select("c_custkey", null_count_row(["c_acctbal", "c_mktsegment"]).alias("n_null"))
 
@@ -195,6 +204,7 @@ SELECT 'lang' AS "column", count(DISTINCT lang) AS nunique FROM documents
 UNION ALL SELECT 'source', count(DISTINCT source) FROM documents
 UNION ALL SELECT 'text', count(DISTINCT text) FROM documents""")
 def q_nunique(spark, d):
+    """Distinct values per column."""
     return P.nunique(tbl(spark, d, "documents"), ["lang", "source", "text"])
 
 
@@ -213,6 +223,7 @@ def _corr_sql():
 
 @query("q_corr_matrix", _corr_sql())
 def q_corr_matrix(spark, d):
+    """Pairwise Pearson correlations, long form with the diagonal."""
     return rounded(P.corr_matrix(tbl(spark, d, "lineitem"), _CORR_COLS))
 
 
@@ -221,6 +232,7 @@ SELECT coalesce(o_orderstatus, 'All') AS o_orderstatus, coalesce(o_orderpriority
        count(*) AS n
 FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
 def q_crosstab_margins(spark, d):
+    """Crosstab counts with row, column and grand totals (cube)."""
     return P.crosstab(tbl(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
@@ -229,6 +241,7 @@ SELECT o_orderstatus, o_orderpriority, count(*) AS n,
        round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderstatus), 6) AS share
 FROM orders GROUP BY o_orderstatus, o_orderpriority""")
 def q_crosstab_rows(spark, d):
+    """Crosstab counts and shares within the row level."""
     return rounded(P.crosstab_rows(tbl(spark, d, "orders"), "o_orderstatus", "o_orderpriority"))
 
 
@@ -252,6 +265,7 @@ SELECT bin, round(mn + (bin - 1) * ((mx - mn) / 10), 6) AS lo, round(mn + bin *
        count(*) AS n, round(mean, 6) AS mean, round(median, 6) AS median
 FROM b, mm GROUP BY bin, mn, mx, mean, median""")
 def q_histogram(spark, d):
+    """Ten equal-width bins (maximum in the last bin) with mean and median lines."""
     return rounded(P.histogram(tbl(spark, d, "part"), "p_retailprice", 10))
 
 
@@ -268,6 +282,7 @@ SELECT f.l_returnflag, round(q1, 6) AS q1, round(median, 6) AS median, round(q3,
 FROM lineitem l JOIN f ON l.l_returnflag = f.l_returnflag
 GROUP BY f.l_returnflag, q1, median, q3, iqr, lower_fence, upper_fence""")
 def q_box_stats(spark, d):
+    """Quartiles, IQR fences, whiskers and outlier counts per return flag."""
     return rounded(P.box_stats(tbl(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"]))
 
 
@@ -281,6 +296,7 @@ SELECT l_linestatus,
   round(quantile_cont(l_quantity, 0.9), 6) AS l_quantity_q9
 FROM lineitem GROUP BY l_linestatus""")
 def q_quantiles(spark, d):
+    """Exact deciles and median of two columns per line status."""
     return rounded(quantiles_wide(tbl(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"],
                                   [0.1, 0.5, 0.9], ["l_linestatus"]))
 
@@ -289,6 +305,7 @@ def q_quantiles(spark, d):
 SELECT quality, count(*) AS n_c, round((SELECT count(*) FROM labels) / (2.0 * count(*)), 6) AS weight
 FROM labels GROUP BY quality""")
 def q_class_weights(spark, d):
+    """Balanced class weights n / (k * n_c)."""
     return rounded(P.class_weights(tbl(spark, d, "labels"), "quality"))
 
 
@@ -296,4 +313,5 @@ def q_class_weights(spark, d):
 SELECT c_nationkey, count(*) AS count, CAST(count(*) >= 60 AS INTEGER) AS frequent
 FROM customer WHERE c_nationkey IS NOT NULL GROUP BY c_nationkey""")
 def q_freq_split(spark, d):
+    """Level counts with a frequent flag (count >= 60)."""
     return P.freq_split(tbl(spark, d, "customer"), "c_nationkey", 60)
