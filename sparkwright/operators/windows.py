@@ -3,9 +3,10 @@
 Where no order is needed (group means, deviations, z-scores) the group
 statistic is an aggregate joined back by key: partial aggregation happens
 map-side, and a hot key does not pull its rows into one sorted window
-task. Ordered ranks use a window by default; ``skew_safe=True`` switches
-to a range-partitioned variant whose tasks stay balanced when one group
-holds a large share of all rows.
+task. Ordered positions (ordinals, ranks, prior-row means) default to
+``grouped_running``: range partitioning keeps tasks balanced when one
+group holds a large share of all rows; ``skew_safe=False`` selects the
+plain per-group window (fewer stages when groups are known to be small).
 """
 
 from __future__ import annotations
@@ -24,37 +25,65 @@ def _cols(x) -> list[str]:
 
 # ------------------------------------------------------------- ordinals
 
+def grouped_running(df: DataFrame, by, order: Sequence[str], sums: dict[str, Column],
+                    partitions: int | None = None, inclusive: bool = True) -> DataFrame:
+    """Running sums within groups, ordered by ``order`` (unique within a group),
+    without a per-group window task.
+
+    Rows are range-partitioned on (group, order): a hot group is spread over
+    several slices. Each slice sums locally per group; slice totals (one row
+    per (group, slice)) give each slice its offset. ``inclusive=False`` sums
+    the rows strictly before the current one.
+    """
+    by = _cols(by)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*[F.col(c) for c in by], *[F.col(c) for c in order]]
+    s = df.withColumns({f"_x_{k}": e for k, e in sums.items()}) \
+        .repartitionByRange(n, *keys).withColumn("_slice", F.spark_partition_id())
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_slice", *by).orderBy(*[F.col(c) for c in order]).rowsBetween(*frame)
+    local = s.withColumns({f"_l_{k}": F.coalesce(F.sum(f"_x_{k}").over(w), F.lit(0)) for k in sums})
+    tot = s.groupBy(*by, "_slice").agg(*[F.sum(f"_x_{k}").alias(f"_t_{k}") for k in sums])
+    w_off = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*by, "_slice", *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_o_{k}")
+                                       for k in sums])
+    out = local.join(offs, [*by, "_slice"])
+    return out.withColumns({k: F.col(f"_l_{k}") + F.col(f"_o_{k}") for k in sums}) \
+        .drop("_slice", *[f"_{p}_{k}" for k in sums for p in ("x", "l", "o")])
+
+
 def event_ordinal(df: DataFrame, by, order: str, tie: str, out: str = "ordinal",
-                  skew_safe: bool = False, partitions: int | None = None) -> DataFrame:
+                  skew_safe: bool = True, partitions: int | None = None) -> DataFrame:
     """1-based position of each row within its group by (order, tie).
 
     ``tie`` must be unique within a group (T1). ``skew_safe`` computes the
-    same numbers without a per-group window: rows are range-partitioned
-    on (group, order, tie), so a hot group is spread over several tasks;
-    each task numbers its slice, and slice offsets come from a small
-    per-(group, slice) count table.
+    same numbers with ``grouped_running`` (a running count), so a hot
+    group is numbered by several tasks instead of one window task.
     """
     by = _cols(by)
     if not skew_safe:
         w = Window.partitionBy(*by).orderBy(F.col(order), F.col(tie))
         return df.withColumn(out, F.row_number().over(w))
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *[F.col(c) for c in by], F.col(order), F.col(tie)) \
-        .withColumn("_slice", F.spark_partition_id())
-    local = s.withColumn("_local", F.row_number().over(
-        Window.partitionBy("_slice", *by).orderBy(F.col(order), F.col(tie))))
-    sizes = local.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_sz"))
-    offs = sizes.withColumn("_off", F.coalesce(F.sum("_sz").over(
-        Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(offs.select(*by, "_slice", "_off"), [*by, "_slice"]) \
-        .withColumn(out, (F.col("_local") + F.col("_off")).cast("int")) \
-        .drop("_slice", "_local", "_off")
+    r = grouped_running(df, by, [order, tie], {out: F.lit(1)}, partitions)
+    return r.withColumn(out, F.col(out).cast("int"))
+
 
+def event_rank(df: DataFrame, by, order: str, out: str = "rank", skew_safe: bool = True,
+               partitions: int | None = None) -> DataFrame:
+    """SQL ``rank()`` within group by ``order`` (ties share a rank).
 
-def event_rank(df: DataFrame, by, order: str, out: str = "rank") -> DataFrame:
-    """SQL ``rank()`` within group by ``order`` (ties share a rank)."""
-    w = Window.partitionBy(*_cols(by)).orderBy(F.col(order))
-    return df.withColumn(out, F.rank().over(w))
+    ``skew_safe``: rank = 1 + rows of the group with a smaller order value;
+    counts per (group, value) are pre-aggregated map-side and summed with
+    ``grouped_running`` (exclusive), then joined back by (group, value).
+    """
+    by = _cols(by)
+    if not skew_safe:
+        w = Window.partitionBy(*by).orderBy(F.col(order))
+        return df.withColumn(out, F.rank().over(w))
+    g = df.groupBy(*by, order).agg(F.count(F.lit(1)).alias("_c"))
+    r = grouped_running(g, by, [order], {"_before": F.col("_c")}, partitions, inclusive=False)
+    r = r.select(*by, order, (F.col("_before") + 1).cast("int").alias(out))
+    return df.join(r, [*by, order], "left")
 
 
 def order_key(df: DataFrame, order: str) -> Column:
@@ -123,15 +152,22 @@ def deviation(df: DataFrame, by, col: str, out: str | None = None, mean_out: str
 
 
 def history_mean(df: DataFrame, by, col: str, order: str, tie: str, out: str = "history_mean",
-                 prior_only: bool = True, fill: float | None = 0.0) -> DataFrame:
+                 prior_only: bool = True, fill: float | None = 0.0, skew_safe: bool = True,
+                 partitions: int | None = None) -> DataFrame:
     """Mean of ``col`` over the group's earlier rows (T6: no target leak).
 
     ``prior_only=False`` reproduces the reference (whole-group mean, the
-    row's own value included).
+    row's own value included). ``skew_safe`` uses exclusive running sums of
+    the value and of non-null counts (``grouped_running``) instead of a
+    per-group window.
     """
     by = _cols(by)
     if not prior_only:
         j = attach_group_agg(df, by, {out: F.avg(col)})
+    elif skew_safe:
+        r = grouped_running(df, by, [order, tie], {"_hs": F.col(col), "_hn": F.col(col).isNotNull().cast("long")},
+                            partitions, inclusive=False)
+        j = r.withColumn(out, F.try_divide(F.col("_hs"), F.col("_hn").cast("double"))).drop("_hs", "_hn")
     else:
         w = Window.partitionBy(*by).orderBy(F.col(order), F.col(tie)) \
             .rowsBetween(Window.unboundedPreceding, -1)

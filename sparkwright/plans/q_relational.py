@@ -318,10 +318,10 @@ SELECT event_id,
   CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS type_ordinal
 FROM events""")
 def q_ordinals(spark, d):
-    """W1 + W2: ordinals per product and per reviewer, id as the tie-break."""
+    """W1 + W2: ordinals per product and per reviewer, id as the tie-break (T1); window form."""
     e = tbl(spark, d, "events")
-    e = W.event_ordinal(e, "user_id", "ts", "event_id", "user_ordinal")
-    e = W.event_ordinal(e, "event_type", "ts", "event_id", "type_ordinal")
+    e = W.event_ordinal(e, "user_id", "ts", "event_id", "user_ordinal", skew_safe=False)
+    e = W.event_ordinal(e, "event_type", "ts", "event_id", "type_ordinal", skew_safe=False)
     return e.select("event_id", "user_ordinal", "type_ordinal")
 
 
@@ -389,9 +389,29 @@ SELECT event_id, round(coalesce(avg(value) OVER (PARTITION BY user_id ORDER BY t
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS history_mean
 FROM events""")
 def q_history_prior(spark, d):
-    """W6 leak-free (T6): mean of the reviewer's earlier values, 0 when none."""
+    """W6 leak-free (T6): mean of the reviewer's earlier values, 0 when none; window form."""
     e = tbl(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    return rounded(W.history_mean(e, "user_id", "value", "ts", "event_id").select("event_id", "history_mean"))
+    return rounded(W.history_mean(e, "user_id", "value", "ts", "event_id", skew_safe=False)
+                   .select("event_id", "history_mean"))
+
+
+@query("q_history_prior_skewsafe", """
+SELECT event_id, round(coalesce(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS history_mean
+FROM events""")
+def q_history_prior_skewsafe(spark, d):
+    """W6 skew-safe form (exclusive running sums; 5 groups of 2,000: every group is hot)."""
+    e = tbl(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    return rounded(W.history_mean(e, "event_type", "value", "ts", "event_id", skew_safe=True)
+                   .select("event_id", "history_mean"))
+
+
+@query("q_rank_skewsafe", """
+SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS INTEGER) AS rank FROM orders""")
+def q_rank_skewsafe(spark, d):
+    """W3 skew-safe form: rank from pre-aggregated (group, value) counts; 3 statuses, ties on dates."""
+    o = tbl(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return W.event_rank(o, "o_orderstatus", "o_orderdate", "rank", skew_safe=True).select("o_orderkey", "rank")
 
 
 @query("q_history_all", """
