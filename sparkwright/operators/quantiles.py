@@ -17,6 +17,9 @@ in three distributed steps:
 
 The bracket holds about ``4 * n / accuracy`` ranks, so no task ever sees
 more than that, whatever the group size; duplicates collapse to one row.
+
+When a count aggregate shows that every group is small (``SMALL_GROUP_ROWS``),
+Spark's exact ``percentile`` is used instead: same numbers, fewer stages.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
+# Largest group for which Spark's exact ``percentile`` buffer (one entry per
+# distinct value of the group, in one task) is acceptable.
+SMALL_GROUP_ROWS = 1_000_000
 
 
 def _bracket(p: float, accuracy: int) -> tuple[float, float]:
@@ -35,9 +41,28 @@ def _bracket(p: float, accuracy: int) -> tuple[float, float]:
     return max(0.0, p - m), min(1.0, p + m)
 
 
+def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Row count of the largest group (one aggregate; one number to the driver)."""
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else df.select(F.count(F.lit(1)).alias("_n"))
+    return g.agg(F.max("_n")).first()[0] or 0
+
+
+def _quantile_buffered(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Small groups: Spark's exact ``percentile`` (linear interpolation), same long form."""
+    aggs = []
+    for ci, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        aggs += [F.count(v).alias(f"_n{ci}"), F.percentile(v, [float(p) for p in probs]).alias(f"_q{ci}")]
+    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    items = [F.struct(F.lit(ci).alias("_ci"), F.lit(pi).alias("_pi"), F.col(f"_n{ci}").alias("n"),
+                      F.col(f"_q{ci}")[pi].alias("value"), F.lit(None).cast("double").alias("value_prev"))
+             for ci in range(len(cols)) for pi in range(len(probs))]
+    return g.select(*by, F.inline(F.array(*items)))
+
+
 def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                   by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
-                  mode: str = "cont") -> DataFrame:
+                  mode: str = "cont", method: str = "auto") -> DataFrame:
     """Exact quantiles in long form: ``by + [_ci, _pi, n, value, value_prev]``.
 
     ``_ci``/``_pi`` index ``cols``/``probs``. Nulls are ignored; a group
@@ -47,8 +72,17 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     ``mode="rank"``: the value at 1-based position ``ceil(p*n)`` with ``p``
     read as an exact decimal fraction; ``value_prev`` is the value one
     position earlier (equal values there mean that position is inside a tie).
+
+    ``method``: ``bracket`` (bounded state, any group size), ``buffer``
+    (Spark's exact ``percentile``; ``cont`` mode only), or ``auto``: one
+    count aggregate finds the largest group, and ``buffer`` is used when it
+    is at most ``SMALL_GROUP_ROWS`` rows.
     """
     by = list(by)
+    if mode == "cont" and method == "auto":
+        method = "buffer" if _largest_group(df, by) <= SMALL_GROUP_ROWS else "bracket"
+    if mode == "cont" and method == "buffer":
+        return _quantile_buffered(df, cols, probs, by)
     cols, probs = list(cols), list(probs)
     key = by if by else ["_qk"]
     base = df if by else df.withColumn("_qk", F.lit(0))
@@ -145,14 +179,14 @@ def _tag(p: float) -> str:
 
 def quantiles_wide(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    by: Sequence[str] = (), names: Sequence[str] | None = None,
-                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                   accuracy: int = DEFAULT_ACCURACY, method: str = "auto") -> DataFrame:
     """Exact quantiles, one row per group: columns ``{col}_{name}``.
 
     ``names`` label the probabilities (default ``q25`` style tags).
     """
     by = list(by)
     names = list(names) if names else [f"q{_tag(p)}" for p in probs]
-    long = quantile_long(df, cols, probs, by, accuracy)
+    long = quantile_long(df, cols, probs, by, accuracy, method=method)
     key = by if by else None
     aggs = [F.max(F.when((F.col("_ci") == ci) & (F.col("_pi") == pi), F.col("value"))).alias(f"{c}_{names[pi]}")
             for ci, c in enumerate(cols) for pi in range(len(probs))]

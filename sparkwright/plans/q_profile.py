@@ -301,6 +301,37 @@ def q_quantiles(spark, d):
                                   [0.1, 0.5, 0.9], ["l_linestatus"]))
 
 
+_Q_SQL = """
+SELECT l_linestatus,
+  round(quantile_cont(l_extendedprice, 0.1), 6) AS l_extendedprice_q1,
+  round(quantile_cont(l_extendedprice, 0.5), 6) AS l_extendedprice_q5,
+  round(quantile_cont(l_extendedprice, 0.9), 6) AS l_extendedprice_q9,
+  round(quantile_cont(l_quantity, 0.1), 6) AS l_quantity_q1,
+  round(quantile_cont(l_quantity, 0.5), 6) AS l_quantity_q5,
+  round(quantile_cont(l_quantity, 0.9), 6) AS l_quantity_q9
+FROM lineitem GROUP BY l_linestatus"""
+
+
+@query("q_quantiles_bracket", _Q_SQL)
+def q_quantiles_bracket(spark, d):
+    """A15 through the bounded-state bracket path (the path used for large groups)."""
+    return rounded(quantiles_wide(tbl(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"],
+                                  [0.1, 0.5, 0.9], ["l_linestatus"], method="bracket"))
+
+
+@query("q_trim_bracket", """
+SELECT p_partkey, round(p_retailprice, 6) AS p_retailprice FROM part
+WHERE p_retailprice > (SELECT quantile_cont(p_retailprice, 0.005) FROM part)
+  AND p_retailprice < (SELECT quantile_cont(p_retailprice, 0.995) FROM part)""")
+def q_trim_bracket(spark, d):
+    """F9 with extreme quantiles through the bracket path (sketch rank error at the edges)."""
+    from ..operators.clean import between_exclusive
+    p = tbl(spark, d, "part").select("p_partkey", "p_retailprice")
+    q = quantiles_wide(p, ["p_retailprice"], [0.005, 0.995], names=["lo", "hi"], method="bracket")
+    b = q.select(F.struct("p_retailprice_lo", "p_retailprice_hi")).scalar()
+    return rounded(p.filter(between_exclusive("p_retailprice", b["p_retailprice_lo"], b["p_retailprice_hi"])))
+
+
 @query("q_class_weights", """
 SELECT quality, count(*) AS n_c, round((SELECT count(*) FROM labels) / (2.0 * count(*)), 6) AS weight
 FROM labels GROUP BY quality""")

@@ -25,8 +25,9 @@ def _linear_quantile(v, p):
        st.sampled_from([0.0, 0.005, 0.25, 0.5, 0.9, 1.0]))
 def test_quantile_matches_linear_interpolation_with_ties(spark, vals, p):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    got = quantiles_wide(df, ["x"], [p], names=["q"]).first()["x_q"]
-    assert got == pytest.approx(_linear_quantile(vals, p))
+    for method in ("bracket", "buffer"):
+        got = quantiles_wide(df, ["x"], [p], names=["q"], method=method).first()["x_q"]
+        assert got == pytest.approx(_linear_quantile(vals, p))
 
 
 def test_quantile_large_group_small_accuracy(spark):
@@ -34,7 +35,8 @@ def test_quantile_large_group_small_accuracy(spark):
     rng = np.random.default_rng(3)
     vals = np.round(rng.normal(size=5000), 3)
     df = spark.createDataFrame([("g", float(v)) for v in vals] + [("h", 1.0)], "k string, x double")
-    out = {r.k: r for r in quantiles_wide(df, ["x"], [0.01, 0.5, 0.99], ["k"], accuracy=100).collect()}
+    out = {r.k: r for r in quantiles_wide(df, ["x"], [0.01, 0.5, 0.99], ["k"], accuracy=100,
+                                          method="bracket").collect()}
     for p, name in [(0.01, "x_q01"), (0.5, "x_q5"), (0.99, "x_q99")]:
         assert out["g"][name] == pytest.approx(_linear_quantile(vals, p))
         assert out["h"][name] == 1.0
