@@ -231,14 +231,15 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), whisker: float =
     key = by if by else ["_bk"]
     base = df if by else df.withColumn("_bk", F.lit(0))
     qk = q if by else F.broadcast(q.withColumn("_bk", F.lit(0)))  # one row when ungrouped
-    j = base.join(qk, key)
-    agg = j.groupBy(*key).agg(
+    # the quartile columns are constant within a group: grouping by them keeps
+    # them in one pass (no second join back to the quartile table)
+    qcols = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
+    out = base.join(qk, key).groupBy(*key, *qcols).agg(
         F.count(v).alias("n"),
         F.min(F.when(v >= F.col("lower_fence"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("upper_fence"), v)).alias("whisker_hi"),
         F.count_if(v < F.col("lower_fence")).alias("n_low"),
         F.count_if(v > F.col("upper_fence")).alias("n_high"))
-    out = qk.join(agg, key)
     return out.drop("_bk") if not by else out
 
 

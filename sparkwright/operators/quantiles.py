@@ -47,16 +47,39 @@ def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return g.agg(F.max("_n")).first()[0] or 0
 
 
-def _quantile_buffered(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """Small groups: Spark's exact ``percentile`` (linear interpolation), same long form."""
+def _quantile_buffered(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str],
+                       mode: str = "cont") -> DataFrame:
+    """Small groups (every group at most ``SMALL_GROUP_ROWS`` rows), same long form.
+
+    ``cont``: Spark's exact ``percentile``. ``rank``: the group's sorted
+    non-null values (bounded by the same size check), read at the exact
+    positions ``ceil(p*n)`` and one before.
+    """
     aggs = []
     for ci, c in enumerate(cols):
         v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"_n{ci}"), F.percentile(v, [float(p) for p in probs]).alias(f"_q{ci}")]
+        if mode == "cont":
+            aggs += [F.count(v).alias(f"_n{ci}"), F.percentile(v, [float(p) for p in probs]).alias(f"_q{ci}")]
+        else:
+            aggs += [F.count(v).alias(f"_n{ci}"), F.sort_array(F.collect_list(v)).alias(f"_s{ci}")]
     g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    items = [F.struct(F.lit(ci).alias("_ci"), F.lit(pi).alias("_pi"), F.col(f"_n{ci}").alias("n"),
-                      F.col(f"_q{ci}")[pi].alias("value"), F.lit(None).cast("double").alias("value_prev"))
-             for ci in range(len(cols)) for pi in range(len(probs))]
+    items = []
+    for ci in range(len(cols)):
+        for pi, p in enumerate(probs):
+            n = F.col(f"_n{ci}")
+            if mode == "cont":
+                value, prev = F.col(f"_q{ci}")[pi], F.lit(None).cast("double")
+            else:
+                f = Fraction(str(p))
+                pos = ((n * F.lit(f.numerator) + F.lit(f.denominator - 1))
+                       - F.pmod(n * F.lit(f.numerator) + F.lit(f.denominator - 1), F.lit(f.denominator))) \
+                    / F.lit(f.denominator)                                        # ceil(p*n), exact
+                pos = pos.cast("int")
+                arr = F.col(f"_s{ci}")
+                value = F.when(pos >= 1, F.try_element_at(arr, pos))
+                prev = F.when(pos >= 2, F.try_element_at(arr, pos - 1))
+            items.append(F.struct(F.lit(ci).alias("_ci"), F.lit(pi).alias("_pi"), n.alias("n"),
+                                  value.alias("value"), prev.alias("value_prev")))
     return g.select(*by, F.inline(F.array(*items)))
 
 
@@ -74,15 +97,15 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     position earlier (equal values there mean that position is inside a tie).
 
     ``method``: ``bracket`` (bounded state, any group size), ``buffer``
-    (Spark's exact ``percentile``; ``cont`` mode only), or ``auto``: one
+    (Spark's exact ``percentile``, or the sorted values in rank mode), or ``auto``: one
     count aggregate finds the largest group, and ``buffer`` is used when it
     is at most ``SMALL_GROUP_ROWS`` rows.
     """
     by = list(by)
-    if mode == "cont" and method == "auto":
+    if method == "auto":
         method = "buffer" if _largest_group(df, by) <= SMALL_GROUP_ROWS else "bracket"
-    if mode == "cont" and method == "buffer":
-        return _quantile_buffered(df, cols, probs, by)
+    if method == "buffer":
+        return _quantile_buffered(df, cols, probs, by, mode)
     cols, probs = list(cols), list(probs)
     key = by if by else ["_qk"]
     base = df if by else df.withColumn("_qk", F.lit(0))

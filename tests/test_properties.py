@@ -42,11 +42,15 @@ def test_quantile_large_group_small_accuracy(spark):
         assert out["h"][name] == 1.0
 
 
-def test_rank_mode_position(spark):
+@pytest.mark.parametrize("method", ["bracket", "buffer"])
+def test_rank_mode_position(spark, method):
     vals = [5, 1, 4, 2, 3, 9, 8, 7, 6, 10, 11]
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    r = quantile_long(df, ["x"], [0.1], mode="rank").first()
+    r = quantile_long(df, ["x"], [0.1], mode="rank", method=method).first()
     assert (r.value, r.value_prev) == (2.0, 1.0)       # ceil(1.1) = 2nd smallest
+    ten = spark.createDataFrame([(float(v),) for v in range(1, 11)] + [(None,)], "x double")
+    r = quantile_long(ten, ["x"], [0.1], mode="rank", method=method).first()
+    assert (r.n, r.value, r.value_prev) == (10, 1.0, None)   # ceil(0.1 * 10) = 1 exactly
 
 
 def test_running_sum_matches_cumsum(spark):

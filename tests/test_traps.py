@@ -162,3 +162,20 @@ def test_count_forms_equal_array_forms(spark):
                   TX.capital_token_count("t").alias("c"),
                   TX.count_matching(TX.tokens("t", lower=False)).alias("d")).collect()
     assert all(x.a == x.b and x.c == x.d for x in r)
+
+
+def test_hot_key_running_forms_equal_windows(spark):
+    # one key holds most rows (ties on the order column included): the range-partitioned
+    # forms must give exactly the window results
+    data = [("hot", i // 3, i, float(i % 11)) for i in range(900)] + \
+           [(f"k{i % 9}", i // 2, 5000 + i, float(i % 5)) for i in range(90)]
+    df = spark.createDataFrame(data, "g string, t long, id long, v double")
+    win = W.history_mean(W.event_rank(W.event_ordinal(df, "g", "t", "id", "o", skew_safe=False),
+                                      "g", "t", "r", skew_safe=False),
+                         "g", "v", "t", "id", "h", skew_safe=False)
+    safe = W.history_mean(W.event_rank(W.event_ordinal(df, "g", "t", "id", "o", partitions=6),
+                                       "g", "t", "r", partitions=6),
+                          "g", "v", "t", "id", "h", partitions=6)
+    a = sorted((r.id, r.o, r.r, round(r.h, 9)) for r in win.collect())
+    b = sorted((r.id, r.o, r.r, round(r.h, 9)) for r in safe.collect())
+    assert a == b
