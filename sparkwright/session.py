@@ -28,6 +28,30 @@ SCALE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: float, target_partition_bytes: float = 256 * 2**20,
+                 executors: int | None = None, cores_per_executor: int = 4) -> dict:
+    """Partition sizing for a cluster run, from the input volume.
+
+    Scan splits and shuffle partitions are sized to ``target_partition_bytes``
+    (256 MiB: fits executor memory with room for aggregation buffers and
+    sorts, and keeps the task count manageable). The shuffle partition count
+    is an upper bound: AQE coalesces small partitions after each stage and
+    splits skewed ones. For 100 TB of input this gives about 400k shuffle
+    partitions before coalescing.
+    """
+    n = max(1, int(input_bytes // target_partition_bytes))
+    conf = {
+        "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes)),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(int(4 * target_partition_bytes)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    }
+    if executors:
+        conf["spark.default.parallelism"] = str(executors * cores_per_executor * 3)
+    return conf
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "sparkwright", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the scale settings applied."""
