@@ -67,13 +67,15 @@ def zip_by_key(frames: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def lookup_tokens(df: DataFrame, tokens: str, lexicon: DataFrame | Mapping[str, object],
-                  out: str = "mapped", keep_unmatched: bool = False) -> DataFrame:
+                  out: str = "mapped", keep_unmatched: bool = False, key: str | None = None) -> DataFrame:
     """Map each token through a lexicon.
 
     A small lexicon (a mapping) becomes a literal map: every row is mapped
     in place with ``transform`` + ``element_at``, with no explode and no
     shuffle. A lexicon DataFrame (any size) goes through explode, a join
-    (broadcast by AQE if small) and a regroup by row position.
+    (broadcast by AQE if small) and a regroup by row position; pass the
+    row key as ``key`` (otherwise a generated id is used, which relies on
+    both branches reading the input in the same order).
     """
     if isinstance(lexicon, Mapping):
         m = F.create_map(*[x for k, v in lexicon.items() for x in (F.lit(k), F.lit(v))])
@@ -82,13 +84,14 @@ def lookup_tokens(df: DataFrame, tokens: str, lexicon: DataFrame | Mapping[str,
         if not keep_unmatched:
             mapped = F.filter(mapped, lambda x: x.isNotNull())
         return df.withColumn(out, mapped)
-    key, val = lexicon.columns[:2]
-    rid = "_rid"
-    base = df.withColumn(rid, F.monotonically_increasing_id())
-    ex = base.select(rid, F.posexplode(F.col(tokens)).alias("_pos", key))
+    lk, lv = lexicon.columns[:2]
+    rid = key or "_rid"
+    base = df if key else df.withColumn(rid, F.monotonically_increasing_id())
+    ex = base.select(rid, F.posexplode(F.col(tokens)).alias("_pos", lk))
     how = "left" if keep_unmatched else "inner"
-    j = ex.join(lexicon, key, how)
-    mapped_val = F.coalesce(F.col(val), F.col(key)) if keep_unmatched else F.col(val)
+    j = ex.join(lexicon, lk, how)
+    mapped_val = F.coalesce(F.col(lv), F.col(lk)) if keep_unmatched else F.col(lv)
     agg = j.groupBy(rid).agg(F.sort_array(F.collect_list(F.struct("_pos", mapped_val.alias("_v")))).alias("_s"))
     agg = agg.select(rid, F.transform("_s", lambda s: s["_v"]).alias(out))
-    return base.join(agg, rid, "left").withColumn(out, F.coalesce(F.col(out), F.array())).drop(rid)
+    out_df = base.join(agg, rid, "left").withColumn(out, F.coalesce(F.col(out), F.array()))
+    return out_df if key else out_df.drop(rid)

@@ -46,6 +46,8 @@ def test_j10_lookup_with_lexicon_frame(spark):
     out = lookup_tokens(docs, "toks", lex, out="lem", keep_unmatched=True)
     got = {r.id: r.lem for r in out.collect()}
     assert got == {1: ["be", "good", "x"], 2: []}
+    keyed = lookup_tokens(docs, "toks", lex, out="lem", keep_unmatched=True, key="id")
+    assert {r.id: r.lem for r in keyed.collect()} == got
     m = lookup_tokens(docs, "toks", {"is": "be"}, out="lem")
     assert {r.id: r.lem for r in m.collect()} == {1: ["be"], 2: []}
 
@@ -92,3 +94,9 @@ def test_value_counts_share_from_scalar_subquery(spark):
     got = {r.c: (r["count"], r.share) for r in P.value_counts(df, "c", normalize=True).collect()}
     assert got == {"a": (2, 0.5), "b": (1, 0.25), None: (1, 0.25)}
     assert F is not None
+
+
+def test_a22_ceil_fraction_is_exact(spark):
+    df = spark.createDataFrame([(30,), (31,), (0,), (9,)], "n long")
+    got = [r.c for r in df.select(P.ceil_fraction(F.col("n"), 0.1).alias("c")).collect()]
+    assert got == [3, 4, 0, 1]       # 30 * 0.1 in binary floating point would ceil to 4
