@@ -2,9 +2,9 @@
 
 Counts come from one conditional aggregate (no join to a label grid).
 Curves need a running sum over scores: rows are first grouped by score
-(partial aggregation), then ``running_sum`` range-partitions the distinct
-scores, sums inside each slice, and adds slice offsets from a table with
-one row per slice: no unpartitioned window over raw rows.
+(partial aggregation), then ``running_sum`` cuts the distinct scores into
+value slices, sums inside each slice, and adds slice offsets from a table
+with one row per slice: no unpartitioned window over raw rows.
 """
 
 from __future__ import annotations
@@ -23,14 +23,19 @@ def _c(x):
 
 def running_sum(df: DataFrame, order: str, cols: Sequence[str], descending: bool = True,
                 partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
-    """Global running sums of ``cols`` ordered by the unique key ``order``.
+    """Global running sums of ``cols`` ordered by the unique numeric key ``order``.
 
-    Range partitioning sorts the key into slices; each slice is summed
-    locally, and slice totals (one row per slice) give the offsets.
+    Each row's slice is an equal-width bucket of its key between the exact
+    global min and max (scalar subqueries), so it is the same in both plan
+    branches; each slice is summed in its own task, and slice totals (one
+    row per slice, broadcast) give the offsets.
     """
+    from .windows import value_bucket
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order).desc() if descending else F.col(order).asc()
-    s = df.repartitionByRange(n, key).withColumn("_slice", F.spark_partition_id())
+    v = F.col(order).cast("double")
+    lo, hi = df.agg(F.min(v)).scalar(), df.agg(F.max(v)).scalar()
+    s = df.withColumn("_slice", value_bucket(v, lo, hi, n, descending))
     w_local = Window.partitionBy("_slice").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     local = s.withColumns({f"{c}_loc": F.sum(c).over(w_local) for c in cols})
     tot = s.groupBy("_slice").agg(*[F.sum(c).alias(f"{c}_tot") for c in cols])

@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _cols(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
@@ -74,8 +76,8 @@ def lookup_tokens(df: DataFrame, tokens: str, lexicon: DataFrame | Mapping[str,
     in place with ``transform`` + ``element_at``, with no explode and no
     shuffle. A lexicon DataFrame (any size) goes through explode, a join
     (broadcast by AQE if small) and a regroup by row position; pass the
-    row key as ``key`` (otherwise a generated id is used, which relies on
-    both branches reading the input in the same order).
+    row key as ``key`` (otherwise a generated id is attached and the tagged
+    input is checkpointed, so both branches see the same ids).
     """
     if isinstance(lexicon, Mapping):
         m = F.create_map(*[x for k, v in lexicon.items() for x in (F.lit(k), F.lit(v))])
@@ -86,7 +88,9 @@ def lookup_tokens(df: DataFrame, tokens: str, lexicon: DataFrame | Mapping[str,
         return df.withColumn(out, mapped)
     lk, lv = lexicon.columns[:2]
     rid = key or "_rid"
-    base = df if key else df.withColumn(rid, F.monotonically_increasing_id())
+    # a generated id must not be recomputed differently in the two branches
+    # below: without a key, the tagged input is checkpointed once
+    base = df if key else cut_lineage(df.withColumn(rid, F.monotonically_increasing_id()))
     ex = base.select(rid, F.posexplode(F.col(tokens)).alias("_pos", lk))
     how = "left" if keep_unmatched else "inner"
     j = ex.join(lexicon, lk, how)

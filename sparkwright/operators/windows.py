@@ -4,7 +4,7 @@ Where no order is needed (group means, deviations, z-scores) the group
 statistic is an aggregate joined back by key: partial aggregation happens
 map-side, and a hot key does not pull its rows into one sorted window
 task. Ordered positions (ordinals, ranks, prior-row means) default to
-``grouped_running``: range partitioning keeps tasks balanced when one
+``grouped_running``: value-range slices keep tasks balanced when one
 group holds a large share of all rows; ``skew_safe=False`` selects the
 plain per-group window (fewer stages when groups are known to be small).
 """
@@ -25,25 +25,55 @@ def _cols(x) -> list[str]:
 
 # ------------------------------------------------------------- ordinals
 
+def value_bucket(v: Column, lo: Column, hi: Column, n: int, descending: bool = False) -> Column:
+    """Equal-width bucket 0..n-1 of ``v`` between ``lo`` and ``hi`` (exact bounds).
+
+    A deterministic function of the row's value: every recomputation of a
+    plan branch puts a row in the same bucket, and buckets are contiguous in
+    sort order (nulls, which sort first, go to the first bucket).
+    """
+    width = hi - lo
+    b = F.floor((v - lo) / width * F.lit(n))
+    b = F.when(width > 0, F.least(F.greatest(b, F.lit(0)), F.lit(n - 1))).otherwise(F.lit(0))
+    b = F.coalesce(b, F.lit(0))
+    return (F.lit(n - 1) - b if descending else b).cast("int")
+
+
+def _numeric_order(df: DataFrame, col: str) -> bool:
+    from pyspark.sql import types as T
+    return isinstance(df.schema[col].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
 def grouped_running(df: DataFrame, by, order: Sequence[str], sums: dict[str, Column],
                     partitions: int | None = None, inclusive: bool = True) -> DataFrame:
     """Running sums within groups, ordered by ``order`` (unique within a group),
     without a per-group window task.
 
-    Rows are range-partitioned on (group, order): a hot group is spread over
-    several slices. Each slice sums locally per group; slice totals (one row
-    per (group, slice)) give each slice its offset. ``inclusive=False`` sums
-    the rows strictly before the current one.
+    Each row gets a slice: an equal-width bucket of its first order column
+    between the group's exact min and max. Slices are contiguous in order
+    and a pure function of the row, so both plan branches below (local sums,
+    slice totals) agree on them even when recomputed. A hot group is spread
+    over many slices; each slice is summed in its own task and offset by the
+    totals of the group's earlier slices (one row per (group, slice)).
+    ``inclusive=False`` sums the rows strictly before the current one.
+    A non-numeric first order column falls back to a per-group window.
     """
     by = _cols(by)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*[F.col(c) for c in by], *[F.col(c) for c in order]]
-    s = df.withColumns({f"_x_{k}": e for k, e in sums.items()}) \
-        .repartitionByRange(n, *keys).withColumn("_slice", F.spark_partition_id())
+    order = list(order)
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
-    w = Window.partitionBy("_slice", *by).orderBy(*[F.col(c) for c in order]).rowsBetween(*frame)
-    local = s.withColumns({f"_l_{k}": F.coalesce(F.sum(f"_x_{k}").over(w), F.lit(0)) for k in sums})
-    tot = s.groupBy(*by, "_slice").agg(*[F.sum(f"_x_{k}").alias(f"_t_{k}") for k in sums])
+    x = df.withColumns({f"_x_{k}": e for k, e in sums.items()})
+    if not _numeric_order(df, order[0]):
+        w = Window.partitionBy(*by).orderBy(*[F.col(c) for c in order]).rowsBetween(*frame)
+        out = x.withColumns({k: F.coalesce(F.sum(f"_x_{k}").over(w), F.lit(0)) for k in sums})
+        return out.drop(*[f"_x_{k}" for k in sums])
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = x.withColumn("_ok", order_key(df, order[0]).cast("double"))
+    mm = x.groupBy(*by).agg(F.min("_ok").alias("_lo"), F.max("_ok").alias("_hi"))    # exact, deterministic
+    x = x.join(mm, by, "left").withColumn("_slice", value_bucket(F.col("_ok"), F.col("_lo"), F.col("_hi"), n)) \
+        .drop("_ok", "_lo", "_hi")
+    w = Window.partitionBy(*by, "_slice").orderBy(*[F.col(c) for c in order]).rowsBetween(*frame)
+    local = x.withColumns({f"_l_{k}": F.coalesce(F.sum(f"_x_{k}").over(w), F.lit(0)) for k in sums})
+    tot = x.groupBy(*by, "_slice").agg(*[F.sum(f"_x_{k}").alias(f"_t_{k}") for k in sums])
     w_off = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_slice", *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_o_{k}")
                                        for k in sums])

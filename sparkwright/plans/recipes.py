@@ -28,7 +28,7 @@ def panel_frame(spark, d):
         F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"), F.sum("l_quantity").alias("qty"))
     p = o.join(li, "o_orderkey").withColumns({
         "yr": F.year("o_orderdate"), "ym": F.year("o_orderdate") * 100 + F.month("o_orderdate")})
-    ratios = ["o_totalprice", "disc", "tax", "qty"]
+    ratios = _RATIOS
     # the quantile-based stages read their input in several branches:
     # each stage starts from a checkpoint, so no stage is recomputed per
     # branch and the plans stay small
@@ -39,14 +39,53 @@ def panel_frame(spark, d):
     return p, [f"{c}_z" for c in ratios]
 
 
-@query("r_panel")
+_RATIOS = ["o_totalprice", "disc", "tax", "qty"]
+
+
+def _bounds_sql(src, lo, hi):
+    qs = ", ".join(f"quantile_cont({c}, {lo}) AS {c}_lo, quantile_cont({c}, {hi}) AS {c}_hi" for c in _RATIOS)
+    return f"SELECT yr, {qs} FROM {src} GROUP BY yr"
+
+
+def _flags_sql(x, b):
+    return [f"coalesce({x}.{c} < {b}.{c}_lo OR {x}.{c} > {b}.{c}_hi, false)" for c in _RATIOS]
+
+
+def _panel_sql():
+    from ..operators.split import walk_forward_plan
+    folds = []
+    for i, (v, train) in enumerate(walk_forward_plan(range(1995, 2002), "expanding", n_folds=3)):
+        ys = ", ".join(str(y) for y in train)
+        folds.append(f"SELECT {i} AS fold, 'train' AS role, label FROM lab WHERE yr IN ({ys}) "
+                     f"AND o_orderdate < TIMESTAMP '{v - 1}-07-01 00:00:00'")
+        folds.append(f"SELECT {i}, 'valid', label FROM lab WHERE yr = {v}")
+    return f"""
+WITH li AS (SELECT l_orderkey, avg(l_discount) AS disc, avg(l_tax) AS tax, sum(l_quantity) AS qty
+            FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderdate, li.disc, li.tax, li.qty,
+             CAST(year(o.o_orderdate) AS INTEGER) AS yr,
+             CAST(year(o.o_orderdate) * 100 + month(o.o_orderdate) AS INTEGER) AS ym
+      FROM orders o JOIN li ON o.o_orderkey = li.l_orderkey),
+b1 AS ({_bounds_sql('p', 0.005, 0.995)}),
+t1 AS (SELECT p.* FROM p JOIN b1 ON p.yr = b1.yr WHERE NOT ({' OR '.join(_flags_sql('p', 'b1'))})),
+b2 AS ({_bounds_sql('t1', 0.025, 0.975)}),
+t2 AS (SELECT t1.* FROM t1 JOIN b2 ON t1.yr = b2.yr
+       WHERE ({' + '.join(f'CAST({e} AS INTEGER)' for e in _flags_sql('t1', 'b2'))}) <= 2),
+m AS (SELECT ym, quantile_cont(o_totalprice, 0.5) AS med FROM t2 GROUP BY ym),
+lab AS (SELECT t2.*, CASE WHEN t2.o_totalprice IS NULL THEN 0 WHEN t2.o_totalprice >= m.med THEN 1 ELSE 0 END AS label
+        FROM t2 JOIN m ON t2.ym = m.ym),
+f AS ({' UNION ALL '.join(folds)})
+SELECT fold, role, count(*) AS n, round(avg(label), 6) AS pos_share FROM f GROUP BY fold, role"""
+
+
+@query("r_panel", _panel_sql())
 def r_panel(spark, d):
     """Panel recipe: trims, normalisation, label, walk-forward fold sizes (M4, 6-month embargo)."""
     p, _feats = panel_frame(spark, d)
     years = [r[0] for r in p.select("yr").distinct().collect()]          # one row per year
     plan = S.walk_forward_plan(years, "expanding", n_folds=3)
     wf = S.walk_forward(p, "yr", "o_orderdate", plan, embargo_months=6)
-    return wf.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("pos_share"))
+    return rounded(wf.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("pos_share")))
 
 
 @query("r_panel_rank")
@@ -62,17 +101,45 @@ def r_panel_rank(spark, d):
     return score_and_rank(model, a.transform(hold), "o_custkey", 15)
 
 
-@query("r_reviews")
-def r_reviews(spark, d):
-    """Reviews recipe on events (T30: every feature is built before it is used): ordinals (W1, W2), early flag (W4), deviations (W5, W7),
-    leak-free history (W6), decay weight (N14, N15), then a logistic fit and AUC (E6)."""
+def reviews_frame(spark, d):
+    """Reviews features on events: ordinals (W1, W2), early flag (W4), deviation
+    from the product mean (W5, W7), leak-free reviewer history (W6), decay
+    weight (N14, N15); skew-safe forms throughout."""
     e = tbl(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
     e = W.event_ordinal(e, "event_type", "ts", "event_id", "product_order")
     e = W.event_ordinal(e, "user_id", "ts", "event_id", "reviewer_order")
     e = W.early_flag(e, "event_type", "ts", 0.1)
     e = W.deviation(e, "event_type", "value", out="dev_product")
     e = W.history_mean(e, "user_id", "value", "ts", "event_id", out="user_history")
-    e = e.withColumn("weight", C.decay(C.days_since("ts", "2024-02-01")))
+    return e.withColumn("weight", C.decay(C.days_since("ts", "2024-02-01")))
+
+
+@query("r_reviews_features", """
+WITH e AS (SELECT event_id, user_id, event_type, ts, value FROM events),
+r AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY ts) AS rk FROM e),
+th AS (SELECT event_type, CAST(ceil(count(*) * 0.1) AS BIGINT) AS thr FROM e GROUP BY event_type),
+c AS (SELECT DISTINCT r.event_type, r.ts AS cutoff FROM r JOIN th ON r.event_type = th.event_type AND r.rk = th.thr),
+mu AS (SELECT event_type, avg(value) AS mu FROM e GROUP BY event_type)
+SELECT e.event_id,
+  CAST(row_number() OVER (PARTITION BY e.event_type ORDER BY e.ts, e.event_id) AS INTEGER) AS product_order,
+  CAST(row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS INTEGER) AS reviewer_order,
+  CASE WHEN c.cutoff IS NOT NULL AND e.ts < c.cutoff THEN 1 ELSE 0 END AS is_early,
+  round(e.value - mu.mu, 6) AS dev_product,
+  round(coalesce(avg(e.value) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS user_history,
+  round(exp(-0.01 * date_diff('day', CAST(e.ts AS DATE), DATE '2024-02-01')), 6) AS weight
+FROM e LEFT JOIN c ON e.event_type = c.event_type JOIN mu ON e.event_type = mu.event_type""")
+def r_reviews_features(spark, d):
+    """Reviews recipe, feature stage (T30: every feature is built before it is used)."""
+    e = reviews_frame(spark, d)
+    return rounded(e.select("event_id", "product_order", "reviewer_order", "is_early", "dev_product",
+                            "user_history", "weight"))
+
+
+@query("r_reviews")
+def r_reviews(spark, d):
+    """Reviews recipe, model stage: logistic fit on the features and exact AUC."""
+    e = reviews_frame(spark, d)
     e = e.withColumn("label", (F.col("value") > F.col("value_group_mean")).cast("double"))
     feats = ["product_order", "reviewer_order", "is_early", "user_history", "weight"]
     x = cut_lineage(X.assemble(feats).transform(e.withColumns({c: F.col(c).cast("double") for c in feats})))
