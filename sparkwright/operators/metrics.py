@@ -34,7 +34,8 @@ def running_sum(df: DataFrame, order: str, cols: Sequence[str], descending: bool
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order).desc() if descending else F.col(order).asc()
     v = F.col(order).cast("double")
-    lo, hi = df.agg(F.min(v)).scalar(), df.agg(F.max(v)).scalar()
+    mm = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()   # one subquery
+    lo, hi = mm["lo"], mm["hi"]
     s = df.withColumn("_slice", value_bucket(v, lo, hi, n, descending))
     w_local = Window.partitionBy("_slice").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     local = s.withColumns({f"{c}_loc": F.sum(c).over(w_local) for c in cols})
@@ -116,8 +117,8 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """At each distinct score t (predict positive when score >= t):
     tp, fp, tpr, fpr, precision, recall."""
     g = score_table(df, label, score)
-    totals = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    P, N = totals.select("P").scalar(), totals.select("N").scalar()
+    totals = g.agg(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()   # one subquery
+    P, N = totals["P"], totals["N"]
     c = running_sum(g, "threshold", ["pos", "neg"], descending=True)
     tp, fp = F.col("pos_cum"), F.col("neg_cum")
     return c.select("threshold", tp.alias("tp"), fp.alias("fp"),
