@@ -207,13 +207,13 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     median for reference lines. Edges come from scalar subqueries.
     """
     c = F.col(col).cast("double")
-    mm = df.agg(F.min(c).alias("mn"), F.max(c).alias("mx"))
-    mn, mx = mm.select("mn").scalar(), mm.select("mx").scalar()
+    # min, max and mean in one scalar subquery (one pass, reused by every reference)
+    st = df.agg(F.struct(F.min(c).alias("mn"), F.max(c).alias("mx"), F.avg(c).alias("mean"))).scalar()
+    mn, mx, mean = st["mn"], st["mx"], st["mean"]
     width = (mx - mn) / F.lit(bins)
     b = F.least(F.floor((c - mn) / (mx - mn) * F.lit(bins)) + 1, F.lit(bins)).cast("int")
     b = F.when(mx == mn, F.lit(1)).otherwise(b)
     h = df.filter(c.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    mean = df.agg(F.avg(c)).scalar()
     median = quantiles_wide(df, [col], [0.5], names=["median"]).scalar()
     return h.select("bin", (mn + (F.col("bin") - 1) * width).alias("lo"), (mn + F.col("bin") * width).alias("hi"),
                     "n", mean.alias("mean"), median.alias("median"))
