@@ -221,6 +221,27 @@ def q_kbest(spark, d):
     return spark.createDataFrame([(DOC_FEATURES[i],) for i in m.selectedFeatures], "feature string")
 
 
+_KB_COLS = ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']
+
+
+@query("q_kbest_anova", """
+WITH u AS (SELECT 'l_quantity' AS feature, l_returnflag AS g, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_extendedprice' AS feature, l_returnflag AS g, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'l_discount' AS feature, l_returnflag AS g, l_discount AS v FROM lineitem UNION ALL SELECT 'l_tax' AS feature, l_returnflag AS g, l_tax AS v FROM lineitem),
+gs AS (SELECT feature, g, count(*) AS n, avg(v) AS m, var_samp(v) AS vs FROM u GROUP BY feature, g),
+tot AS (SELECT feature, avg(v) AS mu, count(*) AS nn FROM u GROUP BY feature),
+f AS (SELECT gs.feature, (sum(gs.n * (gs.m - tot.mu) * (gs.m - tot.mu)) / (count(*) - 1))
+                         / (sum((gs.n - 1) * gs.vs) / (max(tot.nn) - count(*))) AS fstat
+      FROM gs JOIN tot ON gs.feature = tot.feature GROUP BY gs.feature)
+SELECT feature FROM f ORDER BY fstat DESC LIMIT 2""")
+def q_kbest_anova(spark, d):
+    """X26 against the closed form: the 2 best of 4 columns by ANOVA F for the return flag."""
+    from pyspark.ml.feature import StringIndexer
+    li = tbl(spark, d, "lineitem").select("l_returnflag", *_KB_COLS)
+    li = StringIndexer(inputCol="l_returnflag", outputCol="label").fit(li).transform(li)
+    x = X.assemble(_KB_COLS).transform(li)
+    m = X.k_best("features", "label", "sel", 2).fit(x)
+    return spark.createDataFrame([(_KB_COLS[i],) for i in m.selectedFeatures], "feature string")
+
+
 @query("q_coef_select")
 def q_coef_select(spark, d):
     """Refit on features whose |coef| >= 1.25 x median |coef| (scaled features)."""
