@@ -194,14 +194,22 @@ def q_hash(spark, d):
     return out.select("doc_id", F.size(F.filter(arr, lambda x: x != 0)).alias("n_nonzero"))
 
 
-@query("q_countvec")
+@query("q_countvec", f"""
+WITH t AS (SELECT doc_id, list_filter({_TOKS.format(c='text')}, lambda x: NOT list_contains({_sql_list(T.STOPWORDS)}, lower(x))) AS toks
+           FROM documents),
+u AS (SELECT doc_id, unnest(toks) AS tok FROM t),
+v AS (SELECT tok FROM u GROUP BY tok HAVING count(DISTINCT doc_id) >= 2 ORDER BY count(*) DESC, tok LIMIT 90000),
+c AS (SELECT u.doc_id, u.tok, count(*) AS n FROM u JOIN v ON u.tok = v.tok GROUP BY u.doc_id, u.tok),
+s AS (SELECT doc_id, max(n) AS mx, sum(n) AS tot FROM c GROUP BY doc_id)
+SELECT t.doc_id, round(coalesce(s.mx / s.tot, 0.0), 6) AS tf_max FROM t LEFT JOIN s ON t.doc_id = s.doc_id""")
 def q_countvec(spark, d):
-    """X8 + N21: CountVectorizer (min DF 2) and true TF by L1 normalisation; terms per document."""
+    """X8 + N21: CountVectorizer (min DF 2, vocabulary cap 90,000) and true TF by L1
+    normalisation; the largest term share per document."""
     from pyspark.ml.functions import vector_to_array
     _m, out = T.count_vectors(_doc_tokens(spark, d), "toks", "tf", vocab_size=90_000, min_df=2.0)
     out = T.tf_normalise(out, "tf", "tf_norm")
     arr = vector_to_array("tf_norm")
-    return out.select("doc_id", F.array_max(arr).alias("tf_max"))
+    return rounded(out.select("doc_id", F.array_max(arr).alias("tf_max")))
 
 
 @query("q_lda")
