@@ -149,9 +149,9 @@ def q_search(spark, d):
 
 @query("q_ols_pvalues")
 def q_ols_pvalues(spark, d):
-    """OLS with standard errors and p-values (intercept last)."""
-    li = tbl(spark, d, "lineitem")
-    return ST.ols(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    """OLS of per-order revenue with standard errors and p-values (intercept last)."""
+    x = cut_lineage(order_revenue(spark, d))
+    return ST.ols(x, ["gross", "avg_disc", "avg_tax", "n_lines"], "revenue")
 
 
 @query("q_ols_slope", """
@@ -164,11 +164,20 @@ def q_ols_slope(spark, d):
                          F.max(F.when(F.col("feature") == "intercept", F.col("coef"))).alias("intercept")), 4)
 
 
+def order_revenue(spark, d):
+    """Per-order revenue and its candidate predictors, aggregated from lineitem."""
+    li = tbl(spark, d, "lineitem")
+    return li.groupBy("l_orderkey").agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+        F.sum("l_extendedprice").alias("gross"), F.avg("l_discount").alias("avg_disc"),
+        F.avg("l_tax").alias("avg_tax"), F.count(F.lit(1)).cast("double").alias("n_lines"))
+
+
 @query("q_refit")
 def q_refit(spark, d):
-    """Keep p <= 0.1 and refit (T24: the code's rule)."""
-    li = tbl(spark, d, "lineitem")
-    keep, table = ST.refit_significant(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 0.1)
+    """M21 + M22: OLS of per-order revenue, keep p <= 0.1 (T24: the code's rule), refit."""
+    x = cut_lineage(order_revenue(spark, d))
+    keep, table = ST.refit_significant(x, ["gross", "avg_disc", "avg_tax", "n_lines"], "revenue", 0.1)
     return table
 
 
