@@ -50,3 +50,27 @@ def test_submission_columns(spark):
     df = spark.createDataFrame([(1, Vectors.dense([0.3, 0.7]))], ["id", "probability"])
     r = submission(df, "id").first()
     assert r.id == 1 and abs(r.label - 0.7) < 1e-12
+
+
+def test_submission_written_as_csv(spark, tmp_path):
+    from pyspark.ml.linalg import Vectors
+
+    from sparkwright.operators.models import submission
+    df = spark.createDataFrame([(1, Vectors.dense([0.9, 0.1])), (2, Vectors.dense([0.2, 0.8]))], ["id", "probability"])
+    out = str(tmp_path / "sub")
+    submission(df, "id", path=out)
+    back = spark.read.option("header", True).schema("id int, label double").csv(out)
+    assert sorted((r.id, r.label) for r in back.collect()) == [(1, 0.1), (2, 0.8)]
+
+
+def test_driver_entry_contract(spark):
+    import importlib.util
+    import os
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")
+    spec = importlib.util.spec_from_file_location("spark_entry", path)
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    df = mod.entry(spark)
+    assert df.count() > 0 and "c_custkey" in df.columns
+    qs, sql = mod.queries(), mod.oracle_sql()
+    assert set(sql) <= set(qs) and len(sql) >= 100
