@@ -95,8 +95,9 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         F.stddev_samp(F.col(c).cast("double")).alias(f"{c}__std"),
         F.min(F.col(c).cast("double")).alias(f"{c}__min"), F.max(F.col(c).cast("double")).alias(f"{c}__max"))])
     qs = quantiles_wide(df, cols, DESCRIBE_PROBS, names=["q25", "q50", "q75"])
-    # both sides are single rows: pair them by a constant key (1 x 1 rows)
-    wide = mom.withColumn("_k", F.lit(0)).join(F.broadcast(qs.withColumn("_k", F.lit(0))), "_k")
+    # the quartile row is attached as a scalar subquery (no join)
+    qst = qs.select(F.struct(*qs.columns).alias("s")).scalar()
+    wide = mom.withColumns({c: qst[c] for c in qs.columns})
     items = {c: {"count": F.col(f"{c}__count"), "mean": F.col(f"{c}__mean"), "std": F.col(f"{c}__std"),
                  "min": F.col(f"{c}__min"), "q25": F.col(f"{c}_q25"), "q50": F.col(f"{c}_q50"),
                  "q75": F.col(f"{c}_q75"), "max": F.col(f"{c}__max")} for c in cols}
@@ -228,19 +229,21 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), whisker: float =
         .withColumn("lower_fence", F.col("q1") - F.lit(whisker) * F.col("iqr")) \
         .withColumn("upper_fence", F.col("q3") + F.lit(whisker) * F.col("iqr"))
     v = F.col(col).cast("double")
-    key = by if by else ["_bk"]
-    base = df if by else df.withColumn("_bk", F.lit(0))
-    qk = q if by else F.broadcast(q.withColumn("_bk", F.lit(0)))  # one row when ungrouped
+    qcols = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
+    if by:
+        base = df.join(q, by)
+    else:
+        # one row of quartiles: attached as a scalar subquery (no join)
+        qst = q.select(F.struct(*qcols).alias("s")).scalar()
+        base = df.withColumns({c: qst[c] for c in qcols})
     # the quartile columns are constant within a group: grouping by them keeps
     # them in one pass (no second join back to the quartile table)
-    qcols = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
-    out = base.join(qk, key).groupBy(*key, *qcols).agg(
+    return base.groupBy(*by, *qcols).agg(
         F.count(v).alias("n"),
         F.min(F.when(v >= F.col("lower_fence"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("upper_fence"), v)).alias("whisker_hi"),
         F.count_if(v < F.col("lower_fence")).alias("n_low"),
         F.count_if(v > F.col("upper_fence")).alias("n_high"))
-    return out.drop("_bk") if not by else out
 
 
 def ceil_fraction(n: Column, frac: float) -> Column:

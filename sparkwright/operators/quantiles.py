@@ -117,11 +117,14 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         edges = [e for p in probs for e in _bracket(p, accuracy)]
         stat_exprs.append(F.approx_percentile(F.col(c).cast("double"), edges, accuracy).alias(f"_ap{ci}"))
     stats = base.groupBy(*key).agg(*stat_exprs)
-    if not by:
-        stats = F.broadcast(stats)          # one row, bounded by construction
-
-    joined = base.select(*key, *[F.col(c).cast("double").alias(f"_v{ci}") for ci, c in enumerate(cols)]) \
-        .join(stats, on=key, how="inner")
+    vals = base.select(*key, *[F.col(c).cast("double").alias(f"_v{ci}") for ci, c in enumerate(cols)])
+    if by:
+        joined = vals.join(stats, on=key, how="inner")
+    else:
+        # one global row: attach it as a scalar subquery (no join, no cross product)
+        names = [c for c in stats.columns if c not in key]
+        st = stats.select(F.struct(*names).alias("s")).scalar()
+        joined = vals.withColumns({c: st[c] for c in names})
 
     # 2a. exact count strictly below each bracket, plus the nearest value
     # just outside either edge (covers a sketch rank that is one off)
