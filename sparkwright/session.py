@@ -7,8 +7,9 @@ and scripts; library code never creates a session on its own.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,13 +90,16 @@ def spread_if_narrow(df: DataFrame, min_files: int | None = None) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (a bare local test session) a private temporary folder is created.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a
+    ``local`` session (tests, the bench) gets a private folder of its own; on
+    any other master this raises, because a folder of one machine is not
+    visible to the other executors.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master}")
         d = tempfile.mkdtemp(prefix="sparkwright-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -109,12 +113,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def save_intermediate(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
+def save_intermediate(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     The re-read plan starts at the files, so later stages do not recompute
-    (or lose with an executor) the lineage before this point.
+    (or lose with an executor) the lineage before this point. Each save has a
+    path of its own: an earlier frame saved under the same name, or by another
+    session, stays readable.
     """
-    path = os.path.join(checkpoint_dir(df.sparkSession), "tables", name)
-    df.write.mode(mode).parquet(path)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
