@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding
+from . import neardup, packing, quality, sharding, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates (five-word shingles, 0.8) of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, failure bits and verdict of every document."""
     rows = quality.ledger(table(spark, sf_dir, "documents"))
@@ -35,8 +40,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_stuttered", "n_shouted", F.col("bits").alias("failure_bits"), F.lit(quality.PRODUCTION.name).alias("policy"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op4_packing, op8_quality)}
+    return {f.__name__: f for f in (op1_sharding, op4_packing, op7_neardup, op8_quality, op9_toxicity)}
 
 
 def oracle_sql():
