@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neardup, packing, quality, sharding, toxicity
+from . import chat, neardup, packing, quality, sentencepieces, sharding, toxicity
 from .common import table
 
 
@@ -53,8 +53,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the SentencePiece model, and what they decode to."""
+    rows = sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_tokens", "ids_crc32", F.length("decoded").cast("long").alias("decoded_chars"),
+                       F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_chat, op4_packing, op7_neardup, op8_quality, op9_toxicity)}
+    return {f.__name__: f for f in (op1_sharding, op2_chat, op4_packing, op7_neardup, op8_quality, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pathlib
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,15 @@ def ship(spark: SparkSession) -> None:
             z.write(f, str(f.relative_to(package.parent)))
     sc.addPyFile(str(path))
     sc._sparkwright_shipped = True
+
+
+def text_slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts of about ``chars`` characters each (a longer text alone)."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > chars:
+            yield at, i
+            at, size = i, 0
+        size += len(t) + 1
+    if at < len(texts):
+        yield at, len(texts)

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import fresh, ship
+from .common import fresh, ship, text_slices
 from .graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4       # misses a pair at 0.8 with probability 5e-8
-BYTES_AT_ONCE = 2 << 20   # text worked on at a time inside a task
+CHARS_AT_ONCE = 2 << 20   # text worked on at a time inside a task
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 POWER, INVERSE = U(0x5851F42D4C957F2D), U(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -126,18 +126,6 @@ def bag_signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: i
     return sig.reshape(n_docs, m)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of the texts of about ``BYTES_AT_ONCE`` characters."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BYTES_AT_ONCE:
-            yield at, i
-            at, size = i, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def sign(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, list]:
     """For each text: two 64-bit keys of its word sequence and its band hashes (None without words)."""
     code, n = word_hashes(texts)
@@ -180,7 +168,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in _slices(texts):
+            for a, b in text_slices(texts, CHARS_AT_ONCE):
                 k1, k2, h = sign(texts[a:b], bands, rows)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
