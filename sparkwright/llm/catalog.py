@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neardup, packing, quality, sentencepieces, sharding, toxicity
+from . import chat, lm, neardup, packing, quality, sentencepieces, sharding, toxicity
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the suffix tree of the training documents."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates (five-word shingles, 0.8) of every document."""
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
@@ -61,7 +66,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_chat, op4_packing, op7_neardup, op8_quality, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_sharding, op2_chat, op4_packing, op6_lm, op7_neardup, op8_quality, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql():
