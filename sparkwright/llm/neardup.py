@@ -155,10 +155,9 @@ def bag(text: str) -> np.ndarray:
     return np.sort(mix(np.repeat(h, n) + again.astype(np.uint64) * GOLDEN))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two bags."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two bags."""
+    return len(np.intersect1d(a, b, assume_unique=True))
 
 
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -180,17 +179,37 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with their weighted Jaccard similarity ``j``."""
+    """``pairs`` (u, v) with the overlap ``o`` of their bags and their weighted Jaccard similarity ``j``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            j = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
-                 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], names=["u", "v", "j"])
+            bags = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
+                    for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            o = [overlap(a, b) for a, b in bags]
+            j = [n / max(1, len(a) + len(b) - n) for n, (a, b) in zip(o, bags)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(o, pa.int64()), pa.array(j, pa.float64())],
+                names=["u", "v", "o", "j"])
 
     left = bags.select(F.col("_row").alias("u"), F.col("_bag").alias("_a"))
     right = bags.select(F.col("_row").alias("v"), F.col("_bag").alias("_b"))
     both = pairs.join(right, "v").join(left, "u").select("u", "v", "_a", "_b")
-    return both.mapInArrow(work, "u long, v long, j double")
+    return both.mapInArrow(work, "u long, v long, o long, j double")
+
+
+def _common(bags: DataFrame) -> DataFrame:
+    """Per document (v) of ``bags``: its bag's size, and how much of it (common) other bags hold too."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row)), pa.array(h)], names=["v", "h"])
+
+    alone = bags.select("_row", "_bag").mapInArrow(work, "v long, h long") \
+        .groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).where("n = 1") \
+        .groupBy("v").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = bags.select(F.col("_row").alias("v"), (F.octet_length("_bag") / 8).cast("long").alias("size"))
+    return sizes.join(alone, "v", "left").select(
+        "v", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
@@ -201,12 +220,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     Jaccard similarity ``threshold`` or more; class_id is its least doc_id.
 
     Copies (equal lower-cased word sequences) are one vertex. In each bucket
-    of documents that agree in a band every member is verified against the
-    least one, the pivot; most buckets end there as one class. In the others
+    of documents that agree in a band every member is verified against one,
+    the pivot; most buckets end there as one class. In the others
     every pair of members of different classes that includes one outside the
-    bucket's largest class is verified too, except where the two distances to
-    the pivot differ by more than 1 - threshold: Jaccard distance is a metric,
-    so such a pair cannot be linked. No pair is left out otherwise.
+    bucket's largest class is verified too, except where it cannot be linked:
+    where the two distances to the pivot differ by more than 1 - threshold
+    (Jaccard distance is a metric), or where the overlap would be too small
+    even if the lesser overlap with the pivot were shared whole and so were
+    the lesser number of other shingles that occur in a second document. No
+    pair is left out otherwise.
 
     Nulls: a null text is empty; texts without words are equal and form one
     class. A null doc_id is a vertex like any other; a class of null ids only
@@ -222,8 +244,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
                           .select("doc_id", "_hash", "_row", "_node"))
     nodes = signed.join(least.select(F.col("_node").alias("_row")), "_row", "left_semi")
     entries = nodes.select(F.col("_row").alias("v"), F.explode("_bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = cut_lineage(entries.join(buckets.select("key", "u"), "key"))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = cut_lineage(entries.join(shared, "key"))
+    # The member that meets most others, over all its bands, is a bucket's pivot:
+    # of a text and its many edited copies that is the text.
+    known = entries.groupBy("v").agg(F.sum("n").alias("meets"))
+    entries = entries.join(known, "v")
+    pivots = entries.groupBy("key").agg(F.max_by("v", F.struct("meets", -F.col("v"))).alias("u"))
+    entries = cut_lineage(entries.select("key", "v").join(pivots, "key"))
     texts = members.join(entries.select(F.col("v").alias("_row")).distinct(), "_row", "left_semi") \
         .select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_row")
 
@@ -240,18 +268,25 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     roots = components(first.where(F.col("j") >= threshold))
     placed = entries.join(roots.select(F.col("vertex").alias("v"), "root"), "v", "left") \
         .join(first, ["u", "v"], "left") \
-        .select("key", "v", F.coalesce("root", "v").alias("root"),
+        .select("key", "u", "v", F.coalesce("root", "v").alias("root"), "o",
                 F.when(F.col("u") == F.col("v"), 0.0).otherwise(1 - F.col("j")).alias("d"))
     split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
     placed = cut_lineage(placed.join(split, "key", "left_semi"))
+    placed = placed.join(_common(bags.join(placed.select(F.col("v").alias("_row")).distinct(), "_row", "left_semi")), "v") \
+        .where(F.col("common") >= threshold * F.col("size")) \
+        .withColumn("o", F.when(F.col("u") == F.col("v"), F.col("size")).otherwise(F.col("o"))) \
+        .withColumn("beside", F.greatest(F.col("common") - F.col("o"), F.lit(0)))
     main = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")) \
         .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     others = placed.join(main, "key").where("root != main").select(
-        "key", F.col("v").alias("v1"), F.col("root").alias("root1"), F.col("d").alias("d1"))
-    far = 1 - threshold + 1e-9
-    rest = placed.join(others, "key").where((F.col("root") != F.col("root1")) & (F.abs(F.col("d") - F.col("d1")) <= far)) \
-        .select(F.least("v", "v1").alias("u"), F.greatest("v", "v1").alias("v")).distinct() \
-        .join(first.select("u", "v"), ["u", "v"], "left_anti")
+        "key", *[F.col(c).alias(c + "1") for c in ("v", "root", "d", "o", "beside", "size")])
+    most = F.least("o", "o1") + F.least("beside", "beside1")
+    near = (F.abs(F.col("d") - F.col("d1")) <= 1 - threshold + 1e-9) \
+        & (most >= threshold * (F.col("size") + F.col("size1") - most) - 1e-9)
+    rest = placed.join(others, "key").where((F.col("root") != F.col("root1")) & near) \
+        .select(F.least("v", "v1").alias("u"), F.greatest("v", "v1").alias("v")).distinct()
+    tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    rest = rest.join(tried, ["u", "v"], "left_anti")
     second = _verified(rest, bags).where(F.col("j") >= threshold)
     roots = components(first.where(F.col("j") >= threshold).unionAll(second).select("u", "v"))
     rooted = members.join(roots.select(F.col("vertex").alias("_node"), "root"), "_node", "left") \
