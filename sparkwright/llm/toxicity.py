@@ -216,7 +216,7 @@ def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
             n[int(toxic > 0)].update(_doc_features(text))
         names = list(n[0] | n[1])
-        yield pd.DataFrame({"feature": names, "toxic": [n[1][f] for f in names], "clean": [n[0][f] for f in names]})
+        yield pd.DataFrame({"feature": pd.Series(names, dtype=object), "toxic": [n[1][f] for f in names], "clean": [n[0][f] for f in names]})
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
@@ -235,7 +235,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         for pdf in batches:
             found = [sorted(_doc_features(t) & pure) for t in pdf["text"]]
             some = [bool(f) for f in found]
-            yield pd.DataFrame({"toxic": pdf["toxic"][some].astype("int32"), "found": [f for f in found if f]})
+            yield pd.DataFrame({"toxic": pdf["toxic"][some].astype("int32"), "found": pd.Series([f for f in found if f], dtype=object)})
 
     # Bounded by the sample: the pure terms of each of its documents.
     rows = sample.mapInPandas(matched, "toxic int, found array<string>").collect()
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_sam
     def near_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words = {w for t in pdf["text"] for w in WORD.findall(t.lower())}
-            yield pd.DataFrame({"word": [w for w, k in lexicon.hits(words).items() if k == 3]})
+            yield pd.DataFrame({"word": pd.Series([w for w, k in lexicon.hits(words).items() if k == 3], dtype=object)})
 
     clean = sample.where("toxic = 0").mapInPandas(near_clean, "word string").distinct().collect()
     lexicon = Lexicon(lexicon.words, lexicon.stems, frozenset(r.word for r in clean))
