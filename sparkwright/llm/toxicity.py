@@ -235,7 +235,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         for pdf in batches:
             found = [sorted(_doc_features(t) & pure) for t in pdf["text"]]
             some = [bool(f) for f in found]
-            yield pd.DataFrame({"toxic": pdf["toxic"][some].astype("int32"), "found": pd.Series([f for f in found if f], dtype=object)})
+            yield pd.DataFrame({"toxic": pdf["toxic"].to_numpy()[some].astype("int32"), "found": pd.Series([f for f in found if f], dtype=object)})
 
     # Bounded by the sample: the pure terms of each of its documents.
     rows = sample.mapInPandas(matched, "toxic int, found array<string>").collect()
