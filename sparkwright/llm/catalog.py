@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, neardup, packing, quality, sentencepieces, sharding, toxicity
+from . import ann, chat, lm, neardup, packing, quality, sentencepieces, sharding, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns.unionByName(extra)))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of largest inner product for every row whose vec_id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -66,7 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_chat, op4_packing, op6_lm, op7_neardup, op8_quality, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_sharding, op2_chat, op3_ann, op4_packing, op6_lm, op7_neardup, op8_quality, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql():
