@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lm, neardup, packing, quality, sentencepieces, sharding, toxicity
+from . import ann, chat, html, lm, neardup, packing, quality, sentencepieces, sharding, toxicity
 from .common import table
 
 
@@ -38,6 +38,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    rows = html.extract_pages(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document under the suffix tree of the training documents."""
     return lm.score_documents(table(spark, sf_dir, "documents"))
@@ -71,7 +77,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_chat, op3_ann, op4_packing, op6_lm, op7_neardup, op8_quality, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_sharding, op2_chat, op3_ann, op4_packing, op5_html, op6_lm, op7_neardup, op8_quality, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql():

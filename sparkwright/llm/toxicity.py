@@ -174,15 +174,17 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Newton fit of a logistic model with a free intercept and a ridge towards ``prior``."""
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 50,
+             weight: np.ndarray | None = None) -> np.ndarray:
+    """Newton fit of a logistic model with a free intercept and a ridge towards ``prior``; rows may have weights."""
+    r = np.ones(len(x)) if weight is None else weight
     a = np.column_stack([np.ones(len(x)), x])
     centre, pull = np.append(0.0, prior), np.append(1e-3, np.full(len(prior), ridge))
     w = centre.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (y - p) - pull * (w - centre)
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pull), grad)
+        grad = a.T @ (r * (y - p)) - pull * (w - centre)
+        step = np.linalg.solve((a * (r * p * (1 - p))[:, None]).T @ a + np.diag(pull), grad)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
