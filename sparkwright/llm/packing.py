@@ -82,7 +82,7 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         gaps = np.flatnonzero(count[size:]) + size
         if len(gaps):
             left = gaps - size
-            change = np.where(left > 0, count[left] + 1, 0) - count[gaps]
+            change = np.where(left > 0, 2 * count[left] + 2, 1) - 2 * count[gaps]
             gap = int(gaps[change.argmin()])
             count[gap] -= 1
             number = by_gap[gap].pop()
