@@ -302,7 +302,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     text has the least hash, of equal rows any).
     """
     kept = classes(docs, threshold=threshold).groupBy("_root") \
-        .agg(F.min(F.struct("doc_id", "_hash")).alias("k")) \
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("k")) \
         .select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_h"))
     h, n = fresh(docs, "_hash"), fresh(docs, "_nth")
     rows = docs.withColumn(h, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
