@@ -136,10 +136,11 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     blocks = -(-kind.q // query_block)
     written = []
     for block in range(blocks):
-        asked = rows.where(F.col("asks") & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)).select("vec_id", "v").toPandas()
-        if not len(asked):
+        asked = rows.where(F.col("asks") & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)).select("vec_id", "v").toArrow()
+        if not asked.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((asked["vec_id"].to_numpy("int64"), np.stack(asked["v"].to_numpy())))
+        values = asked["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+        shared = spark.sparkContext.broadcast((asked["vec_id"].to_numpy(), values))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, asks = shared.value
