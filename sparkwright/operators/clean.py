@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_on
 from .quantiles import quantiles_wide
 
 
@@ -77,7 +78,7 @@ def _with_bounds(df: DataFrame, by: Sequence[str], cols: Sequence[str], lo: floa
     # ``df`` is read by the bound computation (three passes) and by the join:
     # pass a scan or a checkpointed frame, not an expensive derived plan
     b = quantiles_wide(df, cols, [lo, hi], by, names=["_lo", "_hi"])
-    return df.join(b, list(by), "inner")
+    return join_on(df, b, list(by))
 
 
 def trim_panel_any(df: DataFrame, by: Sequence[str], cols: Sequence[str],

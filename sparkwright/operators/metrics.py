@@ -3,8 +3,8 @@
 Counts come from one conditional aggregate (no join to a label grid).
 Curves need a running sum over scores: rows are first grouped by score
 (partial aggregation), then ``running_sum`` cuts the distinct scores into
-value slices, sums inside each slice, and adds slice offsets from a table
-with one row per slice: no unpartitioned window over raw rows.
+ranges of about equal size, sums inside each, and adds offsets from a table
+with one row per range: no unpartitioned window over raw rows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_class
+from .windows import grouped_running
 
 
 def _c(x):
@@ -23,29 +24,8 @@ def _c(x):
 
 def running_sum(df: DataFrame, order: str, cols: Sequence[str], descending: bool = True,
                 partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
-    """Global running sums of ``cols`` ordered by the unique numeric key ``order``.
-
-    Each row's slice is an equal-width bucket of its key between the exact
-    global min and max (scalar subqueries), so it is the same in both plan
-    branches; each slice is summed in its own task, and slice totals (one
-    row per slice, broadcast) give the offsets.
-    """
-    from .windows import value_bucket
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(order).desc() if descending else F.col(order).asc()
-    v = F.col(order).cast("double")
-    mm = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()   # one subquery
-    lo, hi = mm["lo"], mm["hi"]
-    s = df.withColumn("_slice", value_bucket(v, lo, hi, n, descending))
-    w_local = Window.partitionBy("_slice").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    local = s.withColumns({f"{c}_loc": F.sum(c).over(w_local) for c in cols})
-    tot = s.groupBy("_slice").agg(*[F.sum(c).alias(f"{c}_tot") for c in cols])
-    w_off = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)   # one row per slice
-    offs = tot.select("_slice", *[F.coalesce(F.sum(f"{c}_tot").over(w_off), F.lit(0)).alias(f"{c}_off")
-                                  for c in cols])
-    out = local.join(F.broadcast(offs), "_slice")   # bounded: one row per slice
-    return out.withColumns({f"{c}{suffix}": F.col(f"{c}_loc") + F.col(f"{c}_off") for c in cols}) \
-        .drop("_slice", *[f"{c}_loc" for c in cols], *[f"{c}_off" for c in cols])
+    """Global running sums of ``cols`` ordered by the unique key ``order``, range by range (``grouped_running``)."""
+    return grouped_running(df, [], [order], {f"{c}{suffix}": F.col(c) for c in cols}, partitions, descending=descending)
 
 
 # ------------------------------------------------------------ confusion

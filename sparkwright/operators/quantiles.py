@@ -15,11 +15,10 @@ in three distributed steps:
 3. a running count over the bracket's distinct values only locates the
    k-th and (k+1)-th smallest values exactly.
 
-The bracket holds about ``4 * n / accuracy`` ranks, so no task ever sees
-more than that, whatever the group size; duplicates collapse to one row.
-
-When a count aggregate shows that every group is small (``SMALL_GROUP_ROWS``),
-Spark's exact ``percentile`` is used instead: same numbers, fewer stages.
+A bracket spans about ``6 * n / accuracy`` ranks, whose distinct values are
+ordered in one task per group and probability: with the default accuracy
+60,000 for a billion rows. Nothing depends on the size of the data otherwise,
+and nothing runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -29,11 +28,11 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .keys import join_on
 
 DEFAULT_ACCURACY = 100_000
-# Largest group for which Spark's exact ``percentile`` buffer (one entry per
-# distinct value of the group, in one task) is acceptable.
-SMALL_GROUP_ROWS = 1_000_000
 
 
 def _bracket(p: float, accuracy: int) -> tuple[float, float]:
@@ -41,51 +40,16 @@ def _bracket(p: float, accuracy: int) -> tuple[float, float]:
     return max(0.0, p - m), min(1.0, p + m)
 
 
-def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Row count of the largest group (one aggregate; one number to the driver)."""
-    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else df.select(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.max("_n")).first()[0] or 0
-
-
-def _quantile_buffered(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str],
-                       mode: str = "cont") -> DataFrame:
-    """Small groups (every group at most ``SMALL_GROUP_ROWS`` rows), same long form.
-
-    ``cont``: Spark's exact ``percentile``. ``rank``: the group's sorted
-    non-null values (bounded by the same size check), read at the exact
-    positions ``ceil(p*n)`` and one before.
-    """
-    aggs = []
-    for ci, c in enumerate(cols):
-        v = F.col(c).cast("double")
-        if mode == "cont":
-            aggs += [F.count(v).alias(f"_n{ci}"), F.percentile(v, [float(p) for p in probs]).alias(f"_q{ci}")]
-        else:
-            aggs += [F.count(v).alias(f"_n{ci}"), F.sort_array(F.collect_list(v)).alias(f"_s{ci}")]
-    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    items = []
-    for ci in range(len(cols)):
-        for pi, p in enumerate(probs):
-            n = F.col(f"_n{ci}")
-            if mode == "cont":
-                value, prev = F.col(f"_q{ci}")[pi], F.lit(None).cast("double")
-            else:
-                f = Fraction(str(p))
-                pos = ((n * F.lit(f.numerator) + F.lit(f.denominator - 1))
-                       - F.pmod(n * F.lit(f.numerator) + F.lit(f.denominator - 1), F.lit(f.denominator))) \
-                    / F.lit(f.denominator)                                        # ceil(p*n), exact
-                pos = pos.cast("int")
-                arr = F.col(f"_s{ci}")
-                value = F.when(pos >= 1, F.try_element_at(arr, pos))
-                prev = F.when(pos >= 2, F.try_element_at(arr, pos - 1))
-            items.append(F.struct(F.lit(ci).alias("_ci"), F.lit(pi).alias("_pi"), n.alias("n"),
-                                  value.alias("value"), prev.alias("value_prev")))
-    return g.select(*by, F.inline(F.array(*items)))
+def _value_type(df: DataFrame, cols: Sequence[str]) -> str:
+    """``bigint`` when every column is integral (values above 2**53 stay exact), else ``double``."""
+    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    kinds = df.select(*[F.col(c) for c in cols]).schema.fields
+    return "bigint" if all(isinstance(f.dataType, integral) for f in kinds) else "double"
 
 
 def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                   by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
-                  mode: str = "cont", method: str = "auto") -> DataFrame:
+                  mode: str = "cont") -> DataFrame:
     """Exact quantiles in long form: ``by + [_ci, _pi, n, value, value_prev]``.
 
     ``_ci``/``_pi`` index ``cols``/``probs``. Nulls are ignored; a group
@@ -96,18 +60,13 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     read as an exact decimal fraction; ``value_prev`` is the value one
     position earlier (equal values there mean that position is inside a tie).
 
-    ``method``: ``bracket`` (bounded state, any group size), ``buffer``
-    (Spark's exact ``percentile``, or the sorted values in rank mode), or ``auto``: one
-    count aggregate finds the largest group, and ``buffer`` is used when it
-    is at most ``SMALL_GROUP_ROWS`` rows.
+    Integral columns are compared as integers. A null key is a group. A rank
+    that a sketch failed to bracket raises an error, it never gives null.
     """
     by = list(by)
-    if method == "auto":
-        method = "buffer" if _largest_group(df, by) <= SMALL_GROUP_ROWS else "bracket"
-    if method == "buffer":
-        return _quantile_buffered(df, cols, probs, by, mode)
     cols, probs = list(cols), list(probs)
     key = by if by else ["_qk"]
+    kind = _value_type(df, cols)
     base = df if by else df.withColumn("_qk", F.lit(0))
 
     # 1. counts and sketches, partial aggregation on the map side
@@ -115,24 +74,31 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     for ci, c in enumerate(cols):
         stat_exprs.append(F.count(c).alias(f"_n{ci}"))
         edges = [e for p in probs for e in _bracket(p, accuracy)]
-        stat_exprs.append(F.approx_percentile(F.col(c).cast("double"), edges, accuracy).alias(f"_ap{ci}"))
+        stat_exprs.append(F.approx_percentile(F.col(c).cast(kind), edges, accuracy).alias(f"_ap{ci}"))
     stats = base.groupBy(*key).agg(*stat_exprs)
-    vals = base.select(*key, *[F.col(c).cast("double").alias(f"_v{ci}") for ci, c in enumerate(cols)])
+    vals = base.select(*key, *[F.col(c).cast(kind).alias(f"_v{ci}") for ci, c in enumerate(cols)])
     if by:
-        joined = vals.join(stats, on=key, how="inner")
+        joined = join_on(vals, stats, key)
     else:
         # one global row: attach it as a scalar subquery (no join, no cross product)
         names = [c for c in stats.columns if c not in key]
         st = stats.select(F.struct(*names).alias("s")).scalar()
         joined = vals.withColumns({c: st[c] for c in names})
 
+    def edge(ci, pi):
+        # the sketch keeps doubles: integers beyond 2**53 come back rounded
+        lo, hi = F.col(f"_ap{ci}")[2 * pi], F.col(f"_ap{ci}")[2 * pi + 1]
+        if kind == "double":
+            return lo, hi
+        return lo - F.shiftright(F.abs(lo), 52) - 1, hi + F.shiftright(F.abs(hi), 52) + 1
+
     # 2a. exact count strictly below each bracket, plus the nearest value
     # just outside either edge (covers a sketch rank that is one off)
     below_exprs = []
     for ci in range(len(cols)):
         v = F.col(f"_v{ci}")
         for pi in range(len(probs)):
-            lo, hi = F.col(f"_ap{ci}")[2 * pi], F.col(f"_ap{ci}")[2 * pi + 1]
+            lo, hi = edge(ci, pi)
             below_exprs += [F.count_if(v < lo).alias(f"_b{ci}_{pi}"),
                             F.max(F.when(v < lo, v)).alias(f"_pv{ci}_{pi}"),
                             F.min(F.when(v > hi, v)).alias(f"_nx{ci}_{pi}")]
@@ -151,15 +117,13 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             v = F.col(f"_v{ci}")
             items.append(F.struct(
                 F.lit(ci).alias("_ci"), F.lit(pi).alias("_pi"), v.alias("_v"),
-                F.col(f"_n{ci}").alias("_n"),
-                (v.isNotNull() & (v >= F.col(f"_ap{ci}")[2 * pi])
-                 & (v <= F.col(f"_ap{ci}")[2 * pi + 1])).alias("_in")))
+                (v.isNotNull() & (v >= edge(ci, pi)[0]) & (v <= edge(ci, pi)[1])).alias("_in")))
     inside = joined.select(*key, F.inline(F.filter(F.array(*items), lambda s: s["_in"]))) \
-        .groupBy(*key, "_ci", "_pi", "_v").agg(F.count(F.lit(1)).alias("_cnt"), F.max("_n").alias("_n"))
+        .groupBy(*key, "_ci", "_pi", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
 
     # 3. running count over the bracket's distinct values
     w = Window.partitionBy(*key, "_ci", "_pi").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.join(below_long.drop("_gn"), on=[*key, "_ci", "_pi"], how="inner") \
+    ranked = join_on(below_long.filter(F.col("_gn") > 0).withColumnRenamed("_gn", "_n"), inside, [*key, "_ci", "_pi"], "left") \
         .withColumn("_le", F.col("_below") + F.sum("_cnt").over(w))
     if mode == "rank":
         fr = [Fraction(str(p)) for p in probs]
@@ -185,15 +149,19 @@ def quantile_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         at_rank(F.col("_k")).alias("_vk"), at_rank(F.col("_k") + 1).alias("_vk1"),
         at_rank(F.col("_k") - 1).alias("value_prev"))
     frac = F.col("_h") - F.col("_k")
-    value = F.when(frac == 0, F.col("_vk")).otherwise(F.col("_vk") + frac * (F.col("_vk1") - F.col("_vk")))
+    value = F.when(frac == 0, F.col("_vk").cast("double")) \
+        .otherwise(F.col("_vk") + frac * (F.col("_vk1").cast("double") - F.col("_vk")))
     if mode == "rank":
         value = F.col("_vk")
+    missed = F.col("_vk").isNull() | ((frac != 0) & F.col("_vk1").isNull() if mode == "cont" else F.lit(False))
+    value = F.when(missed, F.raise_error(F.lit("a quantile's rank lies outside its bracket"))).otherwise(value)
     out = picked.select(*key, "_ci", "_pi", "n", value.alias("value"), "value_prev")
 
     # groups/columns with no non-null value still get a row (value null)
     # (derived from the below-count aggregate: no second sketch pass)
     empty = below_long.filter(F.col("_gn") == 0).select(*key, "_ci", "_pi", F.col("_gn").alias("n")) \
-        .withColumn("value", F.lit(None).cast("double")).withColumn("value_prev", F.lit(None).cast("double"))
+        .withColumn("value", F.lit(None).cast(kind if mode == "rank" else "double")) \
+        .withColumn("value_prev", F.lit(None).cast(kind))
     out = out.unionByName(empty)
     return out.drop("_qk") if not by else out
 
@@ -205,14 +173,14 @@ def _tag(p: float) -> str:
 
 def quantiles_wide(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    by: Sequence[str] = (), names: Sequence[str] | None = None,
-                   accuracy: int = DEFAULT_ACCURACY, method: str = "auto") -> DataFrame:
+                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Exact quantiles, one row per group: columns ``{col}_{name}``.
 
     ``names`` label the probabilities (default ``q25`` style tags).
     """
     by = list(by)
     names = list(names) if names else [f"q{_tag(p)}" for p in probs]
-    long = quantile_long(df, cols, probs, by, accuracy, method=method)
+    long = quantile_long(df, cols, probs, by, accuracy)
     key = by if by else None
     aggs = [F.max(F.when((F.col("_ci") == ci) & (F.col("_pi") == pi), F.col("value"))).alias(f"{c}_{names[pi]}")
             for ci, c in enumerate(cols) for pi in range(len(probs))]

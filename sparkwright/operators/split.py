@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_on
 from .windows import event_ordinal
 
 # The portable integer hash (same numbers in Spark and in
@@ -30,9 +31,12 @@ def hash_bucket(key: str | Column, n: int, seed: int = 0, method: str = "xxhash"
 
 
 def split_random(df: DataFrame, key: str, weights: Sequence[float], seed: int = 0,
-                 method: str = "xxhash", buckets: int = 10_000, out: str | None = None):
+                 method: str = "xxhash", buckets: int | None = None, out: str | None = None):
     """M1: repeatable split by key hash. Returns a list of DataFrames, or
-    ``df`` with a split index column when ``out`` is given."""
+    ``df`` with a split index column when ``out`` is given. Shares are held
+    to one in ``buckets`` (by default 2**30, or 10,000 in the portable form,
+    which does not spread small keys further); a null key is one key."""
+    buckets = buckets or (10_000 if method == "mod" else 1 << 30)
     total = float(sum(weights))
     edges, acc = [], 0.0
     for w in weights:
@@ -59,7 +63,7 @@ def split_stratified(df: DataFrame, key: str, label: str, test_frac: float, seed
     h = df.withColumn("_h", hash_bucket(key, 1 << 30, seed, method))
     h = event_ordinal(h, label, "_h", key, "_ord", skew_safe=True)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    j = h.join(F.broadcast(sizes), label)           # one row per class
+    j = join_on(h, sizes, [label])
     k = F.round(F.col("_nc") * F.lit(test_frac))
     return j.withColumn(out, (F.col("_ord") <= k).cast("int")).drop("_h", "_ord", "_nc")
 
@@ -98,24 +102,24 @@ def walk_forward_plan(years: Sequence[int], mode: str = "expanding", n_folds: in
 
 
 def walk_forward(df: DataFrame, year: str, date: str, plan: list[tuple[int, list[int]]],
-                 embargo_months: int = 6) -> DataFrame:
+                 embargo_months: int = 6, valid_months: int = 12) -> DataFrame:
     """M4/M5: fold membership in long form: (row columns..., fold, role).
 
     A training row is dropped when it falls within ``embargo_months`` of the
     validation year's start (T35: forward-looking labels would leak); 0
-    reproduces the reference. Fold sizes are bounded by the plan, and the
-    output is a union of filters: no driver loop over rows.
+    reproduces the reference. ``valid_months`` of the validation year are
+    validated (6: its first half). One scan: each row is copied to the folds
+    it belongs to.
     """
-    parts = []
+    first = lambda y, m=1: F.make_timestamp_ntz(F.lit(y), F.lit(m), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    places = []
     for i, (v, train) in enumerate(plan):
-        start = F.make_timestamp_ntz(F.lit(v), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-        cut = F.add_months(start, -embargo_months) if embargo_months else None
-        tr = df.filter(F.col(year).isin(train))
-        if cut is not None:
-            tr = tr.filter(F.col(date) < cut)
-        parts.append(tr.withColumn("fold", F.lit(i)).withColumn("role", F.lit("train")))
-        parts.append(df.filter(F.col(year) == v).withColumn("fold", F.lit(i)).withColumn("role", F.lit("valid")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        trains = F.col(year).isin(train)
+        if embargo_months:
+            trains = trains & (F.col(date) < F.add_months(first(v), -embargo_months))
+        valid = F.col(year) == v
+        if valid_months < 12:
+            valid = valid & (F.col(date) < first(v, valid_months + 1))
+        places += [F.when(hit, F.struct(F.lit(i).alias("fold"), F.lit(role).alias("role")))
+                   for hit, role in ((trains, "train"), (valid, "valid"))]
+    return df.select("*", F.inline(F.filter(F.array(*places), lambda p: p.isNotNull())))

@@ -4,9 +4,10 @@ Where no order is needed (group means, deviations, z-scores) the group
 statistic is an aggregate joined back by key: partial aggregation happens
 map-side, and a hot key does not pull its rows into one sorted window
 task. Ordered positions (ordinals, ranks, prior-row means) default to
-``grouped_running``: value-range slices keep tasks balanced when one
-group holds a large share of all rows; ``skew_safe=False`` selects the
-plain per-group window (fewer stages when groups are known to be small).
+``grouped_running``: ranges of (group, order) of about equal size keep
+tasks balanced when one group holds a large share of all rows;
+``skew_safe=False`` selects the plain per-group window (fewer stages when
+groups are known to be small).
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .keys import join_on
 from .quantiles import quantile_long, quantiles_wide
 
 
@@ -25,59 +28,42 @@ def _cols(x) -> list[str]:
 
 # ------------------------------------------------------------- ordinals
 
-def value_bucket(v: Column, lo: Column, hi: Column, n: int, descending: bool = False) -> Column:
-    """Equal-width bucket 0..n-1 of ``v`` between ``lo`` and ``hi`` (exact bounds).
+def ranged(df: DataFrame, order: Sequence[Column], partitions: int | None = None, slice_col: str = "_slice") -> DataFrame:
+    """``df`` dealt by ranges of ``order``, each row with the number of its range.
 
-    A deterministic function of the row's value: every recomputation of a
-    plan branch puts a row in the same bucket, and buckets are contiguous in
-    sort order (nulls, which sort first, go to the first bucket).
+    Spark samples the order values, so ranges hold about as many rows each
+    whatever their distribution, for any sortable type; only rows equal in all
+    of ``order`` stay together. The frame is written to the checkpoint folder:
+    range numbers depend on the sample, and every branch that reads them must
+    see the same ones, also after an executor is lost.
     """
-    width = hi - lo
-    b = F.floor((v - lo) / width * F.lit(n))
-    b = F.when(width > 0, F.least(F.greatest(b, F.lit(0)), F.lit(n - 1))).otherwise(F.lit(0))
-    b = F.coalesce(b, F.lit(0))
-    return (F.lit(n - 1) - b if descending else b).cast("int")
-
-
-def _numeric_order(df: DataFrame, col: str) -> bool:
-    from pyspark.sql import types as T
-    return isinstance(df.schema[col].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
+    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return cut_lineage(dealt.withColumn(slice_col, F.spark_partition_id()))
 
 
 def grouped_running(df: DataFrame, by, order: Sequence[str], sums: dict[str, Column],
-                    partitions: int | None = None, inclusive: bool = True) -> DataFrame:
+                    partitions: int | None = None, inclusive: bool = True, descending: bool = False) -> DataFrame:
     """Running sums within groups, ordered by ``order`` (unique within a group),
     without a per-group window task.
 
-    Each row gets a slice: an equal-width bucket of its first order column
-    between the group's exact min and max. Slices are contiguous in order
-    and a pure function of the row, so both plan branches below (local sums,
-    slice totals) agree on them even when recomputed. A hot group is spread
-    over many slices; each slice is summed in its own task and offset by the
-    totals of the group's earlier slices (one row per (group, slice)).
-    ``inclusive=False`` sums the rows strictly before the current one.
-    A non-numeric first order column falls back to a per-group window.
+    Rows are cut into ranges of (group, order) of about equal size
+    (``ranged``), so a hot group spans many ranges and a small one shares its
+    range. Each (range, group) is summed by itself and offset by the totals
+    of the group's earlier ranges: at most one row per range and group.
+    ``inclusive=False`` sums the rows strictly before the current one. No
+    ``by`` is one group. Null keys are a group, null order values come first.
     """
-    by = _cols(by)
-    order = list(order)
+    by, order = _cols(by), list(order)
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
-    x = df.withColumns({f"_x_{k}": e for k, e in sums.items()})
-    if not _numeric_order(df, order[0]):
-        w = Window.partitionBy(*by).orderBy(*[F.col(c) for c in order]).rowsBetween(*frame)
-        out = x.withColumns({k: F.coalesce(F.sum(f"_x_{k}").over(w), F.lit(0)) for k in sums})
-        return out.drop(*[f"_x_{k}" for k in sums])
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = x.withColumn("_ok", order_key(df, order[0]).cast("double"))
-    mm = x.groupBy(*by).agg(F.min("_ok").alias("_lo"), F.max("_ok").alias("_hi"))    # exact, deterministic
-    x = x.join(mm, by, "left").withColumn("_slice", value_bucket(F.col("_ok"), F.col("_lo"), F.col("_hi"), n)) \
-        .drop("_ok", "_lo", "_hi")
-    w = Window.partitionBy(*by, "_slice").orderBy(*[F.col(c) for c in order]).rowsBetween(*frame)
+    cols = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    x = ranged(df.withColumns({f"_x_{k}": e for k, e in sums.items()}), [*[F.col(c) for c in by], *cols], partitions)
+    w = Window.partitionBy("_slice", *by).orderBy(*cols).rowsBetween(*frame)
     local = x.withColumns({f"_l_{k}": F.coalesce(F.sum(f"_x_{k}").over(w), F.lit(0)) for k in sums})
     tot = x.groupBy(*by, "_slice").agg(*[F.sum(f"_x_{k}").alias(f"_t_{k}") for k in sums])
     w_off = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_slice", *[F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_o_{k}")
                                        for k in sums])
-    out = local.join(offs, [*by, "_slice"])
+    out = join_on(local, offs, [*by, "_slice"])
     return out.withColumns({k: F.col(f"_l_{k}") + F.col(f"_o_{k}") for k in sums}) \
         .drop("_slice", *[f"_{p}_{k}" for k in sums for p in ("x", "l", "o")])
 
@@ -113,7 +99,7 @@ def event_rank(df: DataFrame, by, order: str, out: str = "rank", skew_safe: bool
     g = df.groupBy(*by, order).agg(F.count(F.lit(1)).alias("_c"))
     r = grouped_running(g, by, [order], {"_before": F.col("_c")}, partitions, inclusive=False)
     r = r.select(*by, order, (F.col("_before") + 1).cast("int").alias(out))
-    return df.join(r, [*by, order], "left")
+    return join_on(df, r, [*by, order])
 
 
 def order_key(df: DataFrame, order: str) -> Column:
@@ -149,9 +135,8 @@ def early_flag(df: DataFrame, by, order: str, frac: float = 0.1, mode: str = "ra
     """1 when the row's order value is strictly before its group's cutoff."""
     by = _cols(by)
     cut = early_cutoff(df, by, order, frac, mode).select(*by, "cutoff")
-    j = df.join(cut, by, "left")
-    # order values compare in the cutoff table's numeric form
-    v = order_key(df, order).cast("double")
+    j = join_on(df, cut, by, "left")
+    v = order_key(df, order)  # order values compare in the cutoff table's form
     return j.withColumn(out, F.when(F.col("cutoff").isNotNull() & (v < F.col("cutoff")), F.lit(1))
                         .otherwise(F.lit(0))).drop("cutoff")
 

@@ -316,7 +316,7 @@ FROM lineitem GROUP BY l_linestatus"""
 def q_quantiles_bracket(spark, d):
     """A15 through the bounded-state bracket path (the path used for large groups)."""
     return rounded(quantiles_wide(tbl(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"],
-                                  [0.1, 0.5, 0.9], ["l_linestatus"], method="bracket"))
+                                  [0.1, 0.5, 0.9], ["l_linestatus"]))
 
 
 @query("q_trim_bracket", """
@@ -327,7 +327,7 @@ def q_trim_bracket(spark, d):
     """F9 with extreme quantiles through the bracket path (sketch rank error at the edges)."""
     from ..operators.clean import between_exclusive
     p = tbl(spark, d, "part").select("p_partkey", "p_retailprice")
-    q = quantiles_wide(p, ["p_retailprice"], [0.005, 0.995], names=["lo", "hi"], method="bracket")
+    q = quantiles_wide(p, ["p_retailprice"], [0.005, 0.995], names=["lo", "hi"])
     b = q.select(F.struct("p_retailprice_lo", "p_retailprice_hi")).scalar()
     return rounded(p.filter(between_exclusive("p_retailprice", b["p_retailprice_lo"], b["p_retailprice_hi"])))
 

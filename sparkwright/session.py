@@ -70,23 +70,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def spread_if_narrow(df: DataFrame, min_files: int | None = None) -> DataFrame:
-    """Round-robin a scan over the cluster's cores when it comes from fewer
-    files than there are cores.
-
-    A table stored as one file with one row group is read by a single task,
-    and every map-side step after it (regex tokenising, aggregation
-    pre-combining) then runs on one core. A large table is many files and is
-    returned unchanged: no extra shuffle at scale. Filters and projections
-    written after this call are still pushed below the exchange into the scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    limit = min_files or cores
-    if len(df.inputFiles()) < limit:
-        return df.repartition(cores)
-    return df
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster.
 

@@ -109,28 +109,8 @@ def test_cluster_conf_sizes_partitions():
     assert c["spark.sql.files.maxPartitionBytes"] == str(256 * 2**20)
 
 
-def test_spread_if_narrow_only_for_few_files(spark):
-    from sparkwright.session import spread_if_narrow
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    spread = spread_if_narrow(df)
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread_if_narrow(df, min_files=1) is df          # one file is not fewer than one
-    assert spread.count() == df.count()
-
-
-def test_grouped_running_string_order_falls_back(spark):
+def test_grouped_running_by_a_string(spark):
     from sparkwright.operators.windows import grouped_running
     df = spark.createDataFrame([("g", "b", 2.0), ("g", "a", 1.0), ("g", "c", 4.0)], "g string, k string, v double")
     out = grouped_running(df, "g", ["k"], {"s": F.col("v")})
     assert sorted((r.k, r.s) for r in out.collect()) == [("a", 1.0), ("b", 3.0), ("c", 7.0)]
-
-
-def test_value_bucket_edges(spark):
-    from sparkwright.operators.windows import value_bucket
-    df = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (None,)], "v double")
-    got = [r.b for r in df.select(value_bucket(F.col("v"), F.lit(0.0), F.lit(10.0), 4).alias("b")).collect()]
-    assert got == [0, 2, 3, 0]
-    same = df.select(value_bucket(F.col("v"), F.lit(3.0), F.lit(3.0), 4).alias("b")).collect()
-    assert all(r.b == 0 for r in same)
-    desc = [r.b for r in df.select(value_bucket(F.col("v"), F.lit(0.0), F.lit(10.0), 4, True).alias("b")).collect()]
-    assert desc == [3, 1, 0, 3]

@@ -25,9 +25,8 @@ def _linear_quantile(v, p):
        st.sampled_from([0.0, 0.005, 0.25, 0.5, 0.9, 1.0]))
 def test_quantile_matches_linear_interpolation_with_ties(spark, vals, p):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    for method in ("bracket", "buffer"):
-        got = quantiles_wide(df, ["x"], [p], names=["q"], method=method).first()["x_q"]
-        assert got == pytest.approx(_linear_quantile(vals, p))
+    got = quantiles_wide(df, ["x"], [p], names=["q"]).first()["x_q"]
+    assert got == pytest.approx(_linear_quantile(vals, p))
 
 
 def test_quantile_large_group_small_accuracy(spark):
@@ -35,21 +34,19 @@ def test_quantile_large_group_small_accuracy(spark):
     rng = np.random.default_rng(3)
     vals = np.round(rng.normal(size=5000), 3)
     df = spark.createDataFrame([("g", float(v)) for v in vals] + [("h", 1.0)], "k string, x double")
-    out = {r.k: r for r in quantiles_wide(df, ["x"], [0.01, 0.5, 0.99], ["k"], accuracy=100,
-                                          method="bracket").collect()}
+    out = {r.k: r for r in quantiles_wide(df, ["x"], [0.01, 0.5, 0.99], ["k"], accuracy=100).collect()}
     for p, name in [(0.01, "x_q01"), (0.5, "x_q5"), (0.99, "x_q99")]:
         assert out["g"][name] == pytest.approx(_linear_quantile(vals, p))
         assert out["h"][name] == 1.0
 
 
-@pytest.mark.parametrize("method", ["bracket", "buffer"])
-def test_rank_mode_position(spark, method):
+def test_rank_mode_position(spark):
     vals = [5, 1, 4, 2, 3, 9, 8, 7, 6, 10, 11]
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    r = quantile_long(df, ["x"], [0.1], mode="rank", method=method).first()
+    r = quantile_long(df, ["x"], [0.1], mode="rank").first()
     assert (r.value, r.value_prev) == (2.0, 1.0)       # ceil(1.1) = 2nd smallest
     ten = spark.createDataFrame([(float(v),) for v in range(1, 11)] + [(None,)], "x double")
-    r = quantile_long(ten, ["x"], [0.1], mode="rank", method=method).first()
+    r = quantile_long(ten, ["x"], [0.1], mode="rank").first()
     assert (r.n, r.value, r.value_prev) == (10, 1.0, None)   # ceil(0.1 * 10) = 1 exactly
 
 
