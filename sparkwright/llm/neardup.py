@@ -272,18 +272,23 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
                 F.when(F.col("u") == F.col("v"), 0.0).otherwise(1 - F.col("j")).alias("d"))
     split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
     placed = cut_lineage(placed.join(split, "key", "left_semi"))
-    placed = placed.join(_common(bags.join(placed.select(F.col("v").alias("_row")).distinct(), "_row", "left_semi")), "v") \
-        .where(F.col("common") >= threshold * F.col("size")) \
+    facts = cut_lineage(_common(bags.join(placed.select(F.col("v").alias("_row")).distinct(), "_row", "left_semi"))
+                        .where(F.col("common") >= threshold * F.col("size"))
+                        .join(placed.groupBy("v").agg(F.sort_array(F.collect_list("key")).alias("keys")), "v"))
+    placed = placed.join(facts, "v") \
         .withColumn("o", F.when(F.col("u") == F.col("v"), F.col("size")).otherwise(F.col("o"))) \
         .withColumn("beside", F.greatest(F.col("common") - F.col("o"), F.lit(0)))
     main = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")) \
         .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     others = placed.join(main, "key").where("root != main").select(
-        "key", *[F.col(c).alias(c + "1") for c in ("v", "root", "d", "o", "beside", "size")])
+        "key", "main", *[F.col(c).alias(c + "1") for c in ("v", "root", "d", "o", "beside", "size", "keys")])
     most = F.least("o", "o1") + F.least("beside", "beside1")
     near = (F.abs(F.col("d") - F.col("d1")) <= 1 - threshold + 1e-9) \
         & (most >= threshold * (F.col("size") + F.col("size1") - most) - 1e-9)
-    rest = placed.join(others, "key").where((F.col("root") != F.col("root1")) & near) \
+    # Each pair once in a bucket, and only in the first bucket it shares.
+    once = ((F.col("root") == F.col("main")) | (F.col("v") < F.col("v1"))) \
+        & (F.col("key") == F.array_min(F.array_intersect("keys", "keys1")))
+    rest = placed.join(others, "key").where((F.col("root") != F.col("root1")) & near & once) \
         .select(F.least("v", "v1").alias("u"), F.greatest("v", "v1").alias("v")).distinct()
     tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = rest.join(tried, ["u", "v"], "left_anti")
