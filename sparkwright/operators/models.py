@@ -7,6 +7,7 @@ model parameters (p-sized) reach the driver. Iterative drivers
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import classification as MC
@@ -110,25 +111,32 @@ def adaboost(df: DataFrame, features, label: str, rounds: int = 10, rate: float
     """Discrete AdaBoost (SAMME, two classes) with depth-1 trees.
 
     Each round fits a weighted tree (distributed), computes the weighted
-    error in one aggregate, and updates the weight column; the lineage is
-    cut with a reliable checkpoint so the plan does not grow with rounds.
+    error in one aggregate, and updates the weights, which stay normalised;
+    only features, label and weight are carried, and the lineage is cut with
+    a reliable checkpoint so the plan does not grow with rounds. A tree no
+    better than chance (error 0.5 or more) is discarded and ends the rounds,
+    a perfect one ends them too.
     Returns (list of (alpha, tree model), scored frame with ``ada_score``).
     """
-    x = _features(df, features).withColumn("_w", F.lit(1.0))
+    x = _features(df, features).select("features", label)
+    n = x.count()
+    x = x.withColumn("_w", F.lit(1.0 / max(n, 1)))
     learners = []
     for r in range(rounds):
         tree = MC.DecisionTreeClassifier(featuresCol="features", labelCol=label, maxDepth=depth,
                                          weightCol="_w", seed=seed + r).fit(x)
-        p = tree.transform(x).select(*x.columns, F.col("prediction").alias("_p"))
+        p = tree.transform(x).select("features", label, "_w", F.col("prediction").alias("_p"))
         miss = (F.col("_p") != F.col(label)).cast("double")
         err = p.agg((F.sum(F.col("_w") * miss) / F.sum("_w")).alias("e")).first()["e"]
-        err = min(max(err, 1e-10), 1 - 1e-10)
-        import math
-        alpha = rate * math.log((1 - err) / err)
-        learners.append((alpha, tree))
-        x = cut_lineage(p.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * miss)).drop("_p"))
         if err >= 0.5:
             break
+        alpha = rate * math.log((1 - err) / max(err, 1e-10))
+        learners.append((alpha, tree))
+        if err <= 1e-10:
+            break
+        grown = math.exp(alpha)
+        x = cut_lineage(p.withColumn("_w", F.col("_w") * F.when(miss == 1, grown).otherwise(1.0)
+                                     / (1 - err + err * grown)).drop("_p"))
     scored = df if "features" in df.columns else _features(df, features)
     score = F.lit(0.0)
     for i, (alpha, tree) in enumerate(learners):
@@ -146,31 +154,48 @@ def positive_prob_col(df: DataFrame, col: str = "probability", out: str = "p1")
     return df.withColumn(out, vector_to_array(col)[1])
 
 
-def stack(df: DataFrame, features, label: str, fold: str, base: Sequence, meta=None):
+class StackedModel:
+    """Base models fitted on all training rows and the meta model over their probabilities."""
+
+    def __init__(self, base, meta, features):
+        self.base, self.meta, self.features = base, meta, features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Score any rows: a column per base model, then the meta model's prediction and probability."""
+        x = _features(df, self.features)
+        for name, m in self.base:
+            x = positive_prob_col(m.transform(x), out=name).drop("rawPrediction", "probability", "prediction")
+        return self.meta.transform(_meta_features(x, [n for n, _ in self.base]))
+
+
+def _meta_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(names), outputCol="meta_features").transform(df)
+
+
+def stack(df: DataFrame, features, label: str, fold: str, base: Sequence, meta=None, key: str = "doc_id"):
     """Stacking with out-of-fold base predictions.
 
     ``base`` is a list of (name, fit_fn) where ``fit_fn(train_df)`` returns a
     fitted model with ``transform``. For every fold the base models are fit
-    on the other folds and score the held-out fold; the out-of-fold
-    probabilities become meta features, joined by the row key ``_rid``.
-    Returns (meta model, frame with meta features and meta prediction).
+    on the other folds and score the held-out fold; the meta model is fit on
+    these out-of-fold probabilities, and the base models once more on all
+    rows. ``key`` identifies a row. Returns (``StackedModel``, training frame
+    with out-of-fold meta features and the meta prediction).
     """
-    x = _features(df, features).withColumn("_rid", F.monotonically_increasing_id())
-    x = cut_lineage(x)   # stable row ids for the joins below
-    folds = [r[0] for r in x.select(fold).distinct().collect()]   # k values
+    x = _features(df, features)
+    folds = sorted(r[0] for r in x.select(fold).distinct().collect())   # k values
+    names = [n for n, _ in base]
     oof = None
     for f in folds:
         tr, te = x.filter(F.col(fold) != f), x.filter(F.col(fold) == f)
-        part = te.select("_rid")
         for name, fit_fn in base:
-            m = fit_fn(tr)
-            part = part.join(positive_prob_col(m.transform(te), out=name).select("_rid", name), "_rid")
+            te = positive_prob_col(fit_fn(tr).transform(te), out=name).drop("rawPrediction", "probability", "prediction")
+        part = te.select(key, *names)
         oof = part if oof is None else oof.unionByName(part)
-    names = [n for n, _ in base]
-    mx = VectorAssembler(inputCols=names, outputCol="meta_features").transform(x.join(oof, "_rid"))
+    mx = cut_lineage(_meta_features(x.join(oof, key), names))
     meta = meta or MC.LogisticRegression(featuresCol="meta_features", labelCol=label)
     mm = meta.fit(mx)
-    return mm, mm.transform(mx).drop("_rid")
+    return StackedModel([(n, fit_fn(x)) for n, fit_fn in base], mm, features), mm.transform(mx)
 
 
 def importances(model, names: Sequence[str], exclude: Sequence[str] = (), k: int | None = 5):

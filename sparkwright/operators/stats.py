@@ -86,15 +86,21 @@ def backward_eliminate(df: DataFrame, cols: Sequence[str], label: str, p_max: fl
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Variance inflation factors = diagonal of the inverse correlation matrix.
+    """Variance inflation factors from the correlation matrix; infinite for collinear columns.
 
     The correlation matrix is one distributed pass (complete rows); the
     p x p inverse runs on the driver."""
     x = _assembled(df, cols)
     r = Correlation.corr(x, "features", "pearson").first()[0].toArray()
-    inv = np.linalg.inv(r)
     spark = df.sparkSession
-    return spark.createDataFrame([(c, float(inv[i, i])) for i, c in enumerate(cols)], "feature string, vif double")
+    # The factor is 1 / (1 - R2) of the regression on the others; an exactly
+    # collinear column (also one without variance) has an infinite one.
+    rows = []
+    for i, c in enumerate(cols):
+        rest = [j for j in range(len(cols)) if j != i]
+        r2 = float(r[i, rest] @ np.linalg.pinv(r[np.ix_(rest, rest)], hermitian=True) @ r[rest, i]) if rest else 0.0
+        rows.append((c, float("inf") if not np.isfinite(r2) or 1 - r2 < 1e-12 else 1 / (1 - r2)))
+    return spark.createDataFrame(rows, "feature string, vif double")
 
 
 def odds_table(model, names: Sequence[str], spark: SparkSession) -> DataFrame:

@@ -160,11 +160,13 @@ def concat_vectors(*cols: str | Column) -> Column:
 
 # ----------------------------------------------------- Spark ML estimators
 
-def count_vectors(df: DataFrame, col: str, out: str = "tf", vocab_size: int = 90_000, min_df: float = 1.0,
+def count_vectors(df: DataFrame, col: str, out: str = "tf", vocab_size: int = 2**31 - 1, min_df: float = 1.0,
                   max_df: float | None = None, min_tf: float = 1.0):
     """Fit ``CountVectorizer``; returns (model, transformed).
 
-    ``min_df``/``max_df`` below 1 are document shares, otherwise counts
+    No term is cut off unless ``vocab_size`` is given; the fitted vocabulary
+    is held by the driver, so for one that has no bound use ``term_counts`` or
+    ``hash_tf``. ``min_df``/``max_df`` below 1 are document shares, otherwise counts
     (``max_df=None`` keeps Spark's unbounded default).
     """
     from pyspark.ml.feature import CountVectorizer
@@ -184,13 +186,32 @@ def tf_normalise(df: DataFrame, col: str, out: str = "tf_norm", mode: str = "tot
     if mode == "total":
         from pyspark.ml.feature import Normalizer
         return Normalizer(inputCol=col, outputCol=out, p=1.0).transform(df)
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    # vectors of one column share their size: read it from the ML metadata
-    # (a constant), so the element lambda never recomputes it
+    # vectors of one column share their size: read it from the ML metadata (a constant)
     size = df.schema[col].metadata.get("ml_attr", {}).get("num_attrs")
     if size is None:
-        size = len(df.select(vector_to_array(col).alias("a")).first()["a"])
-    return df.withColumn(out, array_to_vector(F.transform(vector_to_array(col), lambda x: x / F.lit(float(size)))))
+        size = df.select(col).first()[col].size
+    from pyspark.ml.feature import ElementwiseProduct
+    from pyspark.ml.linalg import Vectors
+    return ElementwiseProduct(inputCol=col, outputCol=out, scalingVec=Vectors.dense([1.0 / size] * size)).transform(df)
+
+
+def _values(col: str) -> Column:
+    """Stored values of an ML vector, without filling in its zeros."""
+    return F.from_json(F.get_json_object(F.to_json(F.struct(F.col(col).alias("v"))), "$.v.values"), "array<double>")
+
+
+def sparse_size(col: str) -> Column:
+    """Number of stored values of an ML vector."""
+    return F.size(_values(col))
+
+
+def sparse_sum(col: str) -> Column:
+    return F.aggregate(_values(col), F.lit(0.0), lambda a, x: a + x)
+
+
+def sparse_max(col: str) -> Column:
+    """Largest stored value of an ML vector (0 without any)."""
+    return F.coalesce(F.array_max(_values(col)), F.lit(0.0))
 
 
 def hash_tf(df: DataFrame, col: str, out: str = "tf", n_features: int = 10_000) -> DataFrame:

@@ -74,15 +74,10 @@ _VAR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query("q_variance_select", " UNION ALL ".join(
     f"SELECT '{c}' AS feature FROM lineitem HAVING var_samp({c}) > 0.01" for c in _VAR_COLS))
 def q_variance_select(spark, d):
-    """Names of the slots kept by the variance threshold (sample variance > 0.01).
-
-    Same rule as ``VarianceThresholdSelector`` (checked in the unit tests),
-    written as one aggregate so the kept names are a distributed result."""
-    from ..operators.profile import long_from_wide
-    li = tbl(spark, d, "lineitem")
-    v = li.agg(*[F.var_samp(c).alias(c) for c in _VAR_COLS])
-    long = long_from_wide(v, [], {c: {"variance": F.col(c)} for c in _VAR_COLS}, name_col="feature")
-    return long.filter(F.col("variance") > 0.01).select("feature")
+    """Names of the slots kept by the variance threshold (sample variance > 0.01)."""
+    x = X.assemble(_VAR_COLS).transform(tbl(spark, d, "lineitem").select(*_VAR_COLS))
+    m = X.variance_select("features", "kept", 0.01).fit(x)
+    return spark.createDataFrame([(_VAR_COLS[i],) for i in m.selectedFeatures], "feature string")
 
 
 @query("q_sql_stage", """

@@ -197,27 +197,35 @@ def q_split_year(spark, d):
         te.groupBy(F.lit("test").alias("part")).agg(F.count(F.lit(1)).alias("n")))
 
 
+# Seven years of orders: six of them can be validated, from the second on; the last is the hold-out.
+_WF_FOLDS = {
+    "expanding": [(1996, "1995"), (1997, "1995, 1996"), (1998, "1995, 1996, 1997"), (1999, "1995, 1996, 1997, 1998"),
+                  (2000, "1995, 1996, 1997, 1998, 1999")],
+    "rolling": [(1996, "1995"), (1997, "1995, 1996"), (1998, "1996, 1997"), (1999, "1997, 1998"), (2000, "1998, 1999")],
+}
+
+
 def _wf_sql():
     parts = []
-    years = list(range(1995, 2002))
-    for mode in ("expanding", "rolling"):
-        plan = S.walk_forward_plan(years, mode, n_folds=4, width=2)
-        for i, (v, train) in enumerate(plan):
-            ys = ", ".join(str(y) for y in train)
+    for mode, folds in _WF_FOLDS.items():
+        until = {"expanding": "-07-01", "rolling": "-12-31 23:59:59.999999"}[mode]
+        for i, (v, years) in enumerate(folds):
             parts.append(f"SELECT '{mode}' AS mode, {i} AS fold, 'train' AS role, count(*) AS n FROM orders "
-                         f"WHERE year(o_orderdate) IN ({ys}) AND o_orderdate < TIMESTAMP '{v - 1}-07-01 00:00:00'")
-            parts.append(f"SELECT '{mode}', {i}, 'valid', count(*) FROM orders WHERE year(o_orderdate) = {v}")
-    return " UNION ALL ".join(parts)
+                         f"WHERE year(o_orderdate) IN ({years}) AND o_orderdate < TIMESTAMP '{v - 1}-07-01 00:00:00'")
+            parts.append(f"SELECT '{mode}', {i}, 'valid', count(*) FROM orders WHERE year(o_orderdate) = {v} "
+                         f"AND o_orderdate < TIMESTAMP '{v}{until}'")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
 
 
 @query("q_walkforward", _wf_sql())
 def q_walkforward(spark, d):
-    """M4 + M5: expanding and rolling (2-year) walk-forward folds, 6-month embargo."""
+    """M4 + M5: expanding (validated on the first half-year) and rolling (2-year, whole year) walk-forward,
+    up to 6 folds, 6-month embargo (T35)."""
     o = tbl(spark, d, "orders").withColumn("yr", F.year("o_orderdate"))
     years = [r[0] for r in o.select("yr").distinct().collect()]   # one row per year
     outs = []
-    for mode in ("expanding", "rolling"):
-        plan = S.walk_forward_plan(years, mode, n_folds=4, width=2)
-        wf = S.walk_forward(o, "yr", "o_orderdate", plan, embargo_months=6)
+    for mode, months in (("expanding", 6), ("rolling", 12)):
+        plan = S.walk_forward_plan(years, mode, n_folds=6, width=2)
+        wf = S.walk_forward(o, "yr", "o_orderdate", plan, embargo_months=6, valid_months=months)
         outs.append(wf.groupBy(F.lit(mode).alias("mode"), "fold", "role").agg(F.count(F.lit(1)).alias("n")))
     return outs[0].unionByName(outs[1])

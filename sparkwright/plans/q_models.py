@@ -59,15 +59,19 @@ def q_logit(spark, d):
 
 @query("q_logit_path")
 def q_logit_path(spark, d):
-    """L1 logistic over a 10-value C path, 5-fold CV on the fold column; coefficients of the best."""
-    x = X.assemble(DOC_FEATURES).transform(doc_features(spark, d))
+    """L1 and L2 logistic over the full 10-value C path (1e-4 to 1e4) in a scaled pipeline,
+    5-fold CV on the fold column; coefficients of the best of each."""
+    from pyspark.ml.feature import StandardScaler
+    x = X.assemble(DOC_FEATURES, "raw").transform(doc_features(spark, d))
+    x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)
     n = x.count()
-    lr = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=1.0, maxIter=50)
-    grid = {lr.regParam: [M.reg_param_for_c(c, n) for c in TU.c_path(10, 1e-2, 1e2)]}
-    cvm = TU.grid_cv(lr, grid, x, "fold", parallelism=4)
-    best = cvm.bestModel
-    rows = M.coefficients(best, DOC_FEATURES)
-    return spark.createDataFrame(rows, "feature string, coef double")
+    rows = []
+    for penalty, elastic in (("l1", 1.0), ("l2", 0.0)):
+        lr = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=elastic)
+        grid = {lr.regParam: [M.reg_param_for_c(c, n) for c in TU.c_path(10)]}
+        cvm = TU.grid_cv(lr, grid, x, "fold", parallelism=4)
+        rows += [(penalty, *r) for r in M.coefficients(cvm.bestModel, DOC_FEATURES)]
+    return spark.createDataFrame(rows, "penalty string, feature string, coef double")
 
 
 @query("q_forest")
@@ -91,39 +95,49 @@ def q_mlp(spark, d):
     x = X.assemble(DOC_FEATURES, "raw").transform(doc_features(spark, d))
     from pyspark.ml.feature import StandardScaler
     x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)
-    _m, p = M.mlp(x, "features", "label", hidden=(5,), max_iter=50)
+    _m, p = M.mlp(x, "features", "label", hidden=(5,))
     return p.select("doc_id", "prediction")
 
 
 @query("q_gbt")
 def q_gbt(spark, d):
     """Gradient-boosted trees (re-aim of the boosting libraries)."""
-    _m, p = M.gbt(doc_features(spark, d), DOC_FEATURES, "label", rate=0.1, depth=3, rounds=20)
+    _m, p = M.gbt(doc_features(spark, d), DOC_FEATURES, "label", rate=0.1, depth=3)
     return _p1(p).select("doc_id", "p1")
 
 
 @query("q_svm")
 def q_svm(spark, d):
     """Linear SVM."""
-    _m, p = M.linear_svm(doc_features(spark, d), DOC_FEATURES, "label", c=1.0, max_iter=50)
+    _m, p = M.linear_svm(doc_features(spark, d), DOC_FEATURES, "label", c=1.0)
     return p.select("doc_id", "prediction")
 
 
 @query("q_adaboost")
 def q_adaboost(spark, d):
     """AdaBoost with stumps (weighted trees, lineage cut per round)."""
-    _ls, p = M.adaboost(doc_features(spark, d), DOC_FEATURES, "label", rounds=5)
+    _ls, p = M.adaboost(doc_features(spark, d), DOC_FEATURES, "label")
     return p.select("doc_id", "ada_score", "prediction")
 
 
-@query("q_stack")
+def stack_bases():
+    from pyspark.ml import classification as MC
+    kinds = [("lr", MC.LogisticRegression, {}), ("dt", MC.DecisionTreeClassifier, {"maxDepth": 3}),
+             ("rf", MC.RandomForestClassifier, {"numTrees": 50, "maxDepth": 4, "seed": 7}),
+             ("gb", MC.GBTClassifier, {"maxIter": 20, "maxDepth": 3, "seed": 7})]
+    return [(n, lambda tr, k=k, o=o: k(featuresCol="features", labelCol="label", **o).fit(tr)) for n, k, o in kinds]
+
+
+@query("q_stack", """
+SELECT l.doc_id, CAST(1 AS BIGINT) AS n_oof, true AS in_range FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
 def q_stack(spark, d):
-    """Stacking on out-of-fold base probabilities (T15), meta logistic regression."""
-    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression as LR
-    base = [("lr", lambda tr: LR(featuresCol="features", labelCol="label").fit(tr)),
-            ("dt", lambda tr: DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=3).fit(tr))]
-    _mm, p = M.stack(doc_features(spark, d), DOC_FEATURES, "label", "fold", base)
-    return _p1(p).select("doc_id", "lr", "dt", "p1")
+    """Stacking on out-of-fold base probabilities (T15), meta logistic regression: every row has
+    one set of out-of-fold probabilities, and the stacked model scores the rows anew."""
+    x = doc_features(spark, d)
+    model, oof = M.stack(x, DOC_FEATURES, "label", "fold", stack_bases())
+    n = oof.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_oof"))
+    fresh = _p1(model.transform(x.drop("label", "fold"))).select("doc_id", F.col("p1").between(0, 1).alias("in_range"))
+    return n.join(fresh, "doc_id")
 
 
 @query("q_cv")
@@ -131,8 +145,8 @@ def q_cv(spark, d):
     """M7: grid CV (AUC) over depth of a random forest held in the pipeline."""
     from pyspark.ml.classification import RandomForestClassifier
     x = X.assemble(DOC_FEATURES).transform(doc_features(spark, d))
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=20, seed=7)
-    cvm = TU.grid_cv(rf, {rf.maxDepth: [2, 4]}, x, "fold")
+    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=100, seed=7)
+    cvm = TU.grid_cv(rf, {rf.maxDepth: [2, 3, 4, 5]}, x, "fold")
     return spark.createDataFrame([(i, float(m)) for i, m in enumerate(cvm.avgMetrics)], "grid_point int, auc double")
 
 
@@ -185,9 +199,7 @@ def q_refit(spark, d):
 def q_backward(spark, d):
     """Backward elimination on binomial GLM p-values (> 0.05 removed)."""
     keep = ST.backward_eliminate(doc_features(spark, d), DOC_FEATURES, "label", 0.05)
-    x = doc_features(spark, d)
-    return x.select(F.explode(F.array(*[F.lit(k) for k in keep]) if keep else F.array().cast("array<string>"))
-                    .alias("feature")).distinct()
+    return spark.createDataFrame([(k,) for k in keep], "feature string")
 
 
 @query("q_glm")
@@ -217,7 +229,7 @@ def q_odds(spark, d):
 @query("q_importance")
 def q_importance(spark, d):
     """M27 + O5: forest importances with names, one excluded, top 5."""
-    m, _p = M.random_forest(doc_features(spark, d), DOC_FEATURES, "label", trees=30, depth=4)
+    m, _p = M.random_forest(doc_features(spark, d), DOC_FEATURES, "label", trees=100, depth=4)
     rows = M.importances(m, DOC_FEATURES, exclude=["n_chars_k"], k=5)
     return spark.createDataFrame(rows, "feature string, importance double")
 
@@ -276,7 +288,7 @@ def q_column_transformer(spark, d):
 
 @query("q_submission")
 def q_submission(spark, d):
-    """S6 + N23 + M29 + M30: fit a pipeline on the labelled documents only (T5),
+    """S6 + N23 + M29: fit a pipeline on the labelled documents only (T5),
     score every document, emit id + probability of class 1."""
     from pyspark.ml import Pipeline
     train = doc_features(spark, d)
@@ -288,10 +300,25 @@ def q_submission(spark, d):
         "polarity", "subjectivity", "compound")
     pipe = Pipeline(stages=[X.assemble(DOC_FEATURES), LogisticRegression(featuresCol="features", labelCol="label")])
     model = pipe.fit(train)
-    _summary = M.training_summary(model.stages[-1])
     return M.submission(model.transform(alld), "doc_id", "quality_prob")
 
 
+@query("q_training_summary", """
+SELECT CAST(quality AS DOUBLE) AS label, CAST(count(*) AS BIGINT) AS support, true AS in_range FROM labels l
+JOIN documents d ON l.doc_id = d.doc_id GROUP BY quality""")
+def q_training_summary(spark, d):
+    """Precision, recall and F by label of a logistic fit as rows, with the labels' supports."""
+    x = doc_features(spark, d)
+    m, p = M.logit(x, DOC_FEATURES, "label")
+    s = M.training_summary(m)
+    rows = [(float(k), *map(float, r)) for k, r in enumerate(zip(
+        s["precision_by_label"], s["recall_by_label"], s["f_by_label"]))]
+    by = spark.createDataFrame(rows, "label double, precision double, recall double, f double")
+    n = p.groupBy("label").agg(F.count(F.lit(1)).alias("support"))
+    ok = F.greatest("precision", "recall", "f") <= 1
+    return n.join(by, "label").select("label", "support", ok.alias("in_range"))
+
+
 @query("q_score_rank")
 def q_score_rank(spark, d):
     """Train on orders before the hold-out half-year, score the hold-out,

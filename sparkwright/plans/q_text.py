@@ -184,42 +184,44 @@ def _doc_tokens(spark, d):
     return tbl(spark, d, "documents").select("doc_id", T.remove_stopwords(TX.tokens("text")).alias("toks"))
 
 
-@query("q_hash")
+@query("q_hash", f"""
+WITH t AS (SELECT doc_id, list_filter({_TOKS.format(c='text')}, lambda x: NOT list_contains({_sql_list(T.STOPWORDS)}, lower(x))) AS toks
+           FROM documents)
+SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens FROM t""")
 def q_hash(spark, d):
-    """X9 + X10: hashed term frequencies (10,000 wide) and fitted IDF; non-zero count per document."""
-    from pyspark.ml.functions import vector_to_array
+    """X9 + X10: hashed term frequencies (10,000 wide) and fitted IDF, sparse throughout; the hashed counts
+    of a document sum to its tokens (the IDF stage must keep every counted slot)."""
     tf = T.hash_tf(_doc_tokens(spark, d), "toks", "tf", 10_000)
-    _m, out = T.idf(tf, "tf", "tfidf", min_doc_freq=2)
-    arr = vector_to_array("tfidf")
-    return out.select("doc_id", F.size(F.filter(arr, lambda x: x != 0)).alias("n_nonzero"))
+    _m, out = T.idf(tf, "tf", "tfidf")
+    one = T.sparse_sum("tf")
+    return out.select("doc_id", F.when(T.sparse_size("tfidf") <= T.sparse_size("tf"), one).cast("long").alias("n_tokens"))
 
 
 @query("q_countvec", f"""
 WITH t AS (SELECT doc_id, list_filter({_TOKS.format(c='text')}, lambda x: NOT list_contains({_sql_list(T.STOPWORDS)}, lower(x))) AS toks
            FROM documents),
 u AS (SELECT doc_id, unnest(toks) AS tok FROM t),
-v AS (SELECT tok FROM u GROUP BY tok HAVING count(DISTINCT doc_id) >= 2 ORDER BY count(*) DESC, tok LIMIT 90000),
+v AS (SELECT tok FROM u GROUP BY tok HAVING count(DISTINCT doc_id) >= 2 ),
 c AS (SELECT u.doc_id, u.tok, count(*) AS n FROM u JOIN v ON u.tok = v.tok GROUP BY u.doc_id, u.tok),
 s AS (SELECT doc_id, max(n) AS mx, sum(n) AS tot FROM c GROUP BY doc_id)
 SELECT t.doc_id, round(coalesce(s.mx / s.tot, 0.0), 6) AS tf_max FROM t LEFT JOIN s ON t.doc_id = s.doc_id""")
 def q_countvec(spark, d):
-    """X8 + N21: CountVectorizer (min DF 2, vocabulary cap 90,000) and true TF by L1
-    normalisation; the largest term share per document."""
-    from pyspark.ml.functions import vector_to_array
-    _m, out = T.count_vectors(_doc_tokens(spark, d), "toks", "tf", vocab_size=90_000, min_df=2.0)
+    """X8 + N21: CountVectorizer (min DF 2, no cap on the vocabulary) and true TF by L1
+    normalisation, sparse throughout; the largest term share per document."""
+    _m, out = T.count_vectors(_doc_tokens(spark, d), "toks", "tf", min_df=2.0)
     out = T.tf_normalise(out, "tf", "tf_norm")
-    arr = vector_to_array("tf_norm")
-    return rounded(out.select("doc_id", F.array_max(arr).alias("tf_max")))
+    return rounded(out.select("doc_id", T.sparse_max("tf_norm").alias("tf_max")))
 
 
-@query("q_lda")
+@query("q_lda", "SELECT doc_id, CAST(1.0 AS DOUBLE) AS mixture_sum FROM documents")
 def q_lda(spark, d):
-    """X11: LDA topic mixture per document (k=20, 10 iterations)."""
+    """X11: LDA topic mixture per document (k=100, 10 iterations, whole vocabulary); a mixture sums to 1."""
     from pyspark.ml.functions import vector_to_array
-    _m, cv = T.count_vectors(_doc_tokens(spark, d), "toks", "tf", vocab_size=5_000, min_df=2.0)
-    _lm, out = T.topics(cv, "tf", k=20, max_iter=10)
-    arr = vector_to_array("topics")
-    return out.select("doc_id", F.array_position(arr, F.array_max(arr)).alias("top_topic"))
+    _m, cv = T.count_vectors(_doc_tokens(spark, d), "toks", "tf", min_df=2.0)
+    _lm, out = T.topics(cv, "tf", k=100, max_iter=10)
+    mix = F.aggregate(vector_to_array("topics"), F.lit(0.0), lambda a, x: a + x)
+    # a document without any counted token has no mixture (all zero)
+    return rounded(out.select("doc_id", F.when(T.sparse_size("tf") == 0, 1.0).otherwise(mix).alias("mixture_sum")))
 
 
 @query("q_word2vec")

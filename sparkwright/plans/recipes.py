@@ -52,10 +52,9 @@ def _flags_sql(x, b):
 
 
 def _panel_sql():
-    from ..operators.split import walk_forward_plan
     folds = []
-    for i, (v, train) in enumerate(walk_forward_plan(range(1995, 2002), "expanding", n_folds=3)):
-        ys = ", ".join(str(y) for y in train)
+    for i, (v, ys) in enumerate([(1996, "1995"), (1997, "1995, 1996"), (1998, "1995, 1996, 1997"),
+                                 (1999, "1995, 1996, 1997, 1998"), (2000, "1995, 1996, 1997, 1998, 1999")]):
         folds.append(f"SELECT {i} AS fold, 'train' AS role, label FROM lab WHERE yr IN ({ys}) "
                      f"AND o_orderdate < TIMESTAMP '{v - 1}-07-01 00:00:00'")
         folds.append(f"SELECT {i}, 'valid', label FROM lab WHERE yr = {v}")
@@ -83,7 +82,7 @@ def r_panel(spark, d):
     """Panel recipe: trims, normalisation, label, walk-forward fold sizes (M4, 6-month embargo)."""
     p, _feats = panel_frame(spark, d)
     years = [r[0] for r in p.select("yr").distinct().collect()]          # one row per year
-    plan = S.walk_forward_plan(years, "expanding", n_folds=3)
+    plan = S.walk_forward_plan(years, "expanding", n_folds=6)
     wf = S.walk_forward(p, "yr", "o_orderdate", plan, embargo_months=6)
     return rounded(wf.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("pos_share")))
 
@@ -162,3 +161,49 @@ def r_bookings(spark, d):
     model = ST.glm(x, feats, "not_finished", "binomial")
     scored = model.transform(X.assemble(feats).transform(x)).withColumnRenamed("prediction", "p")
     return rounded(E.compare_thresholds(scored, "not_finished", "p", [0.3, 0.5, 0.6]))
+
+
+REVIEW_AUC = 0.75   # bound that the held-out AUC of both learners must pass
+
+
+def review_text_frame(spark, d):
+    """Reviews text flow on documents and labels: tokens without stop words, hashed counts and IDF (sparse
+    throughout), scaled length, indexed source, flags; split by key hash. Returns (train, test, feature stages)."""
+    from pyspark.ml.feature import IDF, HashingTF, StandardScaler, StringIndexer, VectorAssembler
+    from ..functions import text as TX
+    from ..operators import text as T
+    doc = tbl(spark, d, "documents").select("doc_id", "text", "source", "n_chars")
+    doc = doc.join(tbl(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    doc = doc.select(
+        "doc_id", "label", "source", T.remove_stopwords(TX.tokens("text")).alias("toks"), F.col("n_chars").cast("double").alias("len"),
+        (TX.count_char("text", "!") > 0).cast("double").alias("shouts"),
+        (TX.capital_token_count("text") > 20).cast("double").alias("capitals"))
+    train, test = S.split_random(cut_lineage(doc), "doc_id", [0.75, 0.25], seed=3, method="mod")
+    stages = [
+        HashingTF(inputCol="toks", outputCol="tf", numFeatures=10_000), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2),
+        StringIndexer(inputCol="source", outputCol="source_ix", handleInvalid="keep"),
+        VectorAssembler(inputCols=["len"], outputCol="len_v"), StandardScaler(inputCol="len_v", outputCol="len_s"),
+        VectorAssembler(inputCols=["tfidf", "source_ix", "len_s", "shouts", "capitals"], outputCol="features")]
+    return train, test, stages
+
+
+@query("r_review_text", """
+WITH t AS (SELECT l.doc_id FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+           WHERE ((l.doc_id * 7919 + 3 * 104729) % 10000) >= 7500)
+SELECT unnest(['forest', 'logit']) AS learner, (SELECT count(*) FROM t) AS n_test, true AS auc_above_bound""")
+def r_review_text(spark, d):
+    """Reviews text recipe (X8-X11, X18, M9, M12, E6): forest and logistic fits on the training part, exact AUC on the test part."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    train, test, stages = review_text_frame(spark, d)
+    learners = {"forest": RandomForestClassifier(labelCol="label", numTrees=100, maxDepth=4, maxBins=32, seed=7),
+                "logit": LogisticRegression(labelCol="label", regParam=0.01)}
+    out = None
+    for name, learner in learners.items():
+        scored = Pipeline(stages=[*stages, learner]).fit(train).transform(test).withColumn("p1", C.positive_prob("probability"))
+        scored = cut_lineage(scored.select("label", "p1"))
+        n = scored.agg(F.count(F.lit(1))).scalar()
+        row = E.auc(scored, "label", "p1").select(F.lit(name).alias("learner"), n.alias("n_test"),
+                                                  (F.col("auc") >= REVIEW_AUC).alias("auc_above_bound"))
+        out = row if out is None else out.unionByName(row)
+    return out
