@@ -95,9 +95,13 @@ def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     # The factor is 1 / (1 - R2) of the regression on the others; an exactly
     # collinear column (also one without variance) has an infinite one.
+    flat = {i for i in range(len(cols)) if not np.isfinite(np.delete(r[i], i)).any()} if len(cols) > 1 else set()
     rows = []
     for i, c in enumerate(cols):
-        rest = [j for j in range(len(cols)) if j != i]
+        rest = [j for j in range(len(cols)) if j != i and j not in flat]
+        if i in flat:
+            rows.append((c, float("inf")))
+            continue
         r2 = float(r[i, rest] @ np.linalg.pinv(r[np.ix_(rest, rest)], hermitian=True) @ r[rest, i]) if rest else 0.0
         rows.append((c, float("inf") if not np.isfinite(r2) or 1 - r2 < 1e-12 else 1 / (1 - r2)))
     return spark.createDataFrame(rows, "feature string, vif double")
