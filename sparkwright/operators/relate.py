@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .text import MAX_LITERAL
 
 
 def _cols(x) -> list[str]:
@@ -80,6 +81,8 @@ def lookup_tokens(df: DataFrame, tokens: str, lexicon: DataFrame | Mapping[str,
     input is checkpointed, so both branches see the same ids).
     """
     if isinstance(lexicon, Mapping):
+        if len(lexicon) > MAX_LITERAL:
+            raise ValueError(f"{len(lexicon)} words: pass a table for more than {MAX_LITERAL}")
         m = F.create_map(*[x for k, v in lexicon.items() for x in (F.lit(k), F.lit(v))])
         mapped = F.transform(F.col(tokens), lambda t: F.coalesce(
             F.try_element_at(m, t), t if keep_unmatched else F.lit(None)))

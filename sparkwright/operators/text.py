@@ -24,15 +24,15 @@ STOPWORDS = (
     "were", "what", "when", "which", "who", "will", "with", "would", "you", "your",
 )
 
-# Sentiment lexicon for X15 (word, score in [-3, 3]); this
-# repo's own re-aim of the per-row sentiment libraries.
+# A small sentiment lexicon for X15 (this repo's own words and
+# scores, whole numbers from -3 to 3). Pass a table for a larger one.
 LEXICON = {
-    "good": 1.9, "great": 3.0, "excellent": 3.0, "love": 2.9, "like": 1.5, "nice": 1.8, "best": 3.0,
-    "better": 1.9, "happy": 2.7, "well": 1.1, "fine": 0.8, "useful": 1.9, "easy": 1.9, "perfect": 2.7,
-    "recommend": 1.5, "fast": 1.0, "clean": 1.7, "fun": 2.3, "works": 1.0, "helpful": 1.8,
-    "bad": -2.5, "poor": -2.1, "terrible": -3.0, "hate": -2.7, "worst": -3.1, "awful": -3.0,
-    "broken": -2.0, "slow": -1.0, "waste": -1.8, "problem": -1.7, "wrong": -2.1, "difficult": -1.5,
-    "disappointed": -2.3, "useless": -1.8, "cheap": -0.6, "never": -0.4, "not": -0.7, "no": -1.2,
+    "good": 2, "great": 3, "excellent": 3, "love": 3, "like": 1, "nice": 2, "best": 3, "better": 2, "happy": 3,
+    "well": 1, "fine": 1, "useful": 2, "easy": 2, "perfect": 3, "recommend": 2, "fast": 1, "clean": 1, "fun": 2,
+    "works": 1, "helpful": 2,
+    "bad": -2, "poor": -2, "terrible": -3, "hate": -3, "worst": -3, "awful": -3, "broken": -2, "slow": -1,
+    "waste": -2, "problem": -1, "wrong": -2, "difficult": -1, "disappointed": -2, "useless": -2, "cheap": -1,
+    "never": -1, "not": -1, "no": -1,
 }
 
 # Lemma table for X6 (inflected form -> lemma).
@@ -43,21 +43,40 @@ LEMMAS = {
     "better": "good", "best": "good", "children": "child", "men": "man", "women": "woman",
 }
 
-COMPOUND_ALPHA = 15.0   # compound = s / sqrt(s^2 + alpha)
+COMPOUND_ALPHA = 15.0   # fixed value of the published compound score: s / sqrt(s^2 + 15)
+MAX_LITERAL = 256       # entries of a word list that may be a literal in the plan; more belong in a table
+
+
+def _bounded(words) -> list:
+    words = list(words)
+    if len(words) > MAX_LITERAL:
+        raise ValueError(f"{len(words)} words: use the table form for more than {MAX_LITERAL}")
+    return words
 
 
 def _lit_map(m: Mapping[str, object]) -> Column:
-    return F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])
+    return F.create_map(*[x for k in _bounded(m) for x in (F.lit(k), F.lit(m[k]))])
 
 
 def remove_stopwords(tok: str | Column, words: Sequence[str] = STOPWORDS, case_sensitive: bool = False) -> Column:
-    """Drop stop words from a token array, case-insensitive by default."""
+    """Drop stop words (at most ``MAX_LITERAL``) from a token array, case-insensitive by default."""
     t = F.col(tok) if isinstance(tok, str) else tok
-    ws = [w if case_sensitive else w.lower() for w in words]
+    ws = [w if case_sensitive else w.lower() for w in _bounded(words)]
     arr = F.array(*[F.lit(w) for w in ws])
     return F.filter(t, lambda x: ~F.array_contains(arr, x if case_sensitive else F.lower(x)))
 
 
+def remove_words(df: DataFrame, key: str, tok: str, words: DataFrame, out: str = "clean") -> DataFrame:
+    """X5 with a word table of any size (column ``word``, lower case): tokens joined by word.
+
+    ``key`` identifies a row. Rows whose tokens are all removed get an empty array.
+    """
+    ex = df.select(key, F.posexplode(tok).alias("_pos", "_tok"))
+    left = ex.join(words.select(F.lower("word").alias("_word")).distinct(), F.lower("_tok") == F.col("_word"), "left_anti")
+    kept = left.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_tok"))), lambda s: s["_tok"]).alias(out))
+    return df.join(kept, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+
+
 def lemmatise(tok: str | Column, lemmas: Mapping[str, str] = LEMMAS) -> Column:
     """Dictionary lemmatiser; unknown tokens pass through."""
     t = F.col(tok) if isinstance(tok, str) else tok
@@ -84,6 +103,11 @@ def sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] = LEXICON,
         "_s": F.aggregate("_sc", F.lit(0.0), lambda acc, x: acc + x),
         "_np": F.size(F.filter("_sc", lambda x: x > 0)), "_nn": F.size(F.filter("_sc", lambda x: x < 0)),
     }).drop("_toks", "_sc")
+    return _scores(t, prefix)
+
+
+def _scores(t: DataFrame, prefix: str) -> DataFrame:
+    """Sentiment columns from _n tokens, _k matched, _s score sum, _np and _nn positive and negative matches."""
     n, k, s = F.col("_n").cast("double"), F.col("_k").cast("double"), F.col("_s")
     share = lambda a: F.coalesce(F.try_divide(a.cast("double"), n), F.lit(0.0))
     cols = {
@@ -96,6 +120,20 @@ def sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] = LEXICON,
     return t.withColumns({prefix + k_: v for k_, v in cols.items()}).drop("_n", "_k", "_s", "_np", "_nn")
 
 
+def sentiment_table(df: DataFrame, key: str, text: str, lexicon: DataFrame, prefix: str = "") -> DataFrame:
+    """X15/D2 with a lexicon table of any size (word, score): tokens are counted per row, joined by word
+    and summed per row (``key`` identifies it)."""
+    t = df.withColumn("_toks", _tokens(text))
+    ex = explode_tokens(t.select(key, "_toks"), key, "_toks", "word").groupBy(key, "word").agg(F.count(F.lit(1)).alias("_c"))
+    hit = ex.join(lexicon.select("word", F.col("score").cast("double").alias("score")), "word")
+    g = hit.groupBy(key).agg(
+        F.sum("_c").alias("_k"), F.sum(F.col("_c") * F.col("score")).alias("_s"),
+        F.sum(F.when(F.col("score") > 0, F.col("_c"))).alias("_np"), F.sum(F.when(F.col("score") < 0, F.col("_c"))).alias("_nn"))
+    t = t.withColumn("_n", F.size("_toks")).drop("_toks").join(g, key, "left")
+    return _scores(t.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("_k", "_np", "_nn")})
+                   .withColumn("_s", F.coalesce("_s", F.lit(0.0))), prefix)
+
+
 def explode_tokens(df: DataFrame, keep, arr: str | Column, out: str = "token", extra=()) -> DataFrame:
     """One row per token (empty and null arrays give no row).
 

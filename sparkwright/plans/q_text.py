@@ -83,10 +83,13 @@ def q_tokens(spark, d):
     return ex.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_stopwords", f"""
+_STOP_SQL = f"""
 SELECT doc_id, CAST(len(list_filter({_TOKS.format(c='text')}, lambda x: NOT list_contains({_sql_list(T.STOPWORDS)}, lower(x))))
        AS BIGINT) AS n_clean
-FROM documents""")
+FROM documents"""
+
+
+@query("q_stopwords", _STOP_SQL)
 def q_stopwords(spark, d):
     """Tokens left after case-insensitive stop-word removal."""
     doc = tbl(spark, d, "documents")
@@ -112,7 +115,7 @@ def _lex_values():
     return ", ".join(f"('{k}', {float(v)}::DOUBLE)" for k, v in T.LEXICON.items())
 
 
-@query("q_lexicon_sentiment", f"""
+_SENTIMENT_SQL = f"""
 WITH t AS (SELECT doc_id, {_TOKS.format(c='text')} AS toks FROM documents),
 u AS (SELECT doc_id, unnest(toks) AS tok FROM t),
 lex(word, score) AS (VALUES {_lex_values()}),
@@ -128,7 +131,10 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(k AS BIGINT) AS n_matched,
   round(CASE WHEN n = 0 THEN 0.0 ELSE nneg / n END, 6) AS neg,
   round(1.0 - (CASE WHEN n = 0 THEN 0.0 ELSE npos / n END) - (CASE WHEN n = 0 THEN 0.0 ELSE nneg / n END), 6) AS neu,
   round(s / sqrt(s * s + 15.0), 6) AS compound
-FROM j""")
+FROM j"""
+
+
+@query("q_lexicon_sentiment", _SENTIMENT_SQL)
 def q_lexicon_sentiment(spark, d):
     """X15 (+ J10 in-row lookup): lexicon sentiment per document, no UDF, no shuffle."""
     doc = tbl(spark, d, "documents").select("doc_id", "text")
@@ -178,6 +184,22 @@ def q_concat_vectors(spark, d):
                             F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.abs(x)).alias("l1")))
 
 
+@query("q_stopwords_table", _STOP_SQL)
+def q_stopwords_table(spark, d):
+    """X5 through a word table joined by token (any number of words)."""
+    words = spark.createDataFrame([(w,) for w in T.STOPWORDS], "word string")
+    doc = tbl(spark, d, "documents").select("doc_id", TX.tokens("text").alias("toks"))
+    return T.remove_words(doc, "doc_id", "toks", words).select("doc_id", TX.array_len("clean").alias("n_clean"))
+
+
+@query("q_sentiment_table", _SENTIMENT_SQL)
+def q_sentiment_table(spark, d):
+    """X15 through a lexicon table joined by token (any number of words)."""
+    lex = spark.createDataFrame([(k, float(v)) for k, v in T.LEXICON.items()], "word string, score double")
+    doc = tbl(spark, d, "documents").select("doc_id", "text")
+    return rounded(T.sentiment_table(doc, "doc_id", "text", lex).drop("text"))
+
+
 # ------------------------------------------------------- ML text stages
 
 def _doc_tokens(spark, d):
