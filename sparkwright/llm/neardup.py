@@ -293,9 +293,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = rest.join(tried, ["u", "v"], "left_anti")
     second = _verified(rest, bags).where(F.col("j") >= threshold)
-    roots = components(first.where(F.col("j") >= threshold).unionAll(second).select("u", "v"))
+    # What the second links join are classes found so far: components of their roots.
+    for end in ("u", "v"):
+        second = second.join(roots.select(F.col("vertex").alias(end), F.col("root").alias("_r")), end, "left") \
+            .withColumn(end, F.coalesce("_r", end)).drop("_r")
+    joined = components(second.select("u", "v"))
     rooted = members.join(roots.select(F.col("vertex").alias("_node"), "root"), "_node", "left") \
         .withColumn("root", F.coalesce("root", "_node"))
+    rooted = rooted.join(joined.select(F.col("vertex").alias("root"), F.col("root").alias("_r")), "root", "left") \
+        .withColumn("root", F.coalesce("_r", "root"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rooted.join(ids, "root").select("doc_id", "class_id", F.col("root").alias("_root"), "_hash")
 
