@@ -1,7 +1,8 @@
 """Encoders, scalers and selectors (X18-X29), Spark ML stages.
 
-Fitted stages hold only p-sized state (level lists, means, variances);
-fitting them is one distributed aggregate each.
+Fitted stages hold level lists, means and variances; fitting them is one
+distributed aggregate each. Spark's indexer and target encoder keep every
+level in the driver: for ids use the ``_by_table`` forms, which join.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.ml import feature as MF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_on
+from .windows import grouped_running
+
 
 def index_levels(cols: Sequence[str], unseen: str = "keep", order: str = "alphabetAsc",
                  suffix: str = "_idx") -> MF.StringIndexer:
@@ -24,6 +28,39 @@ def index_levels(cols: Sequence[str], unseen: str = "keep", order: str = "alphab
                             handleInvalid=unseen, stringOrderType=order)
 
 
+def index_by_table(df: DataFrame, col: str, levels: DataFrame | None = None, out: str | None = None) -> DataFrame:
+    """X18 for columns with many levels (ids): the level table stays distributed and is joined by level.
+
+    Levels (of ``levels``, or of ``df`` itself) are numbered from 0 in
+    ascending order, range by range; unseen and null levels get the number of
+    levels.
+    """
+    out = out or col + "_idx"
+    src = (levels if levels is not None else df).select(F.col(col).alias("_level")).where(F.col("_level").isNotNull()).distinct()
+    table = grouped_running(src, [], ["_level"], {"_place": F.lit(1)}, inclusive=False)
+    n = table.agg(F.count(F.lit(1))).scalar()
+    j = df.join(table, F.col(col) == F.col("_level"), "left")
+    return j.withColumn(out, F.coalesce("_place", n).cast("double")).drop("_level", "_place")
+
+
+def target_encode_by_table(df: DataFrame, col: str, label: str, train: DataFrame | None = None, smoothing: float = 0.0,
+                           out: str | None = None) -> DataFrame:
+    """X21 for columns with many levels (ids): level means as a table joined by level.
+
+    A level's value is ``(sum + smoothing * prior) / (n + smoothing)``; unseen
+    levels get the prior (the overall mean), a null level is a level.
+    """
+    out = out or col + "_te"
+    src = train if train is not None else df
+    y = F.col(label).cast("double")
+    g = src.groupBy(col).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    t = g.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n"))).scalar()
+    prior = F.try_divide(t["s"], t["n"].cast("double"))
+    j = join_on(df, g, [col], "left")
+    value = F.try_divide(F.coalesce("_s", F.lit(0.0)) + smoothing * prior, F.coalesce("_n", F.lit(0)) + F.lit(float(smoothing)))
+    return j.withColumn(out, F.coalesce(value, prior)).drop("_s", "_n")
+
+
 def one_hot(cols: Sequence[str], drop: str | None = "first", unseen: str = "keep",
             suffix: str = "_oh") -> list:
     """One-hot stages. ``drop="first"`` drops the alphabetically first

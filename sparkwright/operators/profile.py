@@ -19,6 +19,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import join_on
+
 from .quantiles import quantiles_wide
 
 
@@ -43,7 +45,7 @@ def value_counts(df: DataFrame, col: str | Sequence[str], normalize: bool = Fals
     src = df.na.drop(subset=cols) if dropna else df
     out = src.groupBy(*cols).agg(F.count(F.lit(1)).alias(count_col))
     if normalize:
-        total = src.agg(F.count(F.lit(1))).scalar()
+        total = out.agg(F.sum(count_col)).scalar()   # over the grouped result, not the rows again
         out = out.withColumn(share_col, out[count_col] / total)
     return out
 
@@ -262,15 +264,13 @@ def _ceil_div(a: Column, d: int) -> Column:
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights ``n / (k * n_c)`` per class (T28: not swapped)."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    k = g.agg(F.count(F.lit(1))).scalar()
-    return g.withColumn(out, n / (k * F.col("n_c")))
+    t = g.agg(F.struct(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()   # totals of the grouped result
+    return g.withColumn(out, t["n"] / (t["k"] * F.col("n_c")))
 
 
 def attach_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """A23 joined back to rows for ``weightCol`` (class table is tiny: one row per class)."""
-    w = class_weights(df, label, out).select(label, out)
-    return df.join(F.broadcast(w), label, "left")
+    """A23 joined back to rows for ``weightCol``; a null label is a class."""
+    return join_on(df, class_weights(df, label, out).select(label, out), [label], "left")
 
 
 def freq_split(df: DataFrame, col: str, min_count: int = 50) -> DataFrame:

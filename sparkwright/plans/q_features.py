@@ -68,6 +68,23 @@ def q_target_encode(spark, d):
     return rounded(m.transform(lab).select("doc_id", "source_te"))
 
 
+@query("q_target_encode_table", """
+SELECT o_orderkey, round((sum(y) OVER (PARTITION BY o_custkey) + 2.0 * (SELECT avg(y) FROM o)) / (count(*) OVER (PARTITION BY o_custkey) + 2.0), 6) AS cust_te
+FROM o""".replace("\nSELECT", "\nWITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders)\nSELECT", 1))
+def q_target_encode_table(spark, d):
+    """X21 by joined level table: customer id, smoothed."""
+    o = tbl(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return rounded(X.target_encode_by_table(o, "o_custkey", "y", smoothing=2.0, out="cust_te").select("o_orderkey", "cust_te"))
+
+
+@query("q_index_table", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS DOUBLE) AS cust_idx FROM orders""")
+def q_index_table(spark, d):
+    """X18 by joined level table: customer id."""
+    o = tbl(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return X.index_by_table(o, "o_custkey", out="cust_idx").select("o_orderkey", "cust_idx")
+
+
 _VAR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
