@@ -80,5 +80,30 @@ def queries():
     return {f.__name__: f for f in (op1_sharding, op2_chat, op3_ann, op4_packing, op5_html, op6_lm, op7_neardup, op8_quality, op9_toxicity, op10_sentencepiece)}
 
 
+_SPACE = "[\\x20\\x09-\\x0D]"
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS ws FROM d),
+u AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM u) WHERE c > 1),
+gaps AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice),
+covered AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM gaps GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '{_SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '') AS lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS BIGINT) AS n_stuttered,
+    CAST(len(list_filter(ws, lambda x: x = upper(x) AND x <> lower(x))) AS BIGINT) AS n_shouted
+  FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
+b AS (SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM m),
+f AS (SELECT *, CAST((n_words < 20)::INT + 2 * (n_repeat_words * 100 > n_words * 30)::INT + 4 * (n_symbols * 100 > word_chars * 5)::INT
+    + 8 * (n_stuttered * 100 > n_words * 30)::INT + 16 * (n_shouted * 100 > n_words * 50)::INT
+    + 32 * (n_dup_lines * 100 > n_words * 10)::INT AS BIGINT) AS failure_bits FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failure_bits & 3) <> 0 AS base_failed,
+  (failure_bits & 31) = 0 AS kept, n_stuttered, n_shouted, failure_bits, 'web-1' AS policy FROM f"""
+
+
 def oracle_sql():
-    return {}
+    return {"op8_quality": OP8_SQL}

@@ -76,3 +76,9 @@ def test_keep_leaves_all_columns(docs):
     kept = quality.keep(wide)
     assert kept.columns == wide.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect() if not brute(r.text or "")[-1]}
+
+
+def test_query_against_sql(spark, sf):
+    from oracle_harness import compare, duck
+    r = compare(spark, duck(sf), "op8_quality", catalog.op8_quality, catalog.oracle_sql()["op8_quality"], sf)
+    assert r["status"] == "ok", r
