@@ -163,7 +163,7 @@ def r_bookings(spark, d):
     return rounded(E.compare_thresholds(scored, "not_finished", "p", [0.3, 0.5, 0.6]))
 
 
-REVIEW_AUC = 0.75   # bound that the held-out AUC of both learners must pass
+REVIEW_AUC = 0.8   # held-out AUC that both learners must reach, less 1 / sqrt(test rows) for its noise
 
 
 def review_text_frame(spark, d):
@@ -204,6 +204,6 @@ def r_review_text(spark, d):
         scored = cut_lineage(scored.select("label", "p1"))
         n = scored.agg(F.count(F.lit(1))).scalar()
         row = E.auc(scored, "label", "p1").select(F.lit(name).alias("learner"), n.alias("n_test"),
-                                                  (F.col("auc") >= REVIEW_AUC).alias("auc_above_bound"))
+                                                  (F.col("auc") >= REVIEW_AUC - 1 / F.sqrt(n)).alias("auc_above_bound"))
         out = row if out is None else out.unionByName(row)
     return out
