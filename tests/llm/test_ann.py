@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from llm_support import docs, no_docs, sf  # noqa: F401
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

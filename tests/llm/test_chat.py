@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
-from conftest_llm import clash
+from llm_support import clash, docs, no_docs, sf  # noqa: F401
 from pyspark.sql import functions as F
 
 from sparkwright.llm import catalog, chat

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from conftest_llm import clash
+from llm_support import clash, docs, no_docs, sf  # noqa: F401
 
 from sparkwright.llm import catalog, graph, neardup
 

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest_llm import clash
+from llm_support import clash, docs, no_docs, sf  # noqa: F401
 from tokenizers import Tokenizer
 
 from sparkwright.llm import catalog, packing

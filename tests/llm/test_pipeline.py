@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from conftest_llm import clash
+from llm_support import clash, docs, no_docs, sf  # noqa: F401
 from test_neardup import brute as near_classes
 from test_packing import check
 from test_quality import brute as quality

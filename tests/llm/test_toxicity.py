@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import zlib
 
-from conftest_llm import clash
+from llm_support import clash, docs, no_docs, sf  # noqa: F401
 
 from sparkwright.llm import catalog, toxicity
 
