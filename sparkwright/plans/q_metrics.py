@@ -156,7 +156,7 @@ def q_folds(spark, d):
 @query("q_stratified", f"""
 WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_H}, doc_id) AS rn,
                   count(*) OVER (PARTITION BY quality) AS nc FROM labels)
-SELECT doc_id, quality, CASE WHEN rn <= round(nc * 0.2) THEN 1 ELSE 0 END AS is_test FROM r""")
+SELECT doc_id, quality, CASE WHEN rn <= floor(nc * 0.2 + 0.5) THEN 1 ELSE 0 END AS is_test FROM r""")
 def q_stratified(spark, d):
     """M2: exact stratified 20% test split."""
     lab = tbl(spark, d, "labels").select("doc_id", "quality")

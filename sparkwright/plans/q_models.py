@@ -69,7 +69,7 @@ def q_logit_path(spark, d):
     for penalty, elastic in (("l1", 1.0), ("l2", 0.0)):
         lr = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=elastic)
         grid = {lr.regParam: [M.reg_param_for_c(c, n) for c in TU.c_path(10)]}
-        cvm = TU.grid_cv(lr, grid, x, "fold", parallelism=4)
+        cvm = TU.grid_cv(lr, grid, x, "fold", parallelism=8)
         rows += [(penalty, *r) for r in M.coefficients(cvm.bestModel, DOC_FEATURES)]
     return spark.createDataFrame(rows, "penalty string, feature string, coef double")
 

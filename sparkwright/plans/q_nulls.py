@@ -98,7 +98,7 @@ def q_null_folds(spark, d):
 
 @query("q_null_stratified", f"""{_L},
 r AS (SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY {_H}, doc_id) AS rn, count(*) OVER (PARTITION BY y) AS nc FROM l)
-SELECT doc_id, y, CASE WHEN rn <= round(nc * 0.2) THEN 1 ELSE 0 END AS is_test FROM r""")
+SELECT doc_id, y, CASE WHEN rn <= floor(nc * 0.2 + 0.5) THEN 1 ELSE 0 END AS is_test FROM r""")
 def q_null_stratified(spark, d):
     """M2 with null labels: they are a class."""
     return S.split_stratified(_labels(spark, d), "doc_id", "y", 0.2, method="mod")

@@ -143,7 +143,7 @@ def r_songs(spark, d):
     out = None
     for penalty, elastic in (("l1", 1.0), ("l2", 0.0)):
         lr = LogisticRegression(labelCol="label", elasticNetParam=elastic)
-        best = TU.grid_cv(lr, {lr.regParam: [M.reg_param_for_c(c, n) for c in TU.c_path(5)]}, train, "fold", parallelism=4).bestModel
+        best = TU.grid_cv(lr, {lr.regParam: [M.reg_param_for_c(c, n) for c in TU.c_path(5)]}, train, "fold", parallelism=8).bestModel
         scored = cut_lineage(best.transform(test).withColumn("p1", C.positive_prob("probability")).select("label", "p1"))
         n_test = scored.agg(F.count(F.lit(1))).scalar()
         n_pos = scored.agg(F.sum("label").cast("long")).scalar()
