@@ -18,6 +18,7 @@ SENTENCE_END = r"[.!?]\s+"                 # X3 sentence boundary
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"          # X3 split form of the same boundary
 PUNCT_SPACE = r"[\p{P}\p{Z}]"              # N17 Unicode punctuation + separators
 LETTERS = r"[a-zA-Z]+"                     # X16 any ASCII word
+NON_USEFUL_LIKE = ("%star%", "%...%")   # fixed values of the X16 rule
 NON_LETTER = r"[^A-Za-z]"                  # X4 normaliser cleanup
 CAPITAL = r"[A-Z]"                         # N22 token holds a capital
 WORD_RUN = r"\w+"                          # one token of the WORD_SPLIT tokeniser
@@ -114,7 +115,7 @@ def non_useful_flag(col: str | Column) -> Column:
     """
     c = _c(col)
     lc = F.lower(c)
-    cond = (lc.like("%star%") | lc.like("%...%")
+    cond = (lc.like(NON_USEFUL_LIKE[0]) | lc.like(NON_USEFUL_LIKE[1])
             | (F.regexp_extract(c, LETTERS, 0) == F.lit(""))
             | (F.regexp_replace(c, PUNCT_SPACE, "") == F.lit("")))
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
