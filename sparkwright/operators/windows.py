@@ -13,13 +13,14 @@ groups are known to be small).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .keys import join_on
-from .quantiles import quantile_long, quantiles_wide
+from .quantiles import quantiles_wide
 
 
 def _cols(x) -> list[str]:
@@ -118,16 +119,21 @@ def early_cutoff(df: DataFrame, by, order: str, frac: float = 0.1, mode: str = "
     ``rank`` mode reproduces ``rank() == ceil(frac*n)`` (T2): a group whose
     cutoff position falls inside a tie gets no cutoff (null).
     ``row_number`` mode always takes the value at that position.
-    Computed with the exact order-statistic operator: aggregates only.
+    One (group, value) count table gives both the group sizes and, summed
+    range by range, the positions.
     """
     by = _cols(by)
-    src = df.select(*by, order_key(df, order).alias("_ok"))
-    q = quantile_long(src, ["_ok"], [frac], by, mode="rank")
-    if mode == "rank":
-        cut = F.when((F.col("value_prev").isNull()) | (F.col("value_prev") < F.col("value")), F.col("value"))
-    else:
-        cut = F.col("value")
-    return q.select(*by, F.col("n").alias("n"), cut.alias("cutoff"))
+    counts = df.select(*by, order_key(df, order).alias("_ok")).groupBy(*by, "_ok").agg(F.count("_ok").alias("_c"))
+    placed = grouped_running(counts, by, ["_ok"], {"_before": F.col("_c")}, inclusive=False)   # written once, read twice
+    f = Fraction(str(frac))
+    sizes = placed.groupBy(*by).agg(F.sum("_c").alias("n")) \
+        .withColumn("_k", (F.col("n") * f.numerator + (f.denominator - 1)
+                           - F.pmod(F.col("n") * f.numerator + (f.denominator - 1), F.lit(f.denominator))) / f.denominator)
+    first = F.col("_before") + 1
+    here = first == F.col("_k") if mode == "rank" else (F.col("_k") >= first) & (F.col("_k") <= F.col("_before") + F.col("_c"))
+    hit = join_on(sizes, placed, by, "left").groupBy(*by).agg(
+        F.max("n").alias("n"), F.max(F.when((F.col("_c") > 0) & here, F.col("_ok"))).alias("cutoff"))
+    return hit.select(*by, "n", "cutoff")
 
 
 def early_flag(df: DataFrame, by, order: str, frac: float = 0.1, mode: str = "rank",
