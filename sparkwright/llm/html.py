@@ -59,6 +59,7 @@ class Block:
     hidden: bool
     marked: bool
     tags: tuple[str, ...]  # tags since the block before
+    costly: tuple[str, ...]  # those of them that stand in no hidden element
 
 
 def _parts(attributes: str) -> frozenset:
@@ -98,15 +99,16 @@ class _Page:
 
 def blocks(html: str) -> list[Block]:
     """Blocks of a page in order; broken markup is read as browsers mostly do."""
-    page, out, held, tags, at = _Page(), [], [], [], 0
+    page, out, held, tags, costly, at = _Page(), [], [], [], [], 0
     state = page.stack[-1]
 
     def end():
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append(Block(text, tuple(sorted(state[1])), state[2], state[3], tuple(tags)))
+            out.append(Block(text, tuple(sorted(state[1])), state[2], state[3], tuple(tags), tuple(costly)))
             tags.clear()
+            costly.clear()
 
     def say(part: str):
         nonlocal state
@@ -130,9 +132,13 @@ def blocks(html: str) -> list[Block]:
         if name not in INLINE:
             end()
         if closing:
+            if not page.stack[-1][2]:
+                costly.append(name)
             page.close_to(name)
             continue
         page.open(name, m[3] or "")
+        if not page.stack[-1][2]:
+            costly.append(name)
         if name in RAW and not m[0].endswith("/>"):
             stop = re.compile(f"</{name}", re.IGNORECASE).search(html, at)
             at = stop.start() if stop else len(html)
@@ -149,15 +155,16 @@ class Model:
     other_tag: float
 
     def extract(self, html: str | None) -> str:
-        """Text of the best region, blocks joined by one space."""
+        """Text of the best region, blocks joined by one space; hidden elements
+        are left out of it and cost nothing, however long they are."""
         page = [b for b in blocks(html or "")]
         best, best_at, run, start = 0.0, (0, 0), 0.0, 0
         for i, b in enumerate(page):
-            cost = sum(self.tags.get(t, self.other_tag) for t in b.tags)
+            cost = sum(self.tags.get(t, self.other_tag) for t in b.costly)
             run += cost
             if run <= 0:
                 run, start = 0.0, i
-            run += self.word(b) * (b.text.count(" ") + 1)
+            run += 0.0 if b.hidden else self.word(b) * (b.text.count(" ") + 1)
             if run > best:
                 best, best_at = run, (start, i + 1)
             if run <= 0:

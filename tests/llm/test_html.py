@@ -71,6 +71,16 @@ def test_scan_finds_the_best_region():
         assert m.extract(p) == (best[1] if best[0] > 0 else "")
 
 
+@pytest.mark.parametrize("mark", ["article", "div"])
+@pytest.mark.parametrize("block", ["<aside>{}</aside>", "<form>{}<input><input></form>", '<div class="ad">{}</div>',
+                                   '<section class="comments">{}</section>'])
+def test_long_hidden_blocks_inside_the_article(model, mark, block):
+    lead, tail = "lead words of the article stand here", "and the tail of it ends here"
+    beside = block.format("<p>words that are no article text</p>" * 200 + "<div></div>" * 200)
+    page = f"<body><{mark}><h1>Head line</h1><p>{lead}</p>{beside}<p>{tail}</p></{mark}></body>"
+    assert model.extract(page) == f"Head line {lead} {tail}"
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>a b c</p>"), (2, "u", ""), (2, "u", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as name", "3 as n")
