@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -28,7 +29,7 @@ from .toxicity import logistic
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?][^>]*+>""",
     re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NAME_PART = re.compile(r"[a-z]+")
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +45,16 @@ BESIDE = frozenset("ad ads advert adverts advertisement advertising banner promo
                    "recommended comment comments respond reply replies disqus pagination pager widget "
                    "complementary contentinfo".split())
 CONTENT = frozenset("article main post entry story content body text".split())
+# Parts that say so only as a name's last part or among parts of BESIDE, CONTENT and FILLER; form not even as the last.
+AMBIGUOUS = frozenset("form search share sharing social notice notices alert login consent reply replies respond modal widget".split())
+FILLER = frozenset("area bar block box button buttons container field group icon icons inner input item items label link links list "
+                   "message outer overlay panel row section slot title unit wrap wrapper".split())
+LAYOUT = frozenset("has no with without".split())  # the part after one of these is not what the element is
+COMMENTS = frozenset("comment comments disqus".split())
+# How firmly an element is left out. LOOSE: not where it is or holds an article. FIRM: not where it holds all the page's
+# articles. THREAD: readers' comments, which may be articles themselves. Where one holds the main element it stays.
+LOOSE, FIRM, THREAD = 1, 2, 3
+FIRM_ELEMENTS = frozenset("nav footer aside".split())
 MARKED = frozenset(("article", "main"))
 MAX_SAMPLE = 2_000        # labelled pages used for fitting, at most about
 PRIOR_WORDS = 40.0        # words that each hint counts as in the fit
@@ -62,18 +73,56 @@ class Block:
     costly: tuple[str, ...]  # those of them that stand in no hidden element
 
 
-def _parts(attributes: str) -> frozenset:
-    out = set()
+@lru_cache(maxsize=20_000)
+def _name(name: str) -> tuple[frozenset, int]:
+    """Parts of one class, id or role that count as features, and how firmly it leaves its element out (0: not)."""
+    parts = NAME_PART.findall(name)
+    parts = [p for i, p in enumerate(parts) if not (p in LAYOUT or (i and parts[i - 1] in LAYOUT))]
+    beside = BESIDE.intersection(parts)
+    if not beside:
+        return frozenset(parts), 0
+    if beside & COMMENTS:
+        return frozenset(parts), THREAD
+    if beside - AMBIGUOUS:
+        return frozenset(parts), FIRM
+    if (parts[-1] in beside and parts[-1] != "form") or all(p in BESIDE or p in CONTENT or p in FILLER for p in parts):
+        return frozenset(parts), LOOSE
+    return frozenset(parts) - BESIDE, 0
+
+
+def _names(attributes: str) -> tuple[frozenset, int, bool]:
+    """Features of an element's names, how firmly they leave it out, and whether its role is main."""
+    parts, rank, main = frozenset(), 0, False
     for m in ATTRIBUTE.finditer(attributes):
-        out.update(NAME_PART.findall((m[1] or m[2] or m[3] or "").lower()))
-    return frozenset(out)
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            more, firm = _name(name)
+            parts, rank = parts | more, max(rank, firm)
+            main |= name == "main" and m[1].lower() == "role" and attributes[m.start() - 1:m.start()] != "-"
+    return parts, rank, main
+
+
+@dataclass(slots=True)
+class _Element:
+    name: str
+    features: frozenset
+    hidden: bool
+    marked: bool
+    nth: int
+    rank: int
+    mains: int      # main and article elements opened before it
+    articles: int
 
 
 class _Page:
-    """Open elements while a page is read; each knows its features and whether it is hidden."""
+    """Open elements while a page is read; each knows its features and whether it is hidden.
+
+    ``never`` holds the numbers of elements that hide nothing.
+    """
 
-    def __init__(self):
-        self.stack: list[tuple[str, frozenset, bool, bool]] = [("", frozenset(), False, False)]
+    def __init__(self, never: frozenset = frozenset()):
+        self.never, self.n, self.mains, self.articles = never, 0, 0, 0
+        self.holders: list[tuple[int, int, int, int]] = []
+        self.stack = [_Element("", frozenset(), False, False, 0, 0, 0, 0)]
 
     def open(self, name: str, attributes: str) -> None:
         if name in CLOSES_P:
@@ -82,31 +131,64 @@ class _Page:
             self.close_to(name, ("ul", "ol", "table", "dl", "select"))
         if name in VOID:
             return
-        _, above, hidden, marked = self.stack[-1]
-        parts = _parts(attributes) if attributes and "=" in attributes else frozenset()
-        aside = name in HIDDEN or (name == "header" and not marked) or bool(parts & BESIDE and not parts & CONTENT)
-        features = above | {name} | {"." + p for p in parts} if name not in MARKED else above | {"." + p for p in parts - MARKED}
-        self.stack.append((name, features, hidden or (aside and name != "body"), marked or name in MARKED or "main" in parts))
+        top = self.stack[-1]
+        self.n += 1
+        parts, rank, main = _names(attributes) if attributes and "=" in attributes else (frozenset(), 0, False)
+        if name in HIDDEN or (name == "header" and not top.marked):
+            rank = max(rank, FIRM if name in FIRM_ELEMENTS else LOOSE)
+        own = {name}
+        if name in ("html", "body") or self.n in self.never:
+            parts, own, rank = parts - BESIDE, own - HIDDEN, 0
+        main |= name == "main"
+        mark = main or name in MARKED
+        if mark:
+            parts, own = parts - MARKED, own - MARKED
+        features = top.features | own | {"." + p for p in parts}
+        self.stack.append(_Element(name, features, top.hidden or rank > 0, top.marked or mark, self.n, rank, self.mains, self.articles))
+        self.mains += main
+        self.articles += mark and not main
 
     def close_to(self, name: str, limits: tuple[str, ...] = ()) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == name:
-                del self.stack[k:]
+            if self.stack[k].name == name:
+                self.close_from(k)
                 return
-            if self.stack[k][0] in limits:
+            if self.stack[k].name in limits:
                 return
 
+    def close_from(self, k: int) -> None:
+        for e in self.stack[k:]:
+            if e.rank and (self.mains, self.articles) != (e.mains, e.articles):
+                self.holders.append((e.nth, e.rank, self.mains - e.mains, self.articles - e.articles))
+        del self.stack[k:]
+
+    def wrongly_hidden(self) -> frozenset:
+        """Numbers of the elements that would have hidden the article, once the page is read."""
+        self.close_from(1)
+        return frozenset(nth for nth, rank, mains, articles in self.holders
+                         if mains or rank == LOOSE or (rank == FIRM and articles == self.articles and not self.mains))
+
 
 def blocks(html: str) -> list[Block]:
-    """Blocks of a page in order; broken markup is read as browsers mostly do."""
-    page, out, held, tags, costly, at = _Page(), [], [], [], [], 0
+    """Blocks of a page in order; broken markup is read as browsers mostly do.
+
+    A page whose article stands in an element that would hide it is read again without that.
+    """
+    page = _Page()
+    out = _read(html, page)
+    never = page.wrongly_hidden()
+    return _read(html, _Page(never)) if never else out
+
+
+def _read(html: str, page: _Page) -> list[Block]:
+    out, held, tags, costly, at = [], [], [], [], 0
     state = page.stack[-1]
 
     def end():
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append(Block(text, tuple(sorted(state[1])), state[2], state[3], tuple(tags), tuple(costly)))
+            out.append(Block(text, tuple(sorted(state.features)), state.hidden, state.marked, tuple(tags), tuple(costly)))
             tags.clear()
             costly.clear()
 
@@ -117,7 +199,7 @@ def blocks(html: str) -> list[Block]:
                 top = page.stack[-1]
                 if not any(h.strip() for h in held):
                     state = top
-                elif top[2] != state[2]:       # an inline element that is hidden, or the end of one
+                elif top.hidden != state.hidden:       # an inline element that is hidden, or the end of one
                     end()
                     state = top
             held.append(unescape(part) if "&" in part else part)
@@ -132,12 +214,12 @@ def blocks(html: str) -> list[Block]:
         if name not in INLINE:
             end()
         if closing:
-            if not page.stack[-1][2]:
+            if not page.stack[-1].hidden:
                 costly.append(name)
             page.close_to(name)
             continue
         page.open(name, m[3] or "")
-        if not page.stack[-1][2]:
+        if not page.stack[-1].hidden:
             costly.append(name)
         if name in RAW and not m[0].endswith("/>"):
             stop = re.compile(f"</{name}", re.IGNORECASE).search(html, at)

@@ -81,6 +81,38 @@ def test_long_hidden_blocks_inside_the_article(model, mark, block):
     assert model.extract(page) == f"Head line {lead} {tail}"
 
 
+BODY = "<h1>Head line</h1><p>some words of the article stand here for all to read</p><p>and some more of them stand here</p>"
+TEXT = "Head line some words of the article stand here for all to read and some more of them stand here"
+
+
+@pytest.mark.parametrize("name", ["main-nav", "main-menu", "article-comments", "post-comments", "comment-body", "entry-footer",
+                                  "sidebar-content", "related-posts", "share-buttons", "article-share", "search-box"])
+@pytest.mark.parametrize("mark", ["<article>{}</article>", '<div class="content">{}</div>'])
+def test_content_parts_do_not_cancel_what_a_name_says(model, name, mark):
+    beside = "<p>words that are no article text but many</p>" * 5
+    for kind in ("id", "class"):
+        part = f'<div {kind}="{name}">{beside}</div>'
+        assert model.extract(f"<body>{part}{mark.format(BODY)}{part}</body>") == TEXT
+    assert not any(b.marked for b in html.blocks(f'<div id="{name}">{beside}</div>'))
+
+
+@pytest.mark.parametrize("page", [
+    '<article class="long-form">{}</article>', '<div class="long-form">{}</div>', '<div class="search-results"><article>{}</article></div>',
+    '<div class="search-results">{}</div>', '<div class="form"><main>{}</main></div>', '<form id="aspnetForm"><article>{}</article></form>',
+    '<div class="content-with-sidebar">{}</div>', '<div class="sidebar-layout"><div role="main">{}</div></div>',
+    '<div class="sidebar-layout"><article>{}</article></div>', '<main class="widget">{}</main>'])
+def test_names_do_not_hide_the_article(model, page):
+    assert model.extract(f"<body>{page.format(BODY)}</body>") == TEXT
+
+
+def test_articles_of_readers_and_cards_stay_out(model):
+    more = "<article class='comment-body'><p>I like it a lot and say so at length</p></article>" * 9
+    cards = "<article><p>another story that you may like</p></article>" * 9
+    for mark in ("article", "main"):
+        page = f"<{mark}>{BODY}</{mark}><aside>{cards}</aside><div class='related'>{cards}</div><div id='comments'>{more}</div>"
+        assert model.extract(page) == TEXT
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>a b c</p>"), (2, "u", ""), (2, "u", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as name", "3 as n")
