@@ -3,8 +3,10 @@ context windows that tell quotation from abuse.
 
 The lexicon is learned from labelled documents: whole words and word stems
 that occur in toxic ones only, chosen greedily by the toxic documents they
-add. A document's word is then looked up with its Levenshtein automaton in a
-trie of the lexicon, so misspelled terms are found too. Each hit is weighed
+add. A document's word is then looked up with its Levenshtein automaton in
+tries of the lexicon, so misspelled terms are found too: swapped neighbours
+are one edit, long terms may have two, stems match beginnings, and digits and
+symbols inside a word belong to it. Each hit is weighed
 by its context window, and a logistic model turns the weights into a score.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,21 +29,30 @@ from .common import crc_of_id, ship
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)  # stems are written with a trailing *
-FUZZY_FROM = 5            # terms of at least so many letters match at distance 1
+# A word with digits or symbols in it or at its ends; what it is cut into by WORD is looked up as well.
+TOKEN = re.compile(r"[\d*@$]*+[^\W\d_]++(?:[\d_*@$!|#%&+'’.-]{1,2}[^\W\d_]++)*+[\d*@$]*+")
+LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
+SEPARATOR = str.maketrans("", "", "_+'’.-")
+FUZZY_FROM, TWO_FROM = 4, 8  # terms and stems of at least so many letters match at one edit, at two
+FIRM_FROM = 5             # shorter terms and all stems are faint when misspelled
 CONTEXT_WORDS = 6
 OPENING, CLOSING = "\"“„«‘", "\"”“»’"
 MAX_SAMPLE = 12_000       # labelled documents used for fitting, at most
 MIN_DOCS, MIN_PURITY, CLEAN_COST = 4, 0.6, 1
-MEASURES = ("word", "stem", "misspelled", "quoted", "density")
-PRIOR_WEIGHTS = (2.5, 1.5, 1.5, 0.5, 0.5)  # what the ridge pulls the measures' weights to
+MEASURES = ("word", "stem", "misspelled", "faint", "quoted", "density")
+PRIOR_WEIGHTS = (2.5, 1.5, 1.5, 1.5, 0.5, 0.5)  # what the ridge pulls the measures' weights to
 
 
 class Automaton:
     """Levenshtein automaton of ``word`` for ``k`` edits; a state is the sparse
-    row of (position, edits) pairs that can still lead to acceptance."""
+    row of (position, edits) pairs that can still lead to acceptance.
 
-    def __init__(self, word: str, k: int):
-        self.word, self.k = word, k
+    With ``swaps`` two neighbours in the wrong order are one edit; position
+    -1 - i then stands for i with the letter after it read first.
+    """
+
+    def __init__(self, word: str, k: int, swaps: bool = False):
+        self.word, self.k, self.swaps = word, k, swaps
 
     def start(self) -> tuple:
         return tuple((i, i) for i in range(min(self.k, len(self.word)) + 1))
@@ -48,6 +60,10 @@ class Automaton:
     def step(self, state: tuple, letter: str) -> tuple:
         best: dict[int, int] = {}
         for i, e in state:
+            if i < 0:
+                if self.word[-1 - i] == letter:
+                    best[1 - i] = min(best.get(1 - i, self.k), e)              # -1 - i + 2
+                continue
             if e < self.k:
                 best[i] = min(best.get(i, self.k), e + 1)                      # letter inserted
             for skip in range(self.k - e + 1):                                 # word letters left out
@@ -57,10 +73,16 @@ class Automaton:
                 cost = e + skip + (self.word[j] != letter)
                 if cost <= self.k:
                     best[j + 1] = min(best.get(j + 1, self.k), cost)
+                if self.swaps and e + skip < self.k and self.word[j + 1:j + 2] == letter:
+                    best[-1 - j] = min(best.get(-1 - j, self.k), e + skip + 1)
         return tuple(best.items())
 
     def accepts(self, state: tuple) -> bool:
-        return any(len(self.word) - i + e <= self.k for i, e in state)
+        return any(i >= 0 and len(self.word) - i + e <= self.k for i, e in state)
+
+    def begins(self, state: tuple) -> bool:
+        """What was read is within ``k`` edits of a beginning of the word that leaves a letter."""
+        return any(0 <= i < len(self.word) for i, _ in state)
 
 
 class Trie:
@@ -74,13 +96,14 @@ class Trie:
                 node = node.setdefault(letter, {})
             node[""] = t
 
-    def near(self, word: str, k: int) -> str | None:
-        """A term within ``k`` edits of ``word``: the automaton and the trie walked together."""
-        a = Automaton(word, k)
+    def near(self, word: str, k: int, swaps: bool = False, begins: bool = False) -> str | None:
+        """A term within ``k`` edits of ``word`` (``begins``: of a beginning of it): the automaton and the trie walked together."""
+        a = Automaton(word, k, swaps)
+        good = a.begins if begins else a.accepts
         stack = [(self.root, a.start())]
         while stack:
             node, state = stack.pop()
-            if "" in node and a.accepts(state):
+            if "" in node and good(state):
                 return node[""]
             for letter, below in node.items():
                 if letter and (after := a.step(state, letter)):
@@ -88,6 +111,46 @@ class Trie:
         return None
 
 
+def deletions(word: str, k: int) -> set:
+    """``word`` with up to ``k`` letters left out."""
+    out = last = {word}
+    for _ in range(k):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+class Near:
+    """Terms that are found within ``k`` edits, or stems found so at the beginning of a word."""
+
+    def __init__(self, terms: list[str], k: int, begins: bool, kind: int):
+        self.trie, self.k, self.begins, self.kind = Trie(terms), k, begins, kind
+        # Two words within k edits have a common rest with at most k letters of each left out:
+        # a word that has none with any term is not looked up.
+        self.rests = {d for t in terms for d in deletions(t, k)}
+        # Of k + 1 pieces of a term, k edits leave one as it was and move it by k places at most; a swap
+        # over a cut changes two pieces in a way known beforehand. Looked at first, as it is cheaper.
+        places: dict[tuple[int, int], set] = {}
+        for t in terms:
+            cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
+            for v in (t, *(t[:c - 1] + t[c] + t[c - 1] + t[c + 1:] for c in cuts[1:-1])):
+                for a, b in zip(cuts, cuts[1:]):
+                    for at in range(max(a - k, 0), a + k + 1) if a else (0,):
+                        places.setdefault((at, at + b - a), set()).add(v[a:b])
+        self.places = [(a, b, found) for (a, b), found in sorted(places.items())]
+        self.shortest = min(map(len, terms), default=1) - k
+        self.longest = max(map(len, terms), default=0) + k
+
+    def finds(self, word: str) -> bool:
+        if not self.rests or len(word) < self.shortest or (len(word) > self.longest and not self.begins):
+            return False
+        if not any(word[a:b] in found for a, b, found in self.places):
+            return False
+        lengths = range(self.shortest, min(self.longest, len(word)) + 1) if self.begins else (len(word),)
+        return any(not self.rests.isdisjoint(deletions(word[:n], self.k)) for n in lengths) \
+            and self.trie.near(word, self.k, True, self.begins) is not None
+
+
 @dataclass
 class Lexicon:
     """Terms, stems and the clean words that are near a term by chance."""
@@ -98,15 +161,11 @@ class Lexicon:
     seen: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        fuzzy = [w for w in self.words if len(w) >= FUZZY_FROM]
-        self.trie = Trie(fuzzy)
-        # One edit leaves the first or the second half of a term as it was:
-        # a word with neither half in place is not looked up.
-        self.heads = {w[:len(w) // 2] for w in fuzzy}
-        self.tails = {w[len(w) // 2:] for w in fuzzy}
-        self.head_lengths = sorted({len(h) for h in self.heads})
-        self.tail_lengths = sorted({len(t) for t in self.tails})
         self.stem_lengths = sorted({len(s) for s in self.stems})
+        self.near = [Near([t for t in terms if a <= len(t) < b], k, begins, kind) for terms, a, b, k, begins, kind in (
+            (self.words, FIRM_FROM, TWO_FROM, 1, False, 3), (self.words, TWO_FROM, math.inf, 2, False, 3),
+            (self.words, FUZZY_FROM, FIRM_FROM, 1, False, 4),
+            (self.stems, FUZZY_FROM, TWO_FROM, 1, True, 4), (self.stems, TWO_FROM, math.inf, 2, True, 4))]
 
     def __getstate__(self):
         return {"words": self.words, "stems": self.stems, "clean": self.clean}
@@ -114,18 +173,27 @@ class Lexicon:
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def kind(self, word: str) -> int:
-        """0 no hit, 1 a term, 2 a stem, 3 a misspelled term."""
+    def exact(self, word: str) -> int:
+        """1 a term, 2 a word with a stem, 0 neither."""
         if word in self.words:
             return 1
-        if any(word[:n] in self.stems for n in self.stem_lengths if n < len(word)):
-            return 2
-        if len(word) < FUZZY_FROM - 1 or word in self.clean:
-            return 0
-        if not (any(word[:n] in self.heads for n in self.head_lengths)
-                or any(word[-n:] in self.tails for n in self.tail_lengths)):
+        return 2 if any(word[:n] in self.stems for n in self.stem_lengths if n < len(word)) else 0
+
+    def kind(self, word: str) -> int:
+        """0 no hit, 1 a term, 2 a stem, 3 a misspelled term, 4 a misspelled short term or stem."""
+        plain = WORD.fullmatch(word)
+        if plain and (k := self.exact(word)):
+            return k
+        if word in self.clean:
             return 0
-        return 3 if self.trie.near(word, 1) else 0
+        if not plain:
+            joined = word.translate(SEPARATOR)
+            word = joined.translate(LOOKALIKE)
+            if self.exact(word):
+                return 3
+            if WORD.fullmatch(joined):     # nothing but separators: whole words side by side as a rule
+                return 0
+        return next((n.kind for n in self.near if n.finds(word)), 0)
 
     def hits(self, words: set) -> dict:
         """Kinds of the words that are hits; kinds are kept, at most 200,000 of them."""
@@ -147,20 +215,34 @@ def quoted(text: str, start: int, end: int) -> bool:
     return any(c in after for c in CLOSING)
 
 
-def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
-    """The ``MEASURES``: log(1 + n) of hits on words, on stems, misspelled, quoted, and of all hits a thousand words."""
+def mixed_tokens(low: str) -> set:
+    """Distinct words of a lower-cased text that have digits or symbols in them."""
+    return {t for t in set(TOKEN.findall(low)) if not WORD.fullmatch(t)}
+
+
+def features(text: str, lexicon: Lexicon, misspelled: bool = False) -> tuple[float, ...]:
+    """The ``MEASURES``: log(1 + n) of hits on words, on stems, misspelled, faintly so, quoted, and of all hits a thousand words.
+
+    With ``misspelled`` they are those of the text with all its terms misspelled.
+    """
     low = text.lower()
     words = WORD.findall(low)
-    hits = lexicon.hits(set(words))
+    mixed = mixed_tokens(low)
+    hits = lexicon.hits(mixed.union(words))
     if not hits:
         return (0.0,) * len(MEASURES)
-    n = [0, 0, 0, 0]
+    n = [0, 0, 0, 0, 0]
     marks = any(c in low for c in OPENING)
-    for m in WORD.finditer(low):
-        k = hits.get(m.group())
-        if k:
-            n[3 if marks and quoted(low, m.start(), m.end()) else k - 1] += 1
-    return (*(math.log1p(x) for x in n), math.log1p(1000 * sum(n[:3]) / (len(words) + 20)))
+    found = [m for m in WORD.finditer(low) if m.group() in hits]
+    if not mixed.isdisjoint(hits):
+        taken = {m.start() for m in found}
+        found += [m for m in TOKEN.finditer(low) if m.group() in mixed and m.group() in hits and taken.isdisjoint(range(*m.span()))]
+    for m in found:
+        k = hits[m.group()]
+        if misspelled and k <= 2:
+            k = 3 if k == 1 and len(m.group()) >= FIRM_FROM else 4
+        n[4 if marks and quoted(low, m.start(), m.end()) else k - 1] += 1
+    return (*(math.log1p(x) for x in n), math.log1p(1000 * sum(n[:4]) / (len(words) + 20)))
 
 
 @dataclass
@@ -264,6 +346,10 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
                    frozenset(stems))
 
 
+def half(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 1
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_sample: int = MAX_SAMPLE) -> Model:
     """Learn lexicon and weights from labelled documents.
 
@@ -278,16 +364,24 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_sam
 
     def near_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = {w for t in pdf["text"] for w in WORD.findall(t.lower())}
-            yield pd.DataFrame({"word": pd.Series([w for w, k in lexicon.hits(words).items() if k == 3], dtype=object)})
-
-    clean = sample.where("toxic = 0").mapInPandas(near_clean, "word string").distinct().collect()
+            words = [(w, half(t)) for t in pdf["text"] for w in mixed_tokens(t.lower()).union(WORD.findall(t.lower()))]
+            near = lexicon.hits({w for w, _ in words})
+            rows = sorted({(w, h) for w, h in words if near.get(w, 0) >= 3})
+            yield pd.DataFrame({"word": pd.Series([w for w, _ in rows], dtype=object), "half": pd.Series([h for _, h in rows], dtype="int32")})
+
+    clean = sample.where("toxic = 0").mapInPandas(near_clean, "word string, half int").distinct().collect()
+    # Clean texts are measured with the clean words of the other half, so that the weights
+    # know how often a word that no fitted text holds is near a term by chance.
+    others = [Lexicon(lexicon.words, lexicon.stems, frozenset(r.word for r in clean if r.half != h)) for h in (0, 1)]
     lexicon = Lexicon(lexicon.words, lexicon.stems, frozenset(r.word for r in clean))
 
+    # The lexicon is learned from spellings as they are, so fitted texts hardly have misspelled
+    # terms; each text is measured a second time as if all its terms were.
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = [features(t, lexicon) for t in pdf["text"]]
-            yield pd.DataFrame(x, columns=MEASURES).assign(y=(pdf["toxic"] > 0).astype("float64").to_numpy())
+            for misspelled in (False, True):
+                x = [features(t, lexicon if toxic > 0 else others[half(t)], misspelled) for t, toxic in zip(pdf["text"], pdf["toxic"])]
+                yield pd.DataFrame(x, columns=MEASURES).assign(y=(pdf["toxic"] > 0).astype("float64").to_numpy())
 
     seen = sample.mapInPandas(measured, ", ".join(f"{c} double" for c in (*MEASURES, "y"))).toPandas()
     prior = np.asarray(PRIOR_WEIGHTS)

@@ -36,6 +36,41 @@ def test_shortcut_loses_no_term_at_distance_one():
         assert all(lex.kind(w) == 3 for w in near)
 
 
+def osa(a, b):
+    """Edit distance with swapped neighbours as one edit, by the full table."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not (i and j)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_lookup_equals_edit_distance_with_swaps():
+    import random
+    rng = random.Random(7)
+    terms, stems = ["abca", "bacab", "cabbaacb", "abcabcabc"], ["bccb", "caacbabb"]
+    lex = toxicity.Lexicon(frozenset(terms), frozenset(stems))
+    edits = lambda t: 2 if len(t) >= 8 else 1
+    for _ in range(4000):
+        w = "".join(rng.choices("abc", k=rng.randint(1, 12)))
+        near = any(osa(t, w) <= edits(t) for t in terms) \
+            or any(osa(t, w[:n]) <= edits(t) for t in stems for n in range(len(w)))
+        assert bool(lex.kind(w)) == near, w
+
+
+def test_misspelled_terms_of_all_kinds_are_found():
+    lex = toxicity.Lexicon(frozenset(["idiot", "stupid", "scum", "worthless"]), frozenset(["moro"]))
+    for w in ("idoit", "iidot", "scmu", "scun", "skum", "worhtles", "worhtlses", "mroons", "mooronic"):
+        assert lex.kind(w) >= 3, w
+        assert toxicity.features(f"you {w} there", lex) != (0.0,) * len(toxicity.MEASURES), w
+    for w in ("idi0t", "st*pid", "id10t", "$tup1d", "i.d.i.o.t", "s_c_u_m", "5cum", "scu*", "w0rthl3ss", "m0r0ns"):
+        assert toxicity.features(f"you {w} there", lex) != (0.0,) * len(toxicity.MEASURES), w
+    for w in ("well-known", "3rd", "10", "a.b", "there", "wonderful"):
+        assert toxicity.features(f"you {w} see", lex) == (0.0,) * len(toxicity.MEASURES), w
+
+
 def test_quotation_is_told_from_abuse():
     said = 'he called it "trash talk" and left the room again with them all'
     i = said.index("trash")
