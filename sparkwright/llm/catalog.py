@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html, lm, neardup, packing, quality, sentencepieces, sharding, toxicity
+from . import ann, chat, html, lm, neardup, packing, periodic, quality, rulefit, sentencepieces, sharding, toxicity, whitening
 from .common import table
 
 
@@ -76,8 +76,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 32 strongest components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_rulefit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    return rulefit.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and what is left without their repeats."""
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_chat, op3_ann, op4_packing, op5_html, op6_lm, op7_neardup, op8_quality, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (
+        op1_sharding, op2_chat, op3_ann, op4_packing, op5_html, op6_lm, op7_neardup, op8_quality, op9_toxicity,
+        op10_sentencepiece, op11_whitening, op12_rulefit, op13_periodic)}
 
 
 _SPACE = "[\\x20\\x09-\\x0D]"
