@@ -233,7 +233,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), whisker: float =
     v = F.col(col).cast("double")
     qcols = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
     if by:
-        base = df.join(q, by)
+        base = join_on(df, q, by)
     else:
         # one row of quartiles: attached as a scalar subquery (no join)
         qst = q.select(F.struct(*qcols).alias("s")).scalar()

@@ -158,7 +158,7 @@ def attach_group_agg(df: DataFrame, by, aggs: dict[str, Column], source: DataFra
     by = _cols(by)
     src = source if source is not None else df
     g = src.groupBy(*by).agg(*[e.alias(k) for k, e in aggs.items()])
-    out = df.join(g, by, "left")
+    out = join_on(df, g, by, "left")
     return out.na.fill(fill) if fill else out
 
 
@@ -201,7 +201,7 @@ def zscore_by(df: DataFrame, by, cols: Sequence[str], suffix: str = "") -> DataF
     by = _cols(by)
     g = df.groupBy(*by).agg(*[e for c in cols for e in (
         F.avg(c).alias(f"{c}__mu"), F.stddev_samp(c).alias(f"{c}__sd"))])
-    j = df.join(g, by, "left")
+    j = join_on(df, g, by, "left")
     exprs = {f"{c}{suffix}": F.try_divide(F.col(c) - F.col(f"{c}__mu"),
                                           F.when(F.col(f"{c}__sd") != 0, F.col(f"{c}__sd")))
              for c in cols}
@@ -216,7 +216,7 @@ def median_label(df: DataFrame, by, col: str, out: str = "label", null_label: in
     """
     by = _cols(by)
     med = quantiles_wide(df, [col], [0.5], by, names=["median"])
-    j = df.join(med, by, "left")
+    j = join_on(df, med, by, "left")
     lab = F.when(F.col(col).isNull(), F.lit(null_label)) \
         .when(F.col(col) >= F.col(f"{col}_median"), F.lit(1)).otherwise(F.lit(0))
     return j.withColumn(out, lab.cast("int"))

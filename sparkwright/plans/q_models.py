@@ -59,19 +59,18 @@ def q_logit(spark, d):
 
 @query("q_logit_path")
 def q_logit_path(spark, d):
-    """L1 and L2 logistic over the full 10-value C path (1e-4 to 1e4) in a scaled pipeline,
-    5-fold CV on the fold column; coefficients of the best of each."""
-    from pyspark.ml.feature import StandardScaler
-    x = X.assemble(DOC_FEATURES, "raw").transform(doc_features(spark, d))
-    x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)
-    n = x.count()
+    """L1 and L2 logistic over the full 10-value C path (1e-4 to 1e4) in a scaled pipeline, 5 folds;
+    all models of a penalty advance together, one pass over the data per Newton step."""
+    from ..operators import paths as PA
+    x = doc_features(spark, d)
+    s = x.agg(*[f(c).alias(f"{c}_{n}") for c in DOC_FEATURES for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
+    x = x.select("label", "fold", *[((F.col(c) - s[f"{c}_mean"]) / (s[f"{c}_sd"] or 1.0)).alias(c) for c in DOC_FEATURES])
     rows = []
     for penalty, elastic in (("l1", 1.0), ("l2", 0.0)):
-        lr = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=elastic)
-        grid = {lr.regParam: [M.reg_param_for_c(c, n) for c in TU.c_path(10)]}
-        cvm = TU.grid_cv(lr, grid, x, "fold", parallelism=8)
-        rows += [(penalty, *r) for r in M.coefficients(cvm.bestModel, DOC_FEATURES)]
-    return spark.createDataFrame(rows, "penalty string, feature string, coef double")
+        path = PA.logit_path(x, DOC_FEATURES, "label", TU.c_path(10), elastic, "fold")
+        rows += [(penalty, *r) for r in PA.path_rows(path)]
+    return spark.createDataFrame(rows, "penalty string, c_index int, c double, feature string, coef double, cv_accuracy double, "
+                                       "cv_log_loss double, best boolean")
 
 
 @query("q_forest")
@@ -140,6 +139,39 @@ def q_stack(spark, d):
     return n.join(fresh, "doc_id")
 
 
+_KNN_SPLIT = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, (vec_id * 7919) % 10 AS part FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, t.vec_id AS id, t.label, list_distance(q.v, t.v) AS distance
+  FROM e q JOIN e t ON q.part >= 7 AND t.part < 7),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS "rank" FROM p QUALIFY "rank" <= 16)"""
+
+
+def _knn_split(spark, d):
+    e = tbl(spark, d, "embeddings").withColumn("part", S.hash_bucket("vec_id", 10, method="mod"))
+    return e.where(F.col("part") < 7), e.where(F.col("part") >= 7)
+
+
+@query("q_knn", _KNN_SPLIT + """
+SELECT query_id, "rank", id, round(distance, 6) AS distance FROM r""")
+def q_knn(spark, d):
+    """Exact 16 nearest training vectors (70 %) of every held-out one, by the pruned join."""
+    from ..operators import knn
+    train, test = _knn_split(spark, d)
+    return rounded(knn.neighbours(test, train, 16, "vec_id", "embedding", "label").select("query_id", "rank", "id", "distance"))
+
+
+@query("q_knn_vote", _KNN_SPLIT + """,
+c AS (SELECT query_id, label, count(*) AS n FROM r GROUP BY 1, 2),
+w AS (SELECT query_id, label, n, sum(n) OVER (PARTITION BY query_id) AS of,
+  row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) AS k FROM c)
+SELECT query_id, CAST(label AS DOUBLE) AS prediction, round(n / of, 6) AS share FROM w WHERE k = 1""")
+def q_knn_vote(spark, d):
+    """Label of every held-out vector by the vote of its 16 nearest training vectors (ties to the smaller label)."""
+    from ..operators import knn
+    train, test = _knn_split(spark, d)
+    return rounded(knn.classify(train, test, "label", 16, "vec_id", "embedding"))
+
+
 @query("q_cv")
 def q_cv(spark, d):
     """M7: grid CV (AUC) over depth of a random forest held in the pipeline."""

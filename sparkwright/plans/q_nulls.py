@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import clean as K
+from ..operators import profile as P
 from ..operators import split as S
 from ..operators import windows as W
 from ..operators.quantiles import quantiles_wide
@@ -55,6 +56,49 @@ def q_null_quantiles(spark, d):
     return rounded(quantiles_wide(_events(spark, d), ["value"], [0.1, 0.9], ["k"]))
 
 
+@query("q_null_deviation", f"""{_E},
+m AS (SELECT k, avg(value) AS m, count(*) AS n FROM e GROUP BY k)
+SELECT event_id, round(m, 6) AS group_mean, round(value - m, 6) AS deviation, n FROM e JOIN m ON e.k IS NOT DISTINCT FROM m.k""")
+def q_null_deviation(spark, d):
+    """W5, W7, J8 with a null group: its mean, the deviations from it and its size."""
+    e = W.deviation(_events(spark, d), "k", "value", out="deviation", mean_out="group_mean")
+    return rounded(W.attach_group_agg(e, "k", {"n": F.count(F.lit(1))}).select("event_id", "group_mean", "deviation", "n"))
+
+
+@query("q_null_history_all", f"""{_E},
+m AS (SELECT k, avg(value) AS m FROM e GROUP BY k)
+SELECT event_id, round(m, 6) AS history_mean FROM e JOIN m ON e.k IS NOT DISTINCT FROM m.k""")
+def q_null_history_all(spark, d):
+    """W6 in the reference's form (whole-group mean) with a null group."""
+    return rounded(W.history_mean(_events(spark, d), "k", "value", "ts", "event_id", prior_only=False).select("event_id", "history_mean"))
+
+
+@query("q_null_zscore", f"""{_E},
+m AS (SELECT k, avg(value) AS m, stddev_samp(value) AS s FROM e GROUP BY k)
+SELECT event_id, round((value - m) / s, 6) AS value_z FROM e JOIN m ON e.k IS NOT DISTINCT FROM m.k""")
+def q_null_zscore(spark, d):
+    """W8 with a null group."""
+    return rounded(W.zscore_by(_events(spark, d), "k", ["value"], "_z").select("event_id", "value_z"))
+
+
+@query("q_null_median_label", f"""{_E},
+m AS (SELECT k, quantile_cont(value, 0.5) AS m FROM e GROUP BY k)
+SELECT event_id, CAST(value >= m AS INTEGER) AS label FROM e JOIN m ON e.k IS NOT DISTINCT FROM m.k""")
+def q_null_median_label(spark, d):
+    """W9 with a null group: labelled by its own median."""
+    return W.median_label(_events(spark, d), "k", "value").select("event_id", "label")
+
+
+@query("q_null_box", f"""{_E},
+q AS (SELECT k, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM e GROUP BY k)
+SELECT q.k, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, count(value) AS n,
+  count(*) FILTER (value > q3 + 1.5 * (q3 - q1)) AS n_high
+FROM e JOIN q ON e.k IS NOT DISTINCT FROM q.k GROUP BY q.k, q1, median, q3""")
+def q_null_box(spark, d):
+    """A21 with a null group."""
+    return rounded(P.box_stats(_events(spark, d), "value", ["k"]).select("k", "q1", "median", "q3", "n", "n_high"))
+
+
 def _panel(spark, d):
     return tbl(spark, d, "orders").select(
         "o_orderkey", "o_totalprice", F.nullif(F.year("o_orderdate"), F.lit(1996)).alias("yr"),

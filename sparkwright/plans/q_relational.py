@@ -318,10 +318,10 @@ SELECT event_id,
   CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS type_ordinal
 FROM events""")
 def q_ordinals(spark, d):
-    """W1 + W2: ordinals per product and per reviewer, id as the tie-break (T1); window form."""
+    """W1 + W2: ordinals per product and per reviewer, id as the tie-break."""
     e = tbl(spark, d, "events")
-    e = W.event_ordinal(e, "user_id", "ts", "event_id", "user_ordinal", skew_safe=False)
-    e = W.event_ordinal(e, "event_type", "ts", "event_id", "type_ordinal", skew_safe=False)
+    e = W.event_ordinal(e, "user_id", "ts", "event_id", "user_ordinal")
+    e = W.event_ordinal(e, "event_type", "ts", "event_id", "type_ordinal")
     return e.select("event_id", "user_ordinal", "type_ordinal")
 
 
@@ -389,9 +389,9 @@ SELECT event_id, round(coalesce(avg(value) OVER (PARTITION BY user_id ORDER BY t
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS history_mean
 FROM events""")
 def q_history_prior(spark, d):
-    """W6 leak-free (T6): mean of the reviewer's earlier values, 0 when none; window form."""
+    """W6 leak-free (T6): mean of the reviewer's earlier values, 0 when none."""
     e = tbl(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    return rounded(W.history_mean(e, "user_id", "value", "ts", "event_id", skew_safe=False)
+    return rounded(W.history_mean(e, "user_id", "value", "ts", "event_id")
                    .select("event_id", "history_mean"))
 
 

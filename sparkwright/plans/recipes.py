@@ -6,6 +6,7 @@ SURVEY 7.3) up to the model fit; fits read a checkpointed feature table.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
@@ -87,6 +88,29 @@ def r_panel(spark, d):
     return rounded(wf.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("pos_share")))
 
 
+@query("r_panel_fits")
+def r_panel_fits(spark, d):
+    """Panel recipe, the fits: boosted trees per walk-forward fold in the three study forms: all earlier years and
+    half a validation year, all earlier years, the two years before (M4, M5, M15; 6-month embargo)."""
+    from ..operators import folds as FO
+    from ..operators import models as MO
+    p, feats = panel_frame(spark, d)
+    x = p.na.drop(subset=feats).select(*feats, "yr", "o_orderdate", F.col("label").cast("double").alias("label"))
+    panel = FO.written_by_year(x, "yr")
+    years = [r[0] for r in panel.select("yr").distinct().collect()]      # one row per year
+    a = X.assemble(feats)
+
+    def fit(train):
+        return PipelineModel([a, MO.gbt(a.transform(train), "features", "label", rounds=20)[0]])
+
+    out = None
+    for name, kind, months in (("expanding_half", "expanding", 6), ("expanding", "expanding", 12), ("rolling", "rolling", 12)):
+        plan = S.walk_forward_plan(years, kind, n_folds=6)
+        part = FO.walk_forward_fits(panel, "yr", "o_orderdate", plan, fit, "label", name, embargo_months=6, valid_months=months)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("r_panel_forward", """
 WITH p AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ym, avg(o_totalprice) AS price
   FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment NOT IN ('MACHINERY', 'FURNITURE') GROUP BY 1, 2),

@@ -7,9 +7,11 @@ and scripts; library code never creates a session on its own.
 
 from __future__ import annotations
 
+import pathlib
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # independent fits run side by side, each in a scheduler pool of its own
+    "spark.scheduler.mode": "FAIR",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -107,3 +111,18 @@ def save_intermediate(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Hand the library's modules to Python workers, once per application: a zip
+    that Spark distributes (as ``--py-files`` does), also to executors that start later."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sparkwright_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    path = pathlib.Path(tempfile.mkdtemp(prefix="sparkwright-py-")) / "sparkwright_py.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    sc.addPyFile(str(path))
+    sc._sparkwright_shipped = True
