@@ -314,7 +314,7 @@ FROM lineitem GROUP BY l_linestatus"""
 
 @query("q_quantiles_bracket", _Q_SQL)
 def q_quantiles_bracket(spark, d):
-    """A15 through the bounded-state bracket path (the path used for large groups)."""
+    """A15 in the form of the deciles per line status that the trims use."""
     return rounded(quantiles_wide(tbl(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"],
                                   [0.1, 0.5, 0.9], ["l_linestatus"]))
 
@@ -324,7 +324,7 @@ SELECT p_partkey, round(p_retailprice, 6) AS p_retailprice FROM part
 WHERE p_retailprice > (SELECT quantile_cont(p_retailprice, 0.005) FROM part)
   AND p_retailprice < (SELECT quantile_cont(p_retailprice, 0.995) FROM part)""")
 def q_trim_bracket(spark, d):
-    """F9 with extreme quantiles through the bracket path (sketch rank error at the edges)."""
+    """F9 with extreme quantiles, as bounds attached to the rows."""
     from ..operators.clean import between_exclusive
     p = tbl(spark, d, "part").select("p_partkey", "p_retailprice")
     q = quantiles_wide(p, ["p_retailprice"], [0.005, 0.995], names=["lo", "hi"])
