@@ -134,6 +134,92 @@ def sentiment_table(df: DataFrame, key: str, text: str, lexicon: DataFrame, pref
                    .withColumn("_s", F.coalesce("_s", F.lit(0.0))), prefix)
 
 
+# Fixed values of the published rule set for short texts: what an intensifier
+# adds, how it fades with distance, what a negation turns a score into, what an exclamation mark adds.
+REACH = 3
+FADE = (1.0, 0.95, 0.9)
+NEGATED = -0.74
+EXCLAIMED, EXCLAIM_MOST = 0.292, 4
+
+
+def valence(df: DataFrame, key: str, text: str, lexicon: DataFrame, shifters: DataFrame, prefix: str = "") -> DataFrame:
+    """Rule-based sentiment with valence shifting, lexicon tables of any size.
+
+    ``lexicon``: word, score, subjectivity; ``shifters``: word, kind (``negate`` or
+    ``boost``), weight; a word in both is a shifter. A term's score moves away
+    from zero by the weight of each boost among the three tokens before it,
+    fading with distance, and is turned by ``NEGATED`` if one of them
+    negates. Up to four exclamation marks strengthen the text's sum.
+
+    Adds n_tokens, n_matched (terms), polarity (mean shifted score),
+    subjectivity (mean of the terms'), pos/neg/neu (shares of tokens) and
+    compound (``s / sqrt(s^2 + 15)`` of the sum). ``key`` identifies a row. Only
+    tokens of the two tables travel: they are joined by word and folded per text.
+    """
+    t = df.withColumn("_toks", _tokens(text))
+    marks = shifters.select("word", "kind", F.lit(0.0).alias("score"), F.lit(0.0).alias("subjectivity"), F.col("weight").cast("double").alias("weight"))
+    terms = lexicon.join(shifters, "word", "left_anti").select(
+        "word", F.lit("term").alias("kind"), F.col("score").cast("double").alias("score"),
+        F.col("subjectivity").cast("double").alias("subjectivity"), F.lit(0.0).alias("weight"))
+    ex = t.select(key, F.posexplode_outer("_toks").alias("_pos", "word")).where(F.col("word").isNotNull())
+    hit = ex.join(terms.unionByName(marks), "word").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "kind", "score", "subjectivity", "weight"))).alias("_hits"))
+
+    def shifted(x: Column, i: Column) -> Column:
+        boost, negated = F.lit(0.0), F.lit(False)
+        for back in range(1, REACH + 1):        # the tables' tokens among the three before it are the entries before it
+            y = F.get("_hits", i - back)
+            far = x["_pos"] - y["_pos"]
+            fade = F.get(F.array(*[F.lit(f) for f in FADE]), (far - 1).cast("int"))
+            boost = boost + F.when((y["kind"] == "boost") & (far <= REACH), y["weight"] * fade).otherwise(0.0)
+            negated = negated | F.coalesce((y["kind"] == "negate") & (far <= REACH), F.lit(False))
+        moved = x["score"] + F.signum(x["score"]) * boost
+        return F.struct(F.when(negated, moved * NEGATED).otherwise(moved).alias("s"), x["subjectivity"].alias("subjectivity"),
+                        (x["kind"] == "term").alias("term"))
+
+    scored = hit.select(key, F.filter(F.transform("_hits", shifted), lambda x: x["term"]).alias("_terms"))
+    g = scored.select(key, F.size("_terms").alias("_k"), F.aggregate("_terms", F.lit(0.0), lambda a, x: a + x["s"]).alias("_s"),
+                      F.aggregate("_terms", F.lit(0.0), lambda a, x: a + x["subjectivity"]).alias("_sub"),
+                      F.size(F.filter("_terms", lambda x: x["s"] > 0)).alias("_np"), F.size(F.filter("_terms", lambda x: x["s"] < 0)).alias("_nn"))
+    loud = F.least(F.length(text) - F.length(F.replace(F.col(text), F.lit("!"), F.lit(""))), F.lit(EXCLAIM_MOST)) * EXCLAIMED
+    t = t.withColumns({"_n": F.size("_toks"), "_loud": F.coalesce(loud, F.lit(0.0))}).drop("_toks").join(g, key, "left")
+    t = t.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("_k", "_s", "_sub", "_np", "_nn")})
+    n, k, s = F.col("_n").cast("double"), F.col("_k").cast("double"), F.col("_s").cast("double")
+    total = s + F.signum(s) * F.col("_loud")
+    share = lambda a: F.coalesce(F.try_divide(a.cast("double"), n), F.lit(0.0))
+    pos, neg = share(F.col("_np")), share(F.col("_nn"))
+    cols = {"n_tokens": F.col("_n").cast("long"), "n_matched": F.col("_k").cast("long"),
+            "polarity": F.coalesce(F.try_divide(s, k), F.lit(0.0)), "subjectivity": F.coalesce(F.try_divide(F.col("_sub").cast("double"), k), F.lit(0.0)),
+            "pos": pos, "neg": neg, "neu": F.lit(1.0) - pos - neg, "compound": total / F.sqrt(total * total + F.lit(COMPOUND_ALPHA))}
+    return t.withColumns({prefix + c: v for c, v in cols.items()}).drop("_n", "_k", "_s", "_sub", "_np", "_nn", "_loud")
+
+
+# English inflections for X6 (suffix, replacement, letters that must remain before it).
+SUFFIX_RULES = (
+    ("ies", "y", 2), ("sses", "ss", 1), ("shes", "sh", 1), ("ches", "ch", 1), ("xes", "x", 1), ("s", "", 3), ("ss", "ss", 1), ("us", "us", 1),
+    ("ied", "y", 2), ("eed", "ee", 1), ("ed", "", 3), ("nning", "n", 1), ("tting", "t", 1), ("ing", "", 3), ("iest", "y", 2), ("est", "", 3),
+    ("ily", "y", 2), ("ly", "", 3), ("ier", "y", 2),
+)
+
+
+def lemma_table(words: DataFrame, rules: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """Word -> lemma for a table of distinct words (column ``word``), any language.
+
+    ``exceptions`` (word, lemma) come first. Else the longest suffix of
+    ``rules`` (suffix, replacement, least letters before it) that fits is
+    replaced: a word meets the rules by its endings, one probe per length.
+    Other words stay as they are. Runs over distinct words, not over tokens.
+    """
+    longest = rules.agg(F.max(F.length("suffix"))).first()[0] or 0
+    n = F.length("word")
+    ends = words.select("word", F.explode(F.sequence(F.lit(1), F.lit(max(1, longest)))).alias("_k"))
+    ends = ends.where(F.col("_k") < n).withColumn("suffix", F.right("word", F.col("_k")))
+    hit = ends.join(rules.select("suffix", "replacement", "least"), "suffix").where(n - F.col("_k") >= F.col("least"))
+    best = hit.groupBy("word").agg(F.max_by(F.concat(F.left("word", n - F.col("_k")), F.col("replacement")), F.col("_k")).alias("_ruled"))
+    own = exceptions.select("word", F.col("lemma").alias("_own"))
+    return words.join(best, "word", "left").join(own, "word", "left").select("word", F.coalesce("_own", "_ruled", "word").alias("lemma"))
+
+
 def explode_tokens(df: DataFrame, keep, arr: str | Column, out: str = "token", extra=()) -> DataFrame:
     """One row per token (empty and null arrays give no row).
 

@@ -17,6 +17,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import save_intermediate
+from .folds import concurrently
+
 
 def grid_cv(estimator, grid: Mapping, train: DataFrame, fold_col: str, label: str = "label",
             metric: str = "areaUnderROC", parallelism: int = 1, num_folds: int | None = None):
@@ -85,6 +88,47 @@ def random_search(build: Callable[[dict], object], space: Space, train: DataFram
     return best[0], best[1], trials
 
 
+def halving_search(build: Callable[[dict], object], space: Space, train: DataFrame, fold_col: str, n_trials: int = 200,
+                   eta: int = 3, resource: str = "maxIter", least: int = 2, most: int = 54, last_folds: int | None = None,
+                   seed: int = 0, label: str = "label", metric: str = "areaUnderROC", width: int = 8):
+    """M8: successive halving over concurrent fits.
+
+    All ``n_trials`` draws run with ``least`` of the resource (boosting rounds) on one
+    fold; the best ``1 / eta`` of a rung go on with ``eta`` times as much, on
+    another fold, until ``eta`` or fewer are left or ``most`` is reached. The
+    last rung is scored on ``last_folds`` folds (default: all). Fits of a rung are
+    independent jobs, ``width`` at a time. Ties go to the earlier draw.
+
+    Returns (best params, best mean score, rows), a row per draw and rung:
+    (trial, rung, resource, folds, mean score, params).
+    """
+    rng = random.Random(seed)
+    draws = [sample_params(space, rng) for _ in range(n_trials)]
+    ev = BinaryClassificationEvaluator(labelCol=label, metricName=metric)
+    data = save_intermediate(train, "search")
+    folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
+    # A fit is many short jobs: no more tasks than the rows are worth.
+    data = data.coalesce(max(1, data.count() // 20_000))
+
+    def score(trial: int, amount: int, fold: int) -> float:
+        model = build({**draws[trial], resource: amount}).fit(data.where(F.col(fold_col) != fold))
+        return ev.evaluate(model.transform(data.where(F.col(fold_col) == fold)))
+
+    alive, amount, rung, rows = list(range(n_trials)), least, 0, []
+    while True:
+        last = len(alive) <= eta or amount >= most
+        use = folds[:last_folds] if last else [folds[rung % len(folds)]]
+        jobs = [(t, f) for t in alive for f in use]
+        got = concurrently(train.sparkSession, [lambda t=t, f=f: score(t, min(amount, most), f) for t, f in jobs], width, "search")
+        means = {t: sum(s for (x, _), s in zip(jobs, got) if x == t) / len(use) for t in alive}
+        rows += [(t, rung, min(amount, most), len(use), means[t], draws[t]) for t in alive]
+        ranked = sorted(alive, key=lambda t: (-means[t], t))
+        if last:
+            return draws[ranked[0]], means[ranked[0]], rows
+        alive = ranked[:max(1, -(-len(alive) // eta))]
+        amount, rung = amount * eta, rung + 1
+
+
 def c_path(n_values: int = 10, lo: float = 1e-4, hi: float = 1e4) -> list[float]:
     """Log-spaced inverse-strength values (the ``Cs=10`` path)."""
     return [math.exp(math.log(lo) + i * (math.log(hi) - math.log(lo)) / (n_values - 1)) for i in range(n_values)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_features, q_metrics, q_models, q_nulls, q_profile, q_relational, q_text, recipes, recipes_tabular  # noqa: F401
+from . import (  # noqa: F401
+    q_features, q_metrics, q_models, q_nulls, q_profile, q_relational, q_sources, q_text, recipes, recipes_tabular,
+)
 from .common import REGISTRY, tbl  # noqa: F401
 
 ENTRY_QUERY = "q_wide_row"

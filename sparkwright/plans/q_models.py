@@ -184,13 +184,16 @@ def q_cv(spark, d):
 
 @query("q_search")
 def q_search(spark, d):
-    """M8: seeded random search over learning rate (log), depth (int) and rounds; fold-mean AUC."""
+    """M8: 200 draws over learning rate (log), depth and leaf size of boosted trees, by successive halving; a row
+    per draw and rung with its AUC."""
     from pyspark.ml.classification import GBTClassifier
-    x = X.assemble(DOC_FEATURES).transform(doc_features(spark, d))
-    space = {"stepSize": ("logfloat", 0.01, 0.3), "maxDepth": ("int", 2, 4, 1), "maxIter": ("cat", [5, 10])}
-    best, score, trials = TU.random_search(
-        lambda p: GBTClassifier(featuresCol="features", labelCol="label", seed=7, **p), space, x, "fold", n_trials=2)
-    return spark.createDataFrame([(i, float(t[1])) for i, t in enumerate(trials)], "trial int, mean_auc double")
+    x = X.assemble(DOC_FEATURES).transform(doc_features(spark, d)).select("features", "label", "fold")
+    space = {"stepSize": ("logfloat", 0.0001, 0.1), "maxDepth": ("int", 2, 8, 1), "minInstancesPerNode": ("int", 50, 110, 2)}
+    _best, _score, rows = TU.halving_search(
+        lambda p: GBTClassifier(featuresCol="features", labelCol="label", seed=7, **p), space, x, "fold", n_trials=200)
+    return spark.createDataFrame(
+        [(t, r, m, k, float(s), float(p["stepSize"]), p["maxDepth"], p["minInstancesPerNode"]) for t, r, m, k, s, p in rows],
+        "trial int, rung int, rounds int, folds int, mean_auc double, step_size double, max_depth int, min_leaf int")
 
 
 @query("q_ols_pvalues")

@@ -200,6 +200,78 @@ def q_sentiment_table(spark, d):
     return rounded(T.sentiment_table(doc, "doc_id", "text", lex).drop("text"))
 
 
+# A lexicon of the corpus's own words, scored by rules of their letters: thousands of entries.
+_LEX_SQL = f"""
+WITH t AS (SELECT doc_id, text, {_TOKS.format(c='text')} AS toks FROM documents),
+u AS (SELECT doc_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM t),
+v AS (SELECT word, (length(word) * 37 + ascii(word) * 11 + ascii(right(word, 1)) * 7) % 9 - 4 AS score,
+  (length(word) * 13 + ascii(word) * 5) % 11 / 10.0 AS subjectivity
+  FROM (SELECT DISTINCT word FROM u WHERE regexp_full_match(word, '[a-z]+'))),
+x AS (SELECT word, CASE WHEN score <> 0 THEN 'term' WHEN length(word) % 2 = 0 THEN 'negate' ELSE 'boost' END AS kind, score, subjectivity,
+  CASE WHEN ascii(word) % 2 = 0 THEN 0.293 ELSE -0.293 END AS weight FROM v)"""
+
+
+def _corpus_lexicon(doc):
+    """(word, score, subjectivity) of the terms and (word, kind, weight) of the shifters."""
+    w = T.explode_tokens(doc.select(TX.tokens("text").alias("toks")), [], "toks", "word").where(F.col("word").rlike("^[a-z]+$")).distinct()
+    n, a, z = F.length("word"), F.ascii("word"), F.ascii(F.right("word", F.lit(1)))
+    w = w.select("word", (F.pmod(n * 37 + a * 11 + z * 7, F.lit(9)) - 4).cast("double").alias("score"),
+                 (F.pmod(n * 13 + a * 5, F.lit(11)) / 10.0).alias("subjectivity"))
+    kind = F.when(F.length("word") % 2 == 0, "negate").otherwise("boost")
+    return w.where("score <> 0"), w.where("score = 0").select("word", kind.alias("kind"), F.when(F.ascii("word") % 2 == 0, 0.293).otherwise(-0.293).alias("weight"))
+
+
+def _lags():
+    return ", ".join(f"lag({c}, {i}) OVER w AS {c}{i}" for i in (1, 2, 3) for c in ("pos", "kind", "weight"))
+
+
+_BOOST = " + ".join(f"CASE WHEN kind{i} = 'boost' AND pos - pos{i} <= 3 THEN weight{i} * [1.0, 0.95, 0.9][pos - pos{i}] ELSE 0 END" for i in (1, 2, 3))
+_NEGATED = " OR ".join(f"coalesce(kind{i} = 'negate' AND pos - pos{i} <= 3, false)" for i in (1, 2, 3))
+
+
+@query("q_valence", _LEX_SQL + f""",
+h AS (SELECT doc_id, pos, kind, CAST(score AS DOUBLE) AS score, CAST(subjectivity AS DOUBLE) AS subjectivity, CAST(weight AS DOUBLE) AS weight
+  FROM u JOIN x USING (word)),
+l AS (SELECT *, {_lags()} FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+m AS (SELECT doc_id, subjectivity, (score + sign(score) * ({_BOOST})) * CASE WHEN {_NEGATED} THEN -0.74 ELSE 1.0 END AS s FROM l WHERE kind = 'term'),
+g AS (SELECT doc_id, count(*) AS k, sum(s) AS s, avg(s) AS polarity, avg(subjectivity) AS subjectivity,
+  count(*) FILTER (s > 0) AS np, count(*) FILTER (s < 0) AS nn FROM m GROUP BY doc_id),
+j AS (SELECT t.doc_id, len(toks) AS n, coalesce(k, 0) AS k, coalesce(polarity, 0) AS polarity, coalesce(subjectivity, 0) AS subjectivity,
+  coalesce(np, 0) AS np, coalesce(nn, 0) AS nn,
+  coalesce(s, 0) + sign(coalesce(s, 0)) * 0.292 * least(4, length(text) - length(replace(text, '!', ''))) AS s FROM t LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(k AS BIGINT) AS n_matched, round(polarity, 6) AS polarity, round(subjectivity, 6) AS subjectivity,
+  round(CASE WHEN n = 0 THEN 0.0 ELSE np / n END, 6) AS pos, round(CASE WHEN n = 0 THEN 0.0 ELSE nn / n END, 6) AS neg,
+  round(1.0 - CASE WHEN n = 0 THEN 0.0 ELSE np / n END - CASE WHEN n = 0 THEN 0.0 ELSE nn / n END, 6) AS neu,
+  round(s / sqrt(s * s + 15.0), 6) AS compound FROM j""")
+def q_valence(spark, d):
+    """Valence shifting (negation, intensifiers, exclamation) over a lexicon table of the corpus's own words."""
+    doc = tbl(spark, d, "documents").select("doc_id", "text")
+    terms, shifters = _corpus_lexicon(doc)
+    return rounded(T.valence(doc, "doc_id", "text", terms, shifters).drop("text"))
+
+
+_RULE_ROWS = ", ".join(f"('{a}', '{b}', {n})" for a, b, n in T.SUFFIX_RULES)
+_LEMMA_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in T.LEMMAS.items())
+
+
+@query("q_lemma_rules", f"""
+WITH u AS (SELECT unnest({_TOKS.format(c='text')}) AS word FROM documents),
+c AS (SELECT word, count(*) AS n FROM u GROUP BY word),
+r(suffix, replacement, least) AS (VALUES {_RULE_ROWS}), e(word, lemma) AS (VALUES {_LEMMA_ROWS}),
+b AS (SELECT c.word, arg_max(left(c.word, length(c.word) - length(suffix)) || replacement, length(suffix)) AS ruled
+  FROM c JOIN r ON ends_with(c.word, suffix) AND length(c.word) - length(suffix) >= least GROUP BY c.word)
+SELECT coalesce(e.lemma, b.ruled, c.word) AS lemma, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_forms
+FROM c LEFT JOIN b ON b.word = c.word LEFT JOIN e ON e.word = c.word GROUP BY 1""")
+def q_lemma_rules(spark, d):
+    """Longest-suffix rules and exceptions from tables, over the distinct words; frequencies of the lemmas."""
+    words = T.explode_tokens(tbl(spark, d, "documents").select(TX.tokens("text").alias("toks")), [], "toks", "word")
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rules = spark.createDataFrame(list(T.SUFFIX_RULES), "suffix string, replacement string, least int")
+    own = spark.createDataFrame(list(T.LEMMAS.items()), "word string, lemma string")
+    table = T.lemma_table(counts.select("word"), rules, own)
+    return counts.join(table, "word").groupBy("lemma").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_forms"))
+
+
 # ------------------------------------------------------- ML text stages
 
 def _doc_tokens(spark, d):

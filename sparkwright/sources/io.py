@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.split import hash_bucket
 from ..session import save_intermediate
 
 
@@ -71,6 +72,13 @@ def tail(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def sample(df: DataFrame, frac: float, seed: int = 0) -> DataFrame:
-    """Bernoulli sample without replacement (the sampling operator itself)."""
-    return df.sample(withReplacement=False, fraction=frac, seed=seed)
+def sample(df: DataFrame, frac: float, seed: int = 0, key: str | None = None, method: str = "xxhash") -> DataFrame:
+    """Sample without replacement (the sampling operator itself).
+
+    With ``key`` a row is in by the hash of its key, to one in 10,000
+    (``method`` as in ``split.hash_bucket``): the same rows on every run, whatever the
+    partitions; a null key is one key. Without, Spark's Bernoulli sample.
+    """
+    if key is None:
+        return df.sample(withReplacement=False, fraction=frac, seed=seed)
+    return df.where(hash_bucket(key, 10_000, seed, method) < round(frac * 10_000))
