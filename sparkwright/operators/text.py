@@ -358,6 +358,25 @@ def topics(df: DataFrame, col: str, k: int = 100, max_iter: int = 10, seed: int
     return m, m.transform(df)
 
 
+def topic_terms(model, vocabulary: Sequence[str], spark, n: int | None = 10) -> DataFrame:
+    """X11: (topic, rank, term, weight), the ``n`` strongest terms of each topic (``None``: all), weights of a topic's terms sum to 1."""
+    words = spark.createDataFrame(list(enumerate(vocabulary)), "at int, term string")
+    top = model.describeTopics(n or len(vocabulary))
+    pairs = top.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
+    return pairs.select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("at"), F.col("t.termWeights").alias("weight")) \
+        .join(words, "at").select("topic", "rank", "term", "weight")
+
+
+def top_topics(df: DataFrame, key: str, col: str = "topics", n: int = 3) -> DataFrame:
+    """X11: (key, rank, topic, weight), the ``n`` strongest topics of a document, ties to the smaller number;
+    a document without counted tokens has no topic."""
+    from pyspark.ml.functions import vector_to_array
+    pairs = F.transform(vector_to_array(col), lambda w, i: F.struct((-w).alias("w"), i.alias("topic")))
+    best = F.slice(F.array_sort(F.filter(pairs, lambda x: x["w"] < 0)), 1, n)
+    return df.select(key, F.posexplode(best).alias("rank", "t")).select(
+        key, (F.col("rank") + 1).alias("rank"), F.col("t.topic").alias("topic"), (-F.col("t.w")).alias("weight"))
+
+
 def word2vec(df: DataFrame, col: str, size: int = 100, min_count: int = 5, seed: int = 7,
              out: str = "w2v", max_iter: int = 1):
     """Word2Vec; the transform averages the token vectors of each document."""

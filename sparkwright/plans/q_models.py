@@ -172,6 +172,13 @@ def q_knn_vote(spark, d):
     return rounded(knn.classify(train, test, "label", 16, "vec_id", "embedding"))
 
 
+@query("q_stack_probs")
+def q_stack_probs(spark, d):
+    """Out-of-fold probabilities of the four base learners and the meta model's, per document."""
+    _model, oof = M.stack(doc_features(spark, d), DOC_FEATURES, "label", "fold", stack_bases())
+    return _p1(oof).select("doc_id", "lr", "dt", "rf", "gb", F.col("p1").alias("meta"))
+
+
 @query("q_cv")
 def q_cv(spark, d):
     """M7: grid CV (AUC) over depth of a random forest held in the pipeline."""

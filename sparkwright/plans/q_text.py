@@ -318,9 +318,38 @@ def q_lda(spark, d):
     return rounded(out.select("doc_id", F.when(T.sparse_size("tf") == 0, 1.0).otherwise(mix).alias("mixture_sum")))
 
 
+def _fitted_topics(spark, d):
+    cm, cv = T.count_vectors(_doc_tokens(spark, d), "toks", "tf", min_df=2.0)
+    lm, out = T.topics(cv, "tf", k=100, max_iter=10)
+    return cm.vocabulary, lm, out
+
+
+@query("q_lda_top")
+def q_lda_top(spark, d):
+    """X11: the three strongest of 100 topics of every document, with their weights."""
+    _v, _m, out = _fitted_topics(spark, d)
+    return T.top_topics(out, "doc_id", "topics", 3)
+
+
+@query("q_lda_terms")
+def q_lda_terms(spark, d):
+    """X11: the ten strongest terms of each of 100 topics."""
+    vocabulary, model, _out = _fitted_topics(spark, d)
+    return T.topic_terms(model, vocabulary, spark, 10)
+
+
+@query("q_hash_slots")
+def q_hash_slots(spark, d):
+    """X9 + X10: slots of a document's hashed terms, those that the IDF (minDocFreq 2) keeps, and its TF-IDF sum and largest value."""
+    tf = T.hash_tf(_doc_tokens(spark, d), "toks", "tf", 10_000)
+    _m, out = T.idf(tf, "tf", "tfidf", min_doc_freq=2)
+    return out.select("doc_id", T.sparse_size("tf").cast("long").alias("n_slots"), T.sparse_size("tfidf").cast("long").alias("n_kept"),
+                      T.sparse_sum("tfidf").alias("tfidf_sum"), T.sparse_max("tfidf").alias("tfidf_max"))
+
+
 @query("q_word2vec")
 def q_word2vec(spark, d):
     """X12 + X13: Word2Vec (size 100, min count 5) and the per-document mean vector."""
     from pyspark.ml.functions import vector_to_array
     _m, out = T.word2vec(_doc_tokens(spark, d), "toks", size=100, min_count=5)
-    return out.select("doc_id", F.size(vector_to_array("w2v")).alias("dims"))
+    return out.select("doc_id", vector_to_array("w2v").alias("mean_vector"))
