@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import SCRATCH, checkpoint_dir
 from .metrics import auc as exact_auc
 
 SCORES = ("fold int, mode string, valid_year int, first_train_year int, last_train_year int, n_train long, n_valid long, "
@@ -52,7 +52,8 @@ def concurrently(spark, tasks: Sequence[Callable[[], object]], width: int = 4, p
 def written_by_year(df: DataFrame, year: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder, partitioned by ``year``, and read back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/panel-{uuid.uuid4().hex}"
+    base = spark.conf.get(SCRATCH, None) or f"{checkpoint_dir(spark).rstrip('/')}/tables"
+    path = f"{base}/panel-{uuid.uuid4().hex}"
     df.write.partitionBy(year).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

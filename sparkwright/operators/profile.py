@@ -18,6 +18,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .keys import join_on
 
@@ -106,24 +107,35 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return long_from_wide(wide, [], items)
 
 
+def value_key(c: Column) -> list[Column]:
+    """128 bits of hash that stand for a value in counts, however long it is (two
+    of n values meet with probability n * n / 2 ** 129)."""
+    return [F.xxhash64(c), F.xxhash64(F.lit(1), c)]
+
+
 def describe_all(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """A10: count, unique, top, freq per column, values as text (long form).
 
     ``top`` is the most frequent non-null value; ties go to the smallest
-    text. Two partial aggregates, no per-column job and no window over a
-    column's distinct values.
+    text. Values are counted by key (``value_key``), so texts are not shuffled; the
+    keys that are most frequent are joined back for their text. A column whose
+    values are all different needs its least text only.
     """
     cols = list(cols) if cols else df.columns
-    cells = long_from_wide(df, [], {c: {"value": F.col(c).cast("string")} for c in cols})
-    freq = cells.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_col = freq.groupBy("column").agg(
+    cells = long_from_wide(df, [], {c: {"value": F.col(c).cast("string")} for c in cols}).filter(F.col("value").isNotNull())
+    h1, h2 = value_key(F.col("value"))
+    cells = cells.select("column", "value", h1.alias("h1"), h2.alias("h2"))
+    counts = cells.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    per_col = counts.groupBy("column").agg(
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.max("n").alias("freq"))
-    top = freq.join(per_col.select("column", F.col("freq").alias("n")), ["column", "n"]) \
-        .groupBy("column").agg(F.min("value").alias("top"))
+    often = counts.join(per_col.filter(F.col("freq") > 1).select("column", F.col("freq").alias("n")), ["column", "n"])
+    top = cells.join(often.select("column", "h1", "h2"), ["column", "h1", "h2"]).groupBy("column").agg(F.min("value").alias("_top"))
+    least = cells.groupBy("column").agg(F.min("value").alias("_least"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return names.join(per_col.join(top, "column", "left"), "column", "left") \
+    return names.join(per_col.join(least, "column").join(top, "column", "left"), "column", "left") \
         .select("column", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-                F.coalesce("unique", F.lit(0)).cast("long").alias("unique"), "top",
+                F.coalesce("unique", F.lit(0)).cast("long").alias("unique"),
+                F.when(F.col("freq") > 1, F.col("_top")).otherwise(F.col("_least")).alias("top"),
                 F.col("freq").cast("long").alias("freq"))
 
 
@@ -147,10 +159,18 @@ def drop_sparse_cols(df: DataFrame, max_null_share: float, cols: Sequence[str] |
 
 
 def nunique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Distinct non-null values per column (long form)."""
+    """Distinct non-null values per column (long form); texts count by key (``value_key``)."""
     cols = list(cols) if cols else df.columns
-    fn = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    agg = df.agg(*[fn(c).alias(f"{c}__nu") for c in cols])
+
+    def distinct(c: str) -> Column:
+        if approx:
+            return F.approx_count_distinct(c)
+        if not isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType)):
+            return F.count_distinct(c)
+        h1, h2 = value_key(F.col(c))
+        return F.count_distinct(F.when(F.col(c).isNotNull(), h1), h2)
+
+    agg = df.agg(*[distinct(c).alias(f"{c}__nu") for c in cols])
     return long_from_wide(agg, [], {c: {"nunique": F.col(f"{c}__nu")} for c in cols})
 
 

@@ -7,6 +7,7 @@ and scripts; library code never creates a session on its own.
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import re
 import tempfile
@@ -100,6 +101,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SCRATCH = "sparkwright.scratch.dir"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Intermediates saved inside go into a folder of their own under the shared
+    checkpoint folder, which is deleted at the end.
+
+    Results are lazy and read these files: write or collect them inside. Gives the folder's path.
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    before = spark.conf.get(SCRATCH, None)
+    spark.conf.set(SCRATCH, path)
+    try:
+        yield path
+    finally:
+        if before is None:
+            spark.conf.unset(SCRATCH)
+        else:
+            spark.conf.set(SCRATCH, before)
+        # through Hadoop's file system, so that any shared store is reached
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def save_intermediate(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -108,7 +134,8 @@ def save_intermediate(df: DataFrame, name: str) -> DataFrame:
     path of its own: an earlier frame saved under the same name, or by another
     session, stays readable.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    base = df.sparkSession.conf.get(SCRATCH, None) or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -74,3 +74,25 @@ def test_driver_entry_contract(spark):
     assert df.count() > 0 and "c_custkey" in df.columns
     qs, sql = mod.queries(), mod.oracle_sql()
     assert set(sql) <= set(qs) and len(sql) >= 100
+
+
+def test_scratch_removes_what_was_saved(spark, tmp_path):
+    import os
+
+    from sparkwright.session import SCRATCH, save_intermediate, scratch
+    with scratch(spark) as path:
+        df = save_intermediate(spark.range(10), "a")
+        with scratch(spark) as inner:
+            save_intermediate(spark.range(3), "b")
+            assert inner != path and os.path.isdir(inner.removeprefix("file:"))
+        assert not os.path.exists(inner.removeprefix("file:"))
+        assert df.count() == 10 and os.listdir(path.removeprefix("file:"))
+        df.write.parquet(str(tmp_path / "out"))
+    assert not os.path.exists(path.removeprefix("file:")) and spark.conf.get(SCRATCH, None) is None
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+    try:
+        with scratch(spark) as path:
+            save_intermediate(spark.range(10), "a")
+            raise KeyError
+    except KeyError:
+        assert not os.path.exists(path.removeprefix("file:"))
