@@ -19,7 +19,7 @@ from ..operators import text as T
 from ..operators import tune as TU
 from ..operators.profile import attach_class_weights
 from ..session import cut_lineage
-from .common import query, rounded, tbl
+from .common import ROUND_NUDGE, query, rounded, tbl
 
 DOC_FEATURES = ["n_chars_k", "n_excl", "n_sentences", "n_caps", "polarity", "subjectivity", "compound"]
 
@@ -220,6 +220,49 @@ def q_ols_slope(spark, d):
                          F.max(F.when(F.col("feature") == "intercept", F.col("coef"))).alias("intercept")), 4)
 
 
+@query("q_ols_inference", """
+WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, corr(l_extendedprice, l_quantity) AS r, count(*) AS n,
+  stddev_samp(l_extendedprice) / stddev_samp(l_quantity) AS ratio FROM lineitem)
+SELECT round(b, 4) AS coef, round(sqrt((1 - r * r) / (n - 2)) * ratio, 4) AS std_err, round(b / (sqrt((1 - r * r) / (n - 2)) * ratio), 3) AS t FROM s""")
+def q_ols_inference(spark, d):
+    """Coefficient, standard error and t of a one-feature OLS against their closed forms."""
+    t = ST.ols(tbl(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice").where("feature = 'l_quantity'")
+    nudged = lambda c, k: F.round(F.lit(ROUND_NUDGE) + F.col(c), k).alias(c)
+    return t.select(nudged("coef", 4), nudged("std_err", 4), nudged("t", 3))
+
+
+_TABLE_SQL = """
+WITH c AS (SELECT count(*) FILTER (x AND y) AS a, count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (NOT x AND y) AS c,
+  count(*) FILTER (NOT x AND NOT y) AS d FROM (SELECT l_discount > 0.05 AS x, l_quantity * 1000 + l_extendedprice > 60000 AS y FROM lineitem)),
+l AS (SELECT ln(a * 1.0 / b) - ln(c * 1.0 / d) AS coef, ln(c * 1.0 / d) AS intercept, sqrt(1.0 / a + 1.0 / b + 1.0 / c + 1.0 / d) AS se FROM c)"""
+
+
+def _two_by_two(spark, d):
+    li = tbl(spark, d, "lineitem")
+    return cut_lineage(li.select((F.col("l_discount") > 0.05).cast("double").alias("x"),
+                                 (F.col("l_quantity") * 1000 + F.col("l_extendedprice") > 60000).cast("double").alias("y")))
+
+
+@query("q_odds_closed", _TABLE_SQL + """
+SELECT round(coef, 3) AS coef, round(intercept, 3) AS intercept, round(exp(coef), 3) AS odds_ratio, round((exp(coef) - 1) * 100, 2) AS pct_change FROM l""")
+def q_odds_closed(spark, d):
+    """A logistic fit on one binary feature is the log odds ratio of its two-by-two table."""
+    m, _p = M.logit(_two_by_two(spark, d), ["x"], "y", max_iter=200)
+    nudged = lambda c, k: F.round(F.lit(ROUND_NUDGE) + c, k)
+    return ST.odds_table(m, ["x"], spark).select(
+        nudged(F.col("coef"), 3).alias("coef"), nudged(F.lit(float(m.intercept)), 3).alias("intercept"),
+        nudged(F.col("odds_ratio"), 3).alias("odds_ratio"), nudged(F.col("pct_change"), 2).alias("pct_change"))
+
+
+@query("q_glm_closed", _TABLE_SQL + """
+SELECT round(coef, 4) AS coef, round(se, 4) AS std_err, round(coef / se, 3) AS t FROM l""")
+def q_glm_closed(spark, d):
+    """The binomial GLM's coefficient, standard error and z on one binary feature against their closed forms."""
+    t = ST.glm_table(ST.glm(_two_by_two(spark, d), ["x"], "y"), ["x"], spark).where("feature = 'x'")
+    nudged = lambda c, k: F.round(F.lit(ROUND_NUDGE) + F.col(c), k).alias(c)
+    return t.select(nudged("coef", 4), nudged("std_err", 4), nudged("t", 3))
+
+
 def order_revenue(spark, d):
     """Per-order revenue and its candidate predictors, aggregated from lineitem."""
     li = tbl(spark, d, "lineitem")
