@@ -2,10 +2,14 @@
 
 A text is the byte string of its lower-cased words, each followed by one
 space, the last by a line break, which no word holds. The tree's contexts are
-byte strings of varying length. A context is kept if it is frequent enough
-and if its next-byte distribution diverges from that of its longest proper
-suffix; distributions are smoothed towards the suffix's. A text is scored
-from state to state, a state being the longest kept suffix.
+byte strings of varying length. A context is kept if it was seen a few times,
+its longest proper suffix is kept and its next-byte distribution diverges from
+that suffix's; distributions are smoothed towards the suffix's. A byte is
+scored by the longest kept suffix of what stands before it.
+
+The tree is a Spark table that grows with the corpus. It is dealt into parts by
+the last bytes of the contexts; a part has a bounded number of rows, and every
+byte is scored against the one part that its context lies in.
 """
 
 from __future__ import annotations
@@ -13,23 +17,25 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import save_intermediate
 from .common import crc_of_id, ship, text_slices
 
-DEPTH = 5             # longest context, in bytes
-MIN_SHARE = 2e-6      # contexts rarer than this are not kept: at most 1/MIN_SHARE of each length
+DEPTH = 7             # longest context, in bytes: with the next byte it fills 64 bits
+SHARED = 2            # contexts up to this length are part of every part of the tree
+KEY_BYTES = 3         # longer ones are dealt by so many of their last bytes
+MIN_COUNT = 2         # a context seen less often is not kept
 DIVERGENCE = 1.0      # count * KL divergence in nats, per next byte seen, that keeps a context
+PART_ROWS = 6_000_000   # rows of the tree that are broadcast at once, about
+TASK_ROWS = 1_000_000   # distinct byte strings whose contexts a task decides on, about
 HEAD_SHARE = 5e-7     # words at least so frequent are broadcast: at most 1/HEAD_SHARE of them
 CHARS_AT_ONCE = 2 << 20
-CHUNK = 512           # bytes that are scored one after another
-END = 10
+BYTES_AT_ONCE = 2 << 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -38,154 +44,143 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def gram_counts(texts: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of (context, next byte) for contexts of 0 to ``depth`` bytes.
+def mask(d: int) -> np.uint64:
+    """Bits of a context of ``d`` bytes and its next byte."""
+    return np.uint64((1 << (8 * (d + 1))) - 1)
 
-    A code is a leading 1, the context's bytes and the next byte. Before a
-    text stand line breaks.
+
+def grams(texts: list[list[bytes]], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of every byte with the ``depth`` bytes before it, and the number of its text,
+    for a bounded number of bytes at a time. Before a text stand line breaks."""
+    raw = [b"\n" * depth + b" ".join(w) + b"\n" for w in texts]
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    starts = np.cumsum([0] + [len(r) for r in raw])[:-1]
+    for s in range(depth, len(buf), BYTES_AT_ONCE):
+        e = min(s + BYTES_AT_ONCE, len(buf))
+        code = np.zeros(e - s, np.uint64)
+        for k in range(depth, -1, -1):
+            code |= buf[s - k:e - k].astype(np.uint64) << np.uint64(8 * k)
+        at = np.arange(s, e)
+        owner = np.searchsorted(starts, at, side="right") - 1
+        real = at - starts[owner] >= depth
+        yield code[real], owner[real]
+
+
+def sums(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in order, with its total."""
+    names, own = np.unique(codes, return_inverse=True)
+    return names, np.bincount(own, weights=n, minlength=len(names)).astype(np.int64)
+
+
+def chain(codes: np.ndarray, n: np.ndarray, depth: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Codes and counts for each context length from ``least`` to ``depth``."""
+    out = {depth: sums(codes & mask(depth), n)}
+    for d in range(depth - 1, least - 1, -1):
+        out[d] = sums(out[d + 1][0] & mask(d), out[d + 1][1])
+    return out
+
+
+def lookup(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``names`` and whether they are there."""
+    if not len(names):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return at, names[at] == wanted
+
+
+def root(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and probabilities of the bytes without a context."""
+    seen = np.bincount(codes.astype(np.int64), weights=n, minlength=256) + 0.5
+    return np.arange(256, dtype=np.uint64), seen / seen.sum()
+
+
+def grow(codes: np.ndarray, n: np.ndarray, d: int, below: tuple[np.ndarray, np.ndarray], divergence: float = DIVERGENCE):
+    """Kept contexts of length ``d``: (codes, probabilities) of the next bytes seen after them,
+    and (contexts, share that their unseen next bytes take of the suffix's distribution).
+
+    ``codes`` are in order and hold every next byte of their contexts; ``below`` is the
+    first of these pairs for ``d - 1``.
     """
-    buf = np.frombuffer(b"".join(b"\n" * depth + b" ".join(w) + b"\n" for w in texts), np.uint8)
-    sizes = np.array([depth + sum(map(len, w)) + max(len(w), 1) for w in texts])
-    real = np.ones(len(buf), bool)
-    real[(np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)] = False
-    code = np.zeros(len(buf), np.int64)
-    for k in range(depth, -1, -1):
-        code[depth:] |= buf[depth - k:len(buf) - k].astype(np.int64) << (8 * k)
-    codes, n = np.unique(code[real], return_counts=True)
-    all_codes, all_n = [], []
-    for d in range(depth, -1, -1):
-        low = codes & ((1 << (8 * (d + 1))) - 1)
-        u, at = np.unique(low, return_inverse=True)
-        all_codes.append(u | (1 << (8 * (d + 1))))
-        all_n.append(np.bincount(at, weights=n).astype(np.int64))
-        codes, n = u, all_n[-1]
-    return np.concatenate(all_codes), np.concatenate(all_n)
-
-
-@dataclass
+    at, known = lookup(below[0], codes & mask(d - 1))
+    codes, n, lower = codes[known], n[known], below[1][at[known]] if len(below[1]) else np.zeros(0)
+    context = codes >> np.uint64(8)   # in order, as the codes are
+    new = np.append(True, context[1:] != context[:-1])[:len(context)]
+    names, own = context[new], np.cumsum(new) - 1
+    kinds = np.bincount(own, minlength=len(names))
+    size = np.bincount(own, weights=n, minlength=len(names))
+    gain = np.bincount(own, weights=n * np.log(n / size[own] / lower), minlength=len(names))
+    keep = (size >= MIN_COUNT) & (gain > divergence * kinds)
+    p = (n + kinds[own] * lower) / (size + kinds)[own]
+    return (codes[keep[own]], p[keep[own]]), (names[keep], (kinds / (size + kinds))[keep])
+
+
 class Tree:
-    """Automaton of the kept contexts: for each node and byte class the next
-    node and the log10 probability; ``byte_class`` maps bytes to classes."""
+    """Levels of a tree, or of the part ``part`` of ``parts`` of it: for each context length
+    the next bytes' codes and log10 probabilities, the contexts and their log10 shares."""
 
-    following: np.ndarray
-    logp: np.ndarray
-    byte_class: np.ndarray
-    depth: int
+    def __init__(self, first: np.ndarray, levels: dict[int, tuple], depth: int, part: int = 0, parts: int = 1):
+        self.first, self.levels, self.depth, self.part, self.parts = first, levels, depth, part, parts
 
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text, end included.
+        """log10 probability of each text, end included; of its bytes of this part only.
 
-        All texts are cut into chunks scored side by side, one byte of each
-        at a time; a chunk first reads the ``depth`` bytes before it, after
-        which its state is that of the whole text.
+        Equal byte strings are looked up once, from the longest to the shortest and back.
         """
-        raw = [b"\n" * self.depth + b" ".join(w) + b"\n" for w in texts]
-        sizes = np.array([len(r) for r in raw]) - self.depth
-        buf = self.byte_class[np.frombuffer(b"".join(raw) + bytes(CHUNK + self.depth), np.uint8)]
-        starts = np.cumsum(sizes + self.depth) - sizes - self.depth
-        per = -(-sizes // CHUNK)
-        owner = np.repeat(np.arange(len(raw)), per)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        at = starts[owner] + nth * CHUNK
-        left = np.minimum(sizes[owner] - nth * CHUNK, CHUNK)
-        order = np.argsort(-left, kind="stable")
-        owner, at, left = owner[order], at[order], left[order]
-        state = np.zeros(len(at), np.int64)
-        total = np.zeros(len(at))
-        for k in range(self.depth):
-            state = self.following[state, buf[at + k]]
-        live = np.searchsorted(-left, -np.arange(CHUNK), side="left")
-        for k in range(CHUNK):
-            n = live[k]
-            if not n:
-                break
-            c = buf[at[:n] + self.depth + k]
-            total[:n] += self.logp[state[:n], c]
-            state[:n] = self.following[state[:n], c]
-        return np.bincount(owner, weights=total, minlength=len(raw))
-
-
-def build_tree(codes: np.ndarray, n: np.ndarray, depth: int = DEPTH, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of all frequent contexts' counts (``gram_counts`` codes)."""
-    length = (np.frexp(codes.astype("float64"))[1] - 9) // 8
-    root = length == 0
-    by_byte = np.zeros(256)
-    by_byte[codes[root] & 255] = n[root]
-    total = by_byte.sum()
-    # Bytes that never or hardly occur share a class, whose probability they share evenly.
-    seen = np.flatnonzero(by_byte >= max(1, total * MIN_SHARE))
-    seen = np.union1d(seen, [END, 32])
-    byte_class = np.full(256, len(seen), np.int64)
-    byte_class[seen] = np.arange(len(seen))
-    classes, rest = len(seen) + 1, max(256 - len(seen), 1)
-    weight = np.bincount(byte_class, weights=by_byte, minlength=classes)
-    probability = {0: ((weight + 0.5) / (weight.sum() + 0.5 * classes))[None, :]}
-    kept = {0: np.zeros(1, np.int64)}
-    for d in range(1, depth + 1):
-        at = length == d
-        context = (codes[at] >> 8) & ((1 << (8 * d)) - 1)
-        cls, count = byte_class[codes[at] & 255], n[at].astype("float64")
-        names, own = np.unique(context, return_inverse=True)
-        if not len(names):
-            break
-        table = np.zeros((len(names), classes))
-        np.add.at(table, (own, cls), count)
-        suffix = names & ((1 << (8 * (d - 1))) - 1)
-        parent = np.minimum(np.searchsorted(kept[d - 1], suffix), len(kept[d - 1]) - 1)
-        known = kept[d - 1][parent] == suffix
-        below = probability[d - 1][parent]
-        size, kinds = table.sum(1), (table > 0).sum(1)
-        ratio = np.where(table > 0, table, 1) / size[:, None] / below
-        keep = known & ((table * np.log(ratio)).sum(1) > divergence * kinds)
-        kinds = kinds[keep][:, None]
-        probability[d] = ((table[keep] + kinds * below[keep]) / (size[keep][:, None] + kinds)).astype("float32")
-        kept[d] = names[keep]
-        del table, below, ratio
-        if not keep.any():
-            break
-    return _automaton(kept, probability, byte_class, seen, rest, depth)
-
-
-def _automaton(kept, probability, byte_class, seen, rest, depth) -> Tree:
-    """Aho-Corasick automaton over the kept contexts; a node takes the
-    distribution of its longest suffix that is kept."""
-    classes = len(seen) + 1
-    # Nodes: the kept contexts and all their beginnings, in bytes of known classes only.
-    want: dict[int, np.ndarray] = {d: np.zeros(0, np.int64) for d in range(depth + 1)}
-    for d in sorted(kept, reverse=True):
-        names = kept[d]
-        if d:
-            ok = np.ones(len(names), bool)
-            for k in range(d):
-                ok &= byte_class[(names >> (8 * k)) & 255] < len(seen)
-            names = names[ok]
-            want[d] = np.union1d(want[d], names)
-            want[d - 1] = np.union1d(want[d - 1], want[d] >> 8) if d > 1 else want[d - 1]
-    want[0] = np.zeros(1, np.int64)
-    offset = np.cumsum([0] + [len(want[d]) for d in range(depth + 1)])
-    following = np.zeros((offset[-1], classes), np.int32)
-    fail = np.zeros(offset[-1], np.int64)
-    prob = np.zeros((offset[-1], classes), np.float32)
-    prob[0] = probability[0][0]
+        total = np.zeros(len(texts))
+        for code, owner in grams(texts, self.depth):
+            if self.parts > 1:
+                mine = part_of(code, self.parts) == self.part
+                code, owner = code[mine], owner[mine]
+            names, places = {}, {}
+            names[self.depth], back = np.unique(code, return_inverse=True)
+            for d in range(self.depth - 1, -1, -1):
+                names[d], places[d] = np.unique(names[d + 1] & mask(d), return_inverse=True)
+            value = self.first[names[0].astype(np.int64)]
+            for d in range(1, self.depth + 1):
+                value = value[places[d - 1]]
+                if d not in self.levels:
+                    continue
+                (seen, logp), (contexts, share) = self.levels[d]
+                at, known = lookup(contexts, names[d] >> np.uint64(8))
+                value[known] += share[at[known]]
+                at, known = lookup(seen, names[d])
+                value[known] = logp[at[known]]
+            total += np.bincount(owner, weights=value[back], minlength=len(texts))
+        return total
+
+
+def part_of(code: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the tree that the context of a code lies in, by its last bytes."""
+    return (((code >> np.uint64(8)) & mask(KEY_BYTES - 1)) * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(parts)
+
+
+def part_column(key: Column, parts: int) -> Column:
+    """``part_of`` for a column of the contexts' last bytes."""
+    return F.shiftright(key * F.lit(2654435761), 16) % parts
+
+
+def as_levels(kind: np.ndarray, code: np.ndarray, value: np.ndarray) -> dict[int, tuple]:
+    """Levels from rows of the tree's table."""
+    out = {}
+    for d in np.unique(kind[kind > 0]).tolist():
+        pair = []
+        for k in (d, -d):
+            at = np.flatnonzero(kind == k)
+            at = at[np.argsort(code[at])]
+            pair.append((code[at], value[at]))
+        out[d] = tuple(pair)
+    return out
+
+
+def upper_levels(codes: np.ndarray, n: np.ndarray, depth: int = SHARED, divergence: float = DIVERGENCE):
+    """Root probabilities, levels up to ``depth`` as ``Tree`` takes them, and the last level's probabilities."""
+    counts = chain(codes, n, depth, 0)
+    below = root(*counts[0])
+    first, levels = np.log10(below[1]), {}
     for d in range(1, depth + 1):
-        names = want[d]
-        if not len(names):
-            continue
-        nodes = offset[d] + np.arange(len(names))
-        parent = offset[d - 1] + np.searchsorted(want[d - 1], names >> 8)
-        cls = byte_class[names & 255]
-        if d > 1:
-            fail[nodes] = following[fail[parent], cls]
-        following[parent, cls] = nodes
-        following[nodes] = following[fail[nodes]]
-        prob[nodes] = prob[fail[nodes]]
-        have = kept.get(d, np.zeros(0, np.int64))
-        if len(have):
-            at = np.minimum(np.searchsorted(have, names), len(have) - 1)
-            own = have[at] == names
-            prob[nodes[own]] = probability[d][at[own]]
-    prob[:, -1] /= rest
-    return Tree(following, np.log10(prob, out=prob), byte_class, depth)
+        below, contexts = grow(*counts[d], d, below, divergence)
+        levels[d] = (below[0], np.log10(below[1])), (contexts[0], np.log10(contexts[1]))
+    return first, levels, below
 
 
 def _train(docs: DataFrame) -> DataFrame:
@@ -204,49 +199,83 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_grams(train: DataFrame, depth: int, least: float) -> DataFrame:
-    """(code, n) of all contexts that occur ``least`` times or more.
-
-    Rows are dealt by context, so a context's next bytes (256 at most) are
-    summed and its total is compared in one place.
-    """
+def count_grams(train: DataFrame, depth: int) -> DataFrame:
+    """(code, n) of all strings of ``depth`` + 1 bytes; counted inside tasks first, then by Spark."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = []
+
+        def merged():
+            return sums(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
+            codes, n = merged()
+            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in text_slices(texts, CHARS_AT_ONCE):
-                more, m = gram_counts([words_of(t) for t in texts[a:b]], depth)
-                codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([n, m])).astype(np.int64)
-                if len(codes) > 2_000_000:
-                    yield out()
-                    codes, n = codes[:0], n[:0]
-        yield out()
+                for code, _ in grams([words_of(t) for t in texts[a:b]], depth):
+                    held.append(np.unique(code, return_counts=True))
+                    if sum(len(c) for c, _ in held) > 3_000_000:
+                        held = [merged()]
+                        if len(held[0][0]) > 1_500_000:
+                            yield out()
+                            held = []
+        if held:
+            yield out()
+
+    return train.mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
-    part = train.mapInArrow(work, "code long, n long").withColumn("context", F.shiftright("code", 8)).repartition("context")
-    grams = part.groupBy("context", "code").agg(F.sum("n").alias("n"))
-    return grams.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("code", "n")).alias("g")) \
-        .where(F.col("total") >= least).select(F.inline("g"))
+
+def grow_tree(counts: DataFrame, depth: int, below: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, kind, code, value) of the kept contexts longer than SHARED: a next byte's log10
+    probability (kind: the context's length) or a context's log10 share (kind: minus the length).
+
+    Strings are dealt by the last KEY_BYTES bytes of their context, so that the suffixes of a
+    context lie in its task but for those in ``below``, the last of the shared levels.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        if not held:
+            return
+        codes, n = np.concatenate([c for c, _ in held]), np.concatenate([m for _, m in held])
+        held.clear()
+        levels, lower = chain(codes, n, depth, SHARED + 1), below
+        del codes, n
+        for d in range(SHARED + 1, depth + 1):
+            lower, contexts = grow(*levels.pop(d), d, lower)
+            for kind, (code, p), shift in ((d, lower, 8), (-d, contexts, 0)):
+                key = (code >> np.uint64(shift)) & mask(KEY_BYTES - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.astype(np.int64)), pa.array(np.full(len(code), kind, np.int8)), pa.array(code.view(np.int64)),
+                     pa.array(np.log10(p), pa.float32())], names=["key", "kind", "code", "value"])
+
+    spark = counts.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-counts.count() // TASK_ROWS))
+    key = F.shiftrightunsigned("code", 8).bitwiseAND(F.lit(int(mask(KEY_BYTES - 1))))
+    return counts.repartition(tasks, key).select("code", "n").mapInArrow(work, "key long, kind byte, code long, value float")
 
 
 def score_documents(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score.
+    train_tokens, base_score, score. ``depth``: SHARED + 1 to 7 bytes.
 
-    Word counts and context counts cover all training texts. What reaches the
-    driver and every task is bounded by two shares: frequent words (at most
-    1/HEAD_SHARE) and kept contexts (at most depth/MIN_SHARE); the counts of
-    all other words are joined by word.
+    Word counts and counts of byte strings cover all training texts, and the
+    tree is a table of any size. What reaches the driver and every task is
+    bounded: frequent words (at most 1/HEAD_SHARE; the counts of all other
+    words are joined by word), the contexts of up to SHARED bytes (at most 2^24
+    counts) and one part of the tree at a time (about PART_ROWS; a part holds
+    at least all contexts that end in the same KEY_BYTES bytes). Texts are read
+    once for each part, which is once for a tree of one part.
 
     Nulls: a null text is empty (one token, the end); a null id counts as the
-    empty id, which is held out. Repeated rows count and score each for
-    itself; an empty training set leaves uniform probabilities; an empty table
-    gives no rows; other columns are not read.
+    empty id, which is held out. Very long texts are read whole, a bounded
+    number of bytes at a time. Repeated rows count and score each for itself;
+    an empty training set leaves uniform probabilities; an empty table gives
+    no rows; other columns are not read.
     """
+    if not SHARED < depth <= 7:
+        raise ValueError("depth is 3 to 7 bytes")
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(id_col).alias("doc_id"), (crc_of_id(id_col) % 10 == 0).alias("held_out"),
@@ -254,18 +283,31 @@ def score_documents(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", t
     train = _train(docs)
     vocabulary = save_intermediate(count_words(train), "lm-words")
     n_train = train.count()
-    sums = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"),
-                          F.sum(F.col("n") * (F.octet_length("word") + 1)).alias("size")).first()
-    tokens, distinct = (sums.n or 0) + n_train, sums.v + (n_train > 0)
+    totals = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    tokens, distinct = (totals.n or 0) + n_train, totals.v + (n_train > 0)
     least = max(1.0, HEAD_SHARE * tokens)
     head = vocabulary.where(F.col("n") >= least).toArrow()
-    grams = count_grams(train, depth, max(1.0, MIN_SHARE * ((sums.size or 0) + n_train))).toArrow()
-    tree = build_tree(grams["code"].to_numpy(), grams["n"].to_numpy(), depth)
     known = dict(zip(head["word"].to_pylist(), head["n"].to_pylist()))
-    del head, grams
-    shared = spark.sparkContext.broadcast((tree, known))
+    del head
+
+    counts = save_intermediate(count_grams(train, depth), "lm-grams")
+    short = F.col("code").bitwiseAND(F.lit(int(mask(SHARED)))).alias("code")
+    upper = counts.groupBy(short).agg(F.sum("n").alias("n")).toArrow()
+    first, shared_levels, below = upper_levels(upper["code"].to_numpy().view(np.uint64), upper["n"].to_numpy())
+    tree = save_intermediate(grow_tree(counts, depth, below), "lm-tree")
+    parts = max(1, -(-tree.count() // PART_ROWS))
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    if parts > 1:
+        docs = save_intermediate(docs, "lm-docs")   # every part is read with the same row numbers
+
+    def part_tree(part: int):
+        rows = tree.where(part_column(F.col("key"), parts) == part).select("kind", "code", "value").toArrow()
+        levels = as_levels(rows["kind"].to_numpy(), rows["code"].to_numpy().view(np.uint64), rows["value"].to_numpy())
+        return Tree(first, shared_levels | levels, depth, part, parts)
+
     end_gain = math.log10(n_train + 0.1)
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((part_tree(0), known))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known = shared.value
@@ -292,13 +334,21 @@ def score_documents(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", t
                 rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
                     [pa.array(tail, pa.binary()), pa.array(times, pa.int64())], names=["word", "m"]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()),
-                     pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.score(words), pa.float64()), rare],
-                    names=["doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "rare"])
-
-    scored = docs.mapInArrow(work, f"doc_id {id_type}, held_out boolean, n_tokens long, head_known long, head_base double, "
-                                   "score double, rare array<struct<word: binary, m: bigint>>")
-    scored = save_intermediate(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+                    [*(batch.column(c).slice(a, b - a) for c in (0, 1, 3)), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()),
+                     pa.array(base, pa.float64()), pa.array(tree.score(words), pa.float64()), rare],
+                    names=["doc_id", "held_out", "row", "n_tokens", "head_known", "head_base", "score", "rare"])
+
+    scored = save_intermediate(docs.mapInArrow(
+        work, f"doc_id {id_type}, held_out boolean, row long, n_tokens long, head_known long, head_base double, "
+              "score double, rare array<struct<word: binary, m: bigint>>"), "lm-scored")
+    shared.destroy()
+    others = [save_intermediate(_part_scores(docs, part_tree(p)), "lm-scored") for p in range(1, parts)]
+    if others:
+        more = others[0]
+        for o in others[1:]:
+            more = more.unionByName(o)
+        more = more.groupBy("row").agg(F.sum("score").alias("other"))
+        scored = scored.join(more, "row").withColumn("score", F.col("score") + F.col("other")).drop("other")
     rare = scored.select("row", F.inline("rare")).join(vocabulary.where(F.col("n") < least), "word") \
         .groupBy("row").agg(F.sum("m").alias("more"), F.sum(F.col("m") * (F.log10(F.col("n") + 0.1) + 1)).alias("gain"))
     norm = math.log10(tokens + 0.1 * (distinct + 1))
@@ -306,3 +356,17 @@ def score_documents(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", t
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("head_base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score")
+
+
+def _part_scores(docs: DataFrame, tree: Tree) -> DataFrame:
+    """(row, score): what one further part of the tree adds."""
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in text_slices(texts, CHARS_AT_ONCE):
+                score = shared.value.score([words_of(t) for t in texts[a:b]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score)], names=["row", "score"])
+
+    return docs.select("row", "text").mapInArrow(work, "row long, score double")
