@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import save_intermediate
 from .common import crc_of_id, ship, text_slices
 
-DEPTH = 7             # longest context, in bytes: with the next byte it fills 64 bits
+DEPTH = 6             # longest context, in bytes; up to 7, which with the next byte fill 64 bits
 SHARED = 2            # contexts up to this length are part of every part of the tree
 KEY_BYTES = 3         # longer ones are dealt by so many of their last bytes
 MIN_COUNT = 2         # a context seen less often is not kept
@@ -35,7 +35,8 @@ PART_ROWS = 6_000_000   # rows of the tree that are broadcast at once, about
 TASK_ROWS = 1_000_000   # distinct byte strings whose contexts a task decides on, about
 HEAD_SHARE = 5e-7     # words at least so frequent are broadcast: at most 1/HEAD_SHARE of them
 CHARS_AT_ONCE = 2 << 20
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 17
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -200,7 +201,10 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def count_grams(train: DataFrame, depth: int) -> DataFrame:
-    """(code, n) of all strings of ``depth`` + 1 bytes; counted inside tasks first, then by Spark."""
+    """(code, n) of all strings of ``depth`` + 1 bytes; counted inside tasks first, then by Spark.
+
+    The rows are dealt before Spark sums them: a task's strings are distinct already.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
@@ -209,7 +213,10 @@ def count_grams(train: DataFrame, depth: int) -> DataFrame:
 
         def out():
             codes, n = merged()
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
+            held.clear()
+            for s in range(0, len(codes), ROWS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(codes[s:s + ROWS_AT_ONCE].view(np.int64)), pa.array(n[s:s + ROWS_AT_ONCE])], names=["code", "n"])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -217,14 +224,13 @@ def count_grams(train: DataFrame, depth: int) -> DataFrame:
                 for code, _ in grams([words_of(t) for t in texts[a:b]], depth):
                     held.append(np.unique(code, return_counts=True))
                     if sum(len(c) for c, _ in held) > 3_000_000:
-                        held = [merged()]
+                        held[:] = [merged()]
                         if len(held[0][0]) > 1_500_000:
-                            yield out()
-                            held = []
+                            yield from out()
         if held:
-            yield out()
+            yield from out()
 
-    return train.mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(work, "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def grow_tree(counts: DataFrame, depth: int, below: tuple[np.ndarray, np.ndarray]) -> DataFrame:
