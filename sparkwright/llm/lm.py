@@ -54,16 +54,19 @@ def grams(texts: list[list[bytes]], depth: int = DEPTH) -> Iterator[tuple[np.nda
     """Codes of every byte with the ``depth`` bytes before it, and the number of its text,
     for a bounded number of bytes at a time. Before a text stand line breaks."""
     raw = [b"\n" * depth + b" ".join(w) + b"\n" for w in texts]
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    starts = np.cumsum([0] + [len(r) for r in raw])[:-1]
-    for s in range(depth, len(buf), BYTES_AT_ONCE):
+    ends = np.cumsum([len(r) for r in raw]) + 7
+    starts = np.append(7, ends[:-1])[:len(ends)]
+    buf = b"\n" * 7 + b"".join(raw)
+    # The eight bytes up to each byte, read as one number at every place.
+    eight = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))
+    for s in range(7, len(buf), BYTES_AT_ONCE):
         e = min(s + BYTES_AT_ONCE, len(buf))
-        code = np.zeros(e - s, np.uint64)
-        for k in range(depth, -1, -1):
-            code |= buf[s - k:e - k].astype(np.uint64) << np.uint64(8 * k)
-        at = np.arange(s, e)
-        owner = np.searchsorted(starts, at, side="right") - 1
-        real = at - starts[owner] >= depth
+        code = eight[s - 7:e - 7].astype(np.uint64) & mask(depth)
+        a, b = np.searchsorted(ends, s, side="right"), np.searchsorted(starts, e)
+        owner = np.repeat(np.arange(a, b), np.minimum(ends[a:b], e) - np.maximum(starts[a:b], s))
+        pads = (starts[a:b, None] + np.arange(depth)).ravel() - s
+        real = np.ones(e - s, bool)
+        real[pads[(pads >= 0) & (pads < e - s)]] = False
         yield code[real], owner[real]
 
 
