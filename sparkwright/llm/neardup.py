@@ -212,6 +212,47 @@ def _common(bags: DataFrame) -> DataFrame:
         "v", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
+def _open_pairs(placed: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (u < v) of members of one bucket that may still be linked.
+
+    ``placed``: key, v, root, o (overlap with the pivot), d (distance to it),
+    beside (other shingles that a second document holds), size, common, keys.
+
+    A link between sizes s <= t takes an overlap of threshold * (s + t) /
+    (1 + threshold), which neither common part exceeds. So the smaller text
+    needs nearly all of itself in common, and the larger one bounds the sizes
+    that it can meet. The join is on the bucket and a cell of sizes within
+    these bounds: texts that share a template but stay below the threshold
+    make no pair, however many they are.
+    """
+    share = threshold / (1 + threshold)
+    step = max(1.02, max(threshold, 1e-3) ** -0.125)
+    cell = lambda size: F.floor(F.log(size) / F.lit(np.log(step)) + 1e-9)
+    main = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    placed = placed.join(main, "key").withColumn("inside", F.col("root") == F.col("main"))
+    small = placed.where(F.col("common") >= 2 * share * F.col("size") - 1e-6) \
+        .withColumn("cell", cell(F.col("size")))
+    least = F.greatest(F.ceil(threshold * F.col("size") - 1e-6), F.lit(1))
+    reach = F.least(F.floor(F.col("common") / share - F.col("size") + 1e-6), "size")
+    # Members of a bucket's largest class meet others only.
+    meets = F.when(F.col("inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    large = placed.where(least <= reach) \
+        .withColumn("cell", F.explode(F.sequence(cell(least), cell(reach)))) \
+        .withColumn("inside", F.explode(meets)) \
+        .select("key", "cell", "inside", reach.alias("reach"),
+                *[F.col(c).alias(c + "1") for c in ("v", "root", "d", "o", "beside", "size", "keys")])
+    most = F.least("o", "o1") + F.least("beside", "beside1")
+    near = (F.abs(F.col("d") - F.col("d1")) <= 1 - threshold + 1e-9) \
+        & (most >= threshold * (F.col("size") + F.col("size1") - most) - 1e-9)
+    # Of equal sizes each pair once, and every pair only in the first bucket it shares.
+    once = ((F.col("size") < F.col("size1")) | (F.col("v") < F.col("v1"))) \
+        & (F.col("key") == F.array_min(F.array_intersect("keys", "keys1")))
+    fits = (F.col("size") <= F.col("reach")) & (F.col("root") != F.col("root1")) & near & once
+    return small.drop("main").join(large, ["key", "cell", "inside"]).where(fits) \
+        .select(F.least("v", "v1").alias("u"), F.greatest("v", "v1").alias("v")).distinct()
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
             bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``df``: doc_id, class_id, and _root (a number of the class) and _hash (of the text).
@@ -227,8 +268,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     where the two distances to the pivot differ by more than 1 - threshold
     (Jaccard distance is a metric), or where the overlap would be too small
     even if the lesser overlap with the pivot were shared whole and so were
-    the lesser number of other shingles that occur in a second document. No
-    pair is left out otherwise.
+    the lesser number of other shingles that occur in a second document. Sizes
+    and common parts decide most of that before a pair is made. No pair is
+    left out otherwise.
 
     Nulls: a null text is empty; texts without words are equal and form one
     class. A null doc_id is a vertex like any other; a class of null ids only
@@ -278,18 +320,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     placed = placed.join(facts, "v") \
         .withColumn("o", F.when(F.col("u") == F.col("v"), F.col("size")).otherwise(F.col("o"))) \
         .withColumn("beside", F.greatest(F.col("common") - F.col("o"), F.lit(0)))
-    main = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")) \
-        .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    others = placed.join(main, "key").where("root != main").select(
-        "key", "main", *[F.col(c).alias(c + "1") for c in ("v", "root", "d", "o", "beside", "size", "keys")])
-    most = F.least("o", "o1") + F.least("beside", "beside1")
-    near = (F.abs(F.col("d") - F.col("d1")) <= 1 - threshold + 1e-9) \
-        & (most >= threshold * (F.col("size") + F.col("size1") - most) - 1e-9)
-    # Each pair once in a bucket, and only in the first bucket it shares.
-    once = ((F.col("root") == F.col("main")) | (F.col("v") < F.col("v1"))) \
-        & (F.col("key") == F.array_min(F.array_intersect("keys", "keys1")))
-    rest = placed.join(others, "key").where((F.col("root") != F.col("root1")) & near & once) \
-        .select(F.least("v", "v1").alias("u"), F.greatest("v", "v1").alias("v")).distinct()
+    rest = _open_pairs(placed, threshold)
     tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = rest.join(tried, ["u", "v"], "left_anti")
     second = _verified(rest, bags).where(F.col("j") >= threshold)

@@ -61,6 +61,42 @@ def test_groups_of_edited_copies(spark):
     assert Counter((r.doc_id, r.class_id) for r in got.collect()) == brute(rows)
 
 
+def test_templated_texts_make_no_pairs(spark, monkeypatch):
+    """Texts that share 85 % of their words with all others, and edited copies of a few of them."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    shared = [word() for _ in range(170)]
+    docs = [shared + [word() for _ in range(28)] for _ in range(200)]
+    docs += [shared[:rng.integers(150, 171)] + [word() for _ in range(rng.integers(5, 60))] for _ in range(100)]
+    docs += [d[:-1] + [word()] for d in docs[:40]] + [d + [word() for _ in range(k)] for k, d in enumerate(docs[40:70])]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    made = []
+    real = neardup._open_pairs
+    monkeypatch.setattr(neardup, "_open_pairs", lambda *a: made.append(real(*a)) or made[0])
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.class_id) for r in got.collect()) == brute(rows)
+    assert made[0].count() < 10 * len(rows)
+
+
+def test_open_pairs_hold_all_links(spark):
+    """Sets in one bucket: every link of different roots that includes one outside the main class is among the pairs."""
+    rng = np.random.default_rng(4)
+    for threshold in (0.5, 0.8, 0.95, 1.0):
+        bags = [set(range(60))] + [set(rng.choice(75, rng.integers(30, 66), replace=False).tolist()) for _ in range(40)]
+        bags += [set(b) - set(rng.choice(75, rng.integers(0, 5)).tolist()) for b in bags for _ in range(2)]
+        jaccard = lambda a, b: len(a & b) / len(a | b)
+        held = Counter(x for b in bags for x in b)
+        rows = [(7, v, v if v >= 12 else 0, 0, len(b & bags[0]) if v else len(b), 1 - jaccard(b, bags[0]),
+                 len(b), sum(held[x] > 1 for x in b), [7]) for v, b in enumerate(bags)]
+        placed = spark.createDataFrame(rows, "key long, v long, root long, pivot long, o long, d double, "
+                                             "size long, common long, keys array<long>") \
+            .selectExpr("*", "greatest(common - o, 0) AS beside")
+        got = {(r.u, r.v) for r in neardup._open_pairs(placed, threshold).collect()}
+        linked = {(i, j) for j in range(12, len(bags)) for i in range(j)
+                  if jaccard(bags[i], bags[j]) >= threshold and rows[i][2] != rows[j][2]}
+        assert linked <= got and all(i < j for i, j in got)
+
+
 def test_odd_rows(docs, no_docs):
     odd = [(r.doc_id, r.text or "") for r in docs.collect()]
     got = neardup.classes(clash(docs, "_hash", "_row", "class_id", "key", "u"))
