@@ -22,6 +22,7 @@ from .graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4       # misses a pair at 0.8 with probability 5e-8
+ONE_CELL = 64            # a bucket of more members is cut by size
 CHARS_AT_ONCE = 2 << 20   # text worked on at a time inside a task
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -221,23 +222,32 @@ def _open_pairs(placed: DataFrame, threshold: float) -> DataFrame:
     A link between sizes s <= t takes an overlap of threshold * (s + t) /
     (1 + threshold), which neither common part exceeds. So the smaller text
     needs nearly all of itself in common, and the larger one bounds the sizes
-    that it can meet. The join is on the bucket and a cell of sizes within
-    these bounds: texts that share a template but stay below the threshold
-    make no pair, however many they are.
+    that it can meet. The join is on the bucket and, in buckets of more than
+    ``ONE_CELL`` members, a cell of sizes within these bounds: texts that
+    share a template but stay below the threshold make no pair, however many
+    they are.
     """
     share = threshold / (1 + threshold)
-    step = max(1.02, max(threshold, 1e-3) ** -0.125)
-    cell = lambda size: F.floor(F.log(size) / F.lit(np.log(step)) + 1e-9)
-    main = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")) \
-        .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    placed = placed.join(main, "key").withColumn("inside", F.col("root") == F.col("main"))
-    small = placed.where(F.col("common") >= 2 * share * F.col("size") - 1e-6) \
-        .withColumn("cell", cell(F.col("size")))
+    step = max(1.02, max(threshold, 1e-3) ** -0.5)
     least = F.greatest(F.ceil(threshold * F.col("size") - 1e-6), F.lit(1))
     reach = F.least(F.floor(F.col("common") / share - F.col("size") + 1e-6), "size")
+    placed = placed.withColumn("small", F.col("common") >= 2 * share * F.col("size") - 1e-6) \
+        .withColumn("large", least <= reach)
+    # Per bucket: its largest class, and how many could be the smaller or larger text of a pair, in it and in all.
+    first = F.struct("n", "root")
+    main = placed.groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("small").alias("s"), F.count_if("large").alias("l")) \
+        .groupBy("key").agg(F.max_by("root", first).alias("main"), F.sum("n").alias("members"),
+                            F.sum("s").alias("all_s"), (F.sum("s") - F.max_by("s", first)).alias("other_s"),
+                            F.sum("l").alias("all_l"), (F.sum("l") - F.max_by("l", first)).alias("other_l"))
+    placed = placed.join(main, "key").withColumn("inside", F.col("root") == F.col("main"))
+    cell = lambda size: F.when(F.col("members") <= ONE_CELL, F.lit(0).cast("long")).otherwise(
+        F.floor(F.log(size) / F.lit(np.log(step)) + 1e-9))
+    small = placed.where(F.col("small") & (F.when(F.col("inside"), F.col("other_l")).otherwise(F.col("all_l")) > 0)) \
+        .select("key", cell(F.col("size")).alias("cell"), "inside", "v", "root", "d", "o", "beside", "size", "keys")
     # Members of a bucket's largest class meet others only.
     meets = F.when(F.col("inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    large = placed.where(least <= reach) \
+    large = placed.where(F.col("large") & (F.when(F.col("inside"), F.col("other_s")).otherwise(F.col("all_s")) > 0)) \
         .withColumn("cell", F.explode(F.sequence(cell(least), cell(reach)))) \
         .withColumn("inside", F.explode(meets)) \
         .select("key", "cell", "inside", reach.alias("reach"),
@@ -249,7 +259,7 @@ def _open_pairs(placed: DataFrame, threshold: float) -> DataFrame:
     once = ((F.col("size") < F.col("size1")) | (F.col("v") < F.col("v1"))) \
         & (F.col("key") == F.array_min(F.array_intersect("keys", "keys1")))
     fits = (F.col("size") <= F.col("reach")) & (F.col("root") != F.col("root1")) & near & once
-    return small.drop("main").join(large, ["key", "cell", "inside"]).where(fits) \
+    return small.join(large, ["key", "cell", "inside"]).where(fits) \
         .select(F.least("v", "v1").alias("u"), F.greatest("v", "v1").alias("v")).distinct()
 
 

@@ -78,8 +78,9 @@ def test_templated_texts_make_no_pairs(spark, monkeypatch):
     assert made[0].count() < 10 * len(rows)
 
 
-def test_open_pairs_hold_all_links(spark):
+def test_open_pairs_hold_all_links(spark, monkeypatch):
     """Sets in one bucket: every link of different roots that includes one outside the main class is among the pairs."""
+    monkeypatch.setattr(neardup, "ONE_CELL", 8)
     rng = np.random.default_rng(4)
     for threshold in (0.5, 0.8, 0.95, 1.0):
         bags = [set(range(60))] + [set(rng.choice(75, rng.integers(30, 66), replace=False).tolist()) for _ in range(40)]
