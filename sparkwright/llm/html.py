@@ -122,6 +122,7 @@ class _Page:
     def __init__(self, never: frozenset = frozenset()):
         self.never, self.n, self.mains, self.articles = never, 0, 0, 0
         self.holders: list[tuple[int, int, int, int]] = []
+        self.places: dict[str, list[int]] = {}   # places in the stack of the open elements of each name
         self.stack = [_Element("", frozenset(), False, False, 0, 0, 0, 0)]
 
     def open(self, name: str, attributes: str) -> None:
@@ -143,21 +144,22 @@ class _Page:
         mark = main or name in MARKED
         if mark:
             parts, own = parts - MARKED, own - MARKED
-        features = top.features | own | {"." + p for p in parts}
+        own = own | {"." + p for p in parts}
+        features = top.features if own <= top.features else top.features | own
+        self.places.setdefault(name, []).append(len(self.stack))
         self.stack.append(_Element(name, features, top.hidden or rank > 0, top.marked or mark, self.n, rank, self.mains, self.articles))
         self.mains += main
         self.articles += mark and not main
 
     def close_to(self, name: str, limits: tuple[str, ...] = ()) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].name == name:
-                self.close_from(k)
-                return
-            if self.stack[k].name in limits:
-                return
+        """Close the innermost open ``name`` unless one of ``limits`` stands inside it; the cost does not grow with the depth."""
+        own = self.places.get(name)
+        if own and all(not p or p[-1] < own[-1] for p in map(self.places.get, limits)):
+            self.close_from(own[-1])
 
     def close_from(self, k: int) -> None:
         for e in self.stack[k:]:
+            self.places[e.name].pop()
             if e.rank and (self.mains, self.articles) != (e.mains, e.articles):
                 self.holders.append((e.nth, e.rank, self.mains - e.mains, self.articles - e.articles))
         del self.stack[k:]

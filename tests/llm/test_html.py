@@ -119,3 +119,16 @@ def test_odd_rows(spark):
     assert sorted(((r.page_id, r.url, r.text) for r in html.extract_pages(df).collect()), key=str) == sorted(
         [(1, None, ""), (None, "u", "a b c"), (2, "u", ""), (2, "u", "")], key=str)
     assert html.extract_pages(df.limit(0)).collect() == []
+
+
+def test_stray_end_tags_and_deep_nesting_take_linear_time():
+    import time
+    page = "<article><p>" + "<div>" * 20_000 + "deep words here" + "</b>" * 20_000 + "</article>"
+    start = time.process_time()
+    out = html.blocks(page)
+    assert [b.text for b in out] == ["deep words here"] and time.process_time() - start < 3
+
+
+def test_limits_keep_outer_elements_open():
+    page = "<ul><li>one<ul><li>two<li>three</ul>four<li>five</ul><p>six<button><div>x</div></button>seven<div>eight</div>"
+    assert [b.text for b in html.blocks(page)] == ["one", "two", "three", "four", "five", "six", "x", "seven", "eight"]
