@@ -26,6 +26,7 @@ MAX_PIVOTS = 1024        # collected and broadcast: this many vectors at most
 CELL_ROWS = 2_000        # points per cell aimed at
 BLOCK_ROWS = 8_192       # points of a cell that one task meets at a time
 QUERY_ROWS = 4_096       # queries that meet such a block at a time
+VALUES = 1 << 21         # numbers of a matrix (queries by pivots, visits by dimensions) that a task holds at a time
 SLACK = 1e-9             # relative slack of the bounds, for rounding
 
 POINT = "cell int, block int, id long, v array<double>, label double"
@@ -46,6 +47,12 @@ def nearest(ids: np.ndarray, points: np.ndarray, query: np.ndarray, among: np.nd
     return among[order], exact[order]
 
 
+def slices(n: int, width: int) -> Iterator[tuple[int, int]]:
+    """Ranges of ``n`` rows of ``width`` numbers each that hold at most ``VALUES`` numbers (at least one row)."""
+    rows = max(1, VALUES // max(1, width))
+    return ((a, min(n, a + rows)) for a in range(0, n, rows))
+
+
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
 
@@ -85,12 +92,14 @@ def _deal(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     shared = points.sparkSession.sparkContext.broadcast(pivots)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            far = distances(_matrix(b.column(1), d), shared.value)
-            cell = far.argmin(1)
-            exact = np.sqrt(np.square(_matrix(b.column(1), d) - shared.value[cell]).sum(1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype("int32")), pa.array(exact)],
-                                             names=["id", "v", "label", "cell", "far"])
+        for whole in batches:
+            for start, stop in slices(whole.num_rows, max(len(pivots), d)):
+                b = whole.slice(start, stop - start)
+                x = _matrix(b.column(1), d)
+                cell = distances(x, shared.value).argmin(1)
+                exact = np.sqrt(np.square(x - shared.value[cell]).sum(1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype("int32")), pa.array(exact)],
+                                                 names=["id", "v", "label", "cell", "far"])
 
     return points.mapInArrow(work, "id long, v array<double>, label double, cell int, far double")
 
@@ -102,21 +111,24 @@ def _visits(queries: DataFrame, cells: Cells, k: int, second: bool) -> DataFrame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for b in batches:
-            q = _matrix(b.column(1), d)
-            far = distances(q, c.pivots)
-            scale = np.sqrt((q * q).sum(1)) + np.sqrt((c.pivots * c.pivots).sum(1)).max() + c.high.max()
-            bounds = b.column(2).to_numpy(zero_copy_only=False).astype(float)
-            goes = []
-            for i in range(len(q)):
-                first = c.first_visits(far[i], k)
-                goes.append(np.setdiff1d(c.open_to(far[i], bounds[i], scale[i]), first) if second else first)
-            n = np.array([len(g) for g in goes])
-            at = np.repeat(np.arange(len(q)), n)
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(goes).astype("int32")), b.column(0).take(pa.array(at)),
-                     b.column(1).take(pa.array(at)), pa.array(bounds[at])], names=["cell", "query_id", "q", "bound"])
+        for whole in batches:
+            for start, stop in slices(whole.num_rows, max(len(c.pivots), d)):
+                b = whole.slice(start, stop - start)
+                q = _matrix(b.column(1), d)
+                far = distances(q, c.pivots)
+                scale = np.sqrt((q * q).sum(1)) + np.sqrt((c.pivots * c.pivots).sum(1)).max() + c.high.max()
+                bounds = b.column(2).to_numpy(zero_copy_only=False).astype(float)
+                goes = []
+                for i in range(len(q)):
+                    first = c.first_visits(far[i], k)
+                    goes.append(np.setdiff1d(c.open_to(far[i], bounds[i], scale[i]), first) if second else first)
+                cell = np.concatenate(goes).astype("int32")
+                at = np.repeat(np.arange(len(q)), [len(g) for g in goes])
+                # a query's vector is repeated for every cell it visits: in high dimensions that is most of them
+                for x, y in slices(len(at), d):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[x:y]), b.column(0).take(pa.array(at[x:y])), b.column(1).take(pa.array(at[x:y])),
+                         pa.array(bounds[at[x:y]])], names=["cell", "query_id", "q", "bound"])
 
     return queries.mapInArrow(work, VISIT)
 

@@ -84,3 +84,32 @@ def test_classify_separates_blobs(spark):
     train, test = df.where(~mine), df.where(mine)
     got = {r.query_id: r.prediction for r in knn.classify(train, test, "label", 5).collect()}
     assert got == {i: float(c) for i, _, c in marked if i // 12 % 4 == 0}
+
+
+def test_visits_leave_in_bounded_batches():
+    """A query that visits many cells is repeated for each; a batch of such rows stays bounded."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    class Queries:
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def mapInArrow(self, work, schema):
+            return work
+
+    r = np.random.default_rng(4)
+    d, m = 64, 300
+    pivots, q = r.normal(size=(m, d)), r.normal(size=(500, d))
+    cells = knn.Cells(pivots, np.full(m, 9), np.zeros(m), np.full(m, 5.0))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(500)), pa.array(list(q), pa.list_(pa.float64())), pa.array(np.full(500, np.inf))],
+                                       names=["query_id", "v", "bound"])
+    for second in (False, True):
+        out = list(knn._visits(Queries(), cells, 16, second)([batch]))
+        assert max(b.num_rows for b in out) * d <= knn.VALUES
+        table = pa.Table.from_batches(out)
+        far = knn.distances(q, pivots)
+        first = [set(cells.first_visits(far[i], 16)) for i in range(500)]
+        want = {(i, int(c)) for i in range(500) for c in range(m) if (c in first[i]) != second}
+        assert set(zip(table["query_id"].to_pylist(), table["cell"].to_pylist())) == want and table.num_rows == len(want)
+        assert all((np.array(v) == q[i]).all() for i, v in zip(table["query_id"].to_pylist()[::997], table["q"].to_pylist()[::997]))
