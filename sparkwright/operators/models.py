@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .folds import concurrently
 
 
 def _features(df: DataFrame, cols: Sequence[str] | str, out: str = "features") -> DataFrame:
@@ -172,30 +173,33 @@ def _meta_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="meta_features").transform(df)
 
 
-def stack(df: DataFrame, features, label: str, fold: str, base: Sequence, meta=None, key: str = "doc_id"):
+def stack(df: DataFrame, features, label: str, fold: str, base: Sequence, meta=None, key: str = "doc_id", width: int = 4):
     """Stacking with out-of-fold base predictions.
 
     ``base`` is a list of (name, fit_fn) where ``fit_fn(train_df)`` returns a
     fitted model with ``transform``. For every fold the base models are fit
     on the other folds and score the held-out fold; the meta model is fit on
     these out-of-fold probabilities, and the base models once more on all
-    rows. ``key`` identifies a row. Returns (``StackedModel``, training frame
-    with out-of-fold meta features and the meta prediction).
+    rows. The fits are independent jobs, ``width`` at a time. ``key`` identifies
+    a row. Returns (``StackedModel``, training frame with out-of-fold meta
+    features and the meta prediction).
     """
     x = _features(df, features)
     folds = sorted(r[0] for r in x.select(fold).distinct().collect())   # k values
     names = [n for n, _ in base]
+    jobs = [lambda t=x.filter(F.col(fold) != f), fit_fn=fit_fn: fit_fn(t) for f in folds for _, fit_fn in base]
+    fits = concurrently(df.sparkSession, [*jobs, *[lambda fit_fn=fit_fn: fit_fn(x) for _, fit_fn in base]], width, "stack")
     oof = None
-    for f in folds:
-        tr, te = x.filter(F.col(fold) != f), x.filter(F.col(fold) == f)
-        for name, fit_fn in base:
-            te = positive_prob_col(fit_fn(tr).transform(te), out=name).drop("rawPrediction", "probability", "prediction")
+    for i, f in enumerate(folds):
+        te = x.filter(F.col(fold) == f)
+        for name, m in zip(names, fits[i * len(base):]):
+            te = positive_prob_col(m.transform(te), out=name).drop("rawPrediction", "probability", "prediction")
         part = te.select(key, *names)
         oof = part if oof is None else oof.unionByName(part)
     mx = cut_lineage(_meta_features(x.join(oof, key), names))
     meta = meta or MC.LogisticRegression(featuresCol="meta_features", labelCol=label)
     mm = meta.fit(mx)
-    return StackedModel([(n, fit_fn(x)) for n, fit_fn in base], mm, features), mm.transform(mx)
+    return StackedModel(list(zip(names, fits[len(jobs):])), mm, features), mm.transform(mx)
 
 
 def importances(model, names: Sequence[str], exclude: Sequence[str] = (), k: int | None = 5):

@@ -185,7 +185,7 @@ def q_cv(spark, d):
     from pyspark.ml.classification import RandomForestClassifier
     x = X.assemble(DOC_FEATURES).transform(doc_features(spark, d))
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=100, seed=7)
-    cvm = TU.grid_cv(rf, {rf.maxDepth: [2, 3, 4, 5]}, x, "fold")
+    cvm = TU.grid_cv(rf, {rf.maxDepth: [2, 3, 4, 5]}, x, "fold", parallelism=4)
     return spark.createDataFrame([(i, float(m)) for i, m in enumerate(cvm.avgMetrics)], "grid_point int, auc double")
 
 

@@ -156,3 +156,25 @@ def test_first_half_year_validation(spark):
     plan = S.walk_forward_plan([2000, 2001, 2002], "expanding", 6)
     got = S.walk_forward(df, "y", "t", plan, embargo_months=6, valid_months=6)
     assert sorted((r.fold, r.role, r.id) for r in got.collect()) == [(0, "train", i) for i in range(6)] + [(0, "valid", i) for i in range(12, 18)]
+
+
+def test_stack_fits_run_side_by_side(frame):
+    """Fits that wait for each other end only if two of them run at a time."""
+    import threading
+    both = threading.Barrier(2, timeout=60)
+
+    def fit(tr):
+        both.wait()
+        return MC.LogisticRegression(featuresCol="features", labelCol="label").fit(tr)
+
+    train = frame.withColumn("fold", F.col("doc_id") % 2)
+    model, oof = M.stack(train, COLS, "label", "fold", [("p", fit), ("q", fit)], width=2)
+    assert oof.count() == train.count() and [n for n, _ in model.base] == ["p", "q"]
+
+
+def test_grid_points_run_side_by_side(spark, monkeypatch):
+    from sparkwright.plans import q_models as Q
+    from types import SimpleNamespace
+    widths = []
+    monkeypatch.setattr(TU, "grid_cv", lambda *a, **k: widths.append(k.get("parallelism", 1)) or SimpleNamespace(avgMetrics=[0.5] * 4))
+    assert Q.q_cv(spark, "/root/testdata/sf0.001").count() == 4 and widths == [4]
