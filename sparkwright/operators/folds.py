@@ -94,22 +94,42 @@ def walk_forward_fits(panel: DataFrame, year: str, date: str, plan: Sequence[tup
     A fold without training rows, or whose training rows have one class,
     has counts and null scores. Rows with a null label are left out.
     """
+    return walk_forward_studies(panel, year, date, [(mode, plan, valid_months)], fit, label, embargo_months, width)
+
+
+def walk_forward_studies(panel: DataFrame, year: str, date: str, studies: Sequence[tuple[str, Sequence[tuple[int, Sequence[int]]], int]],
+                         fit: Callable[[DataFrame], object], label: str, embargo_months: int = 6, width: int = 4) -> DataFrame:
+    """``walk_forward_fits`` of several studies (mode, plan, valid_months): folds
+    with the same training rows share one fit, the largest start first.
+
+    ``fit`` gives the same model whenever it gets the same rows.
+    """
     spark = panel.sparkSession
     panel = panel.where(F.col(label).isNotNull())
+    uses: dict[tuple[int, tuple[int, ...]], list[tuple[int, int, str, int]]] = {}
+    for s, (mode, plan, months) in enumerate(studies):
+        for i, (valid_year, train_years) in enumerate(plan):
+            uses.setdefault((int(valid_year), tuple(sorted(int(y) for y in train_years))), []).append((s, i, mode, months))
 
-    def one(i: int, valid_year: int, train_years: Sequence[int]) -> tuple:
-        fold = Fold(i, int(valid_year), tuple(int(y) for y in train_years))
+    def one(valid_year: int, train_years: tuple[int, ...], wanted: Sequence[tuple[int, int, str, int]]) -> list[tuple]:
+        fold = Fold(0, valid_year, train_years)
         train = train_part(panel, fold, year, date, embargo_months)
-        valid = valid_part(panel, fold, year, date, valid_months)
         seen = {int(r[0]): r[1] for r in train.groupBy(label).count().collect()}
-        head = (i, mode, fold.valid_year, min(fold.train_years), max(fold.train_years), sum(seen.values()))
-        if len(seen) < 2:
-            return (*head, valid.count(), *(None,) * 6)
-        scored = fit(train).transform(valid).select(F.col(label), "prediction", vector_to_array("probability")[1].alias("p1"))
+        model = fit(train) if len(seen) > 1 else None
+        rows = []
+        for s, i, mode, months in wanted:
+            valid = valid_part(panel, fold, year, date, months)
+            head = (i, mode, valid_year, train_years[0], train_years[-1], sum(seen.values()))
+            rows.append((s, i, (*head, *(scores(model, valid) if model else (valid.count(), *(None,) * 6)))))
+        return rows
+
+    def scores(model, valid: DataFrame) -> tuple:
+        scored = model.transform(valid).select(F.col(label), "prediction", vector_to_array("probability")[1].alias("p1"))
         tp, fp, fn, tn = confusion(scored, label)
         both = tp + fn > 0 and fp + tn > 0
         auc = exact_auc(scored, label, "p1").first()[0] if both else None
-        return (*head, tp + fp + fn + tn, tp, fp, fn, tn, auc, (tp / (tp + fn) + tn / (fp + tn)) / 2 if both else None)
+        return tp + fp + fn + tn, tp, fp, fn, tn, auc, (tp / (tp + fn) + tn / (fp + tn)) / 2 if both else None
 
-    rows = concurrently(spark, [lambda i=i, v=v, t=t: one(i, v, t) for i, (v, t) in enumerate(plan)], width, "fold")
-    return spark.createDataFrame(rows, SCORES)
+    jobs = sorted(uses.items(), key=lambda u: -len(u[0][1]))
+    got = concurrently(spark, [lambda k=k, w=w: one(*k, w) for k, w in jobs], width, "fold")
+    return spark.createDataFrame([r for *_, r in sorted((r for rows in got for r in rows), key=lambda r: r[:2])], SCORES)

@@ -103,12 +103,9 @@ def r_panel_fits(spark, d):
     def fit(train):
         return PipelineModel([a, MO.gbt(a.transform(train), "features", "label", rounds=20)[0]])
 
-    out = None
-    for name, kind, months in (("expanding_half", "expanding", 6), ("expanding", "expanding", 12), ("rolling", "rolling", 12)):
-        plan = S.walk_forward_plan(years, kind, n_folds=6)
-        part = FO.walk_forward_fits(panel, "yr", "o_orderdate", plan, fit, "label", name, embargo_months=6, valid_months=months)
-        out = part if out is None else out.unionByName(part)
-    return out
+    studies = [(name, S.walk_forward_plan(years, kind, n_folds=6), months) for name, kind, months in
+               (("expanding_half", "expanding", 6), ("expanding", "expanding", 12), ("rolling", "rolling", 12))]
+    return FO.walk_forward_studies(panel, "yr", "o_orderdate", studies, fit, "label", embargo_months=6)
 
 
 @query("r_panel_forward", """

@@ -113,3 +113,13 @@ def test_fold_reads_its_years_only(panel):
 def test_fold_with_one_class(panel):
     got = folds.walk_forward_fits(panel.where("label = 1"), "yr", "day", [(2013, [2011, 2012])], _fit, "label").collect()
     assert got[0].auc is None and got[0].tp is None and got[0].n_valid > 0
+
+
+def test_studies_share_fits_of_the_same_rows(panel):
+    plans = {mode: split.walk_forward_plan(range(2010, 2016), mode, n_folds=3) for mode in ("expanding", "rolling")}
+    studies = [("half", plans["expanding"], 6), ("expanding", plans["expanding"], 12), ("rolling", plans["rolling"], 12)]
+    fits = []
+    got = folds.walk_forward_studies(panel, "yr", "day", studies, lambda t: fits.append(1) or _fit(t), "label").collect()
+    alone = [folds.walk_forward_fits(panel, "yr", "day", plan, _fit, "label", mode, valid_months=months).collect() for mode, plan, months in studies]
+    assert got == [r for rows in alone for r in rows]
+    assert len(fits) == len({(v, tuple(t)) for plan in plans.values() for v, t in plan}) < sum(len(p) for _, p, _ in studies)
