@@ -146,10 +146,10 @@ class Codec:
 
     Where words can be encoded one by one, each distinct word of a call is
     encoded once; the ids of at most twice ``CACHE_WORDS`` words are kept for
-    the next calls. Texts with runs of spaces hold merges of equal score,
-    whose order the two libraries resolve differently; these texts, and the
-    first of every call, are always compared, and the original's ids stand
-    where they differ.
+    the next calls. A piece that can be joined from several pairs has merges
+    of equal score, whose order the two libraries resolve differently. So
+    every distinct word is compared, and every text that is not encoded
+    by words; the original's ids stand where they differ.
     """
 
     def __init__(self, path: str, threads: int = 2):
@@ -172,8 +172,10 @@ class Codec:
             raw = np.asarray(e.ids, "<u4").tobytes()
             ends = np.cumsum(np.bincount(np.asarray(e.word_ids), minlength=len(part))) * 4
             at = 0
-            for word, end in zip(part, ends.tolist()):
-                self.new[word] = raw[at:end]
+            for word, end, want in zip(part, ends.tolist(), self.original.encode(part)):
+                ids = np.asarray(want, "<u4").tobytes()
+                self.differences += ids != raw[at:end]
+                self.new[word] = ids
                 at = end
 
     def _by_word(self, texts: list[str]) -> list[np.ndarray]:
@@ -195,12 +197,11 @@ class Codec:
         rest = [i for i in range(len(texts)) if i not in out]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
             out[i] = np.asarray(e.ids, "<u4")
-        for i, t in enumerate(texts):
-            if i == 0 or odd[i]:
-                ids = np.asarray(self.original.encode(t), "<u4")
-                if not np.array_equal(ids, out[i]):
-                    self.differences += 1
-                    out[i] = ids
+        for i, ids in zip(rest, self.original.encode([texts[i] for i in rest])):
+            ids = np.asarray(ids, "<u4")
+            if not np.array_equal(ids, out[i]):
+                self.differences += 1
+                out[i] = ids
         return [out[i] for i in range(len(texts))]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:

@@ -73,3 +73,22 @@ def test_odd_rows(docs, no_docs, original):
     want = sorted(((r.doc_id is not None, r.doc_id, original.encode(r.text or "")) for r in docs.collect()), key=str)
     assert sorted(((r.doc_id is not None, r.doc_id, r.ids) for r in rows), key=str) == want
     assert S.encode(no_docs, PATH).collect() == []
+
+
+def test_every_word_is_compared(original):
+    """A word that the rebuilt tokenizer encodes otherwise, anywhere in any text of a call, gets the original's ids."""
+    class Wrong:
+        def __init__(self, t):
+            self.t = t
+
+        def __getattr__(self, name):
+            return getattr(self.t, name)
+
+        def encode_batch(self, texts, **k):
+            return self.t.encode_batch([t.replace("river", "rivet") for t in texts], **k)
+
+    texts = ["one plain text", "the second has a river in it", "river", "and more"]
+    c = S.Codec(PATH)
+    c.tokenizer = Wrong(c.tokenizer)
+    assert [x.tolist() for x in c.encode(texts)] == [original.encode(t) for t in texts]
+    assert c.differences == 1
