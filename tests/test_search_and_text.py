@@ -102,3 +102,27 @@ def test_key_sample_does_not_depend_on_partitions(spark):
     assert a == b and 850 < len(a) < 1150
     assert a != {r.id for r in io.sample(df, 0.05, 5, "id").collect()}
     assert io.sample(df.select(F.lit(None).cast("long").alias("id")), 1.0, 1, "id").count() == 20_000
+
+
+def test_word_vectors_are_learned_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"w{(i * j) % 9}" for j in range(1, 21)]) for i in range(60)] + [(60, []), (61, None)], "id long, toks array<string>")
+    filled = docs.withColumn("toks", F.coalesce("toks", F.array().cast("array<string>")))
+    assert T.word2vec(filled, "toks", size=4, min_count=1)[0].getNumPartitions() == 1
+    monkeypatch.setattr(T, "TOKENS_PER_PART", 400)
+    model, out = T.word2vec(filled, "toks", size=4, min_count=1)
+    assert model.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism)
+    assert out.count() == 62 and model.getVectors().count() == 9
+
+
+def test_topics_read_their_input_once(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    seen = spark.sparkContext.accumulator(0)
+
+    def vector(i):
+        seen.add(1)
+        return Vectors.sparse(6, {i % 6: 2.0, (i + 1) % 6: 1.0})
+
+    df = spark.range(40).select("id", F.udf(vector, VectorUDT())("id").alias("tf"))
+    _m, out = T.topics(df, "tf", k=3, max_iter=4)
+    assert out.count() == 40 and out.select(F.sum(F.size(F.split(F.col("topics").cast("string"), ",")))).first()[0] == 120
+    assert seen.value == 40
