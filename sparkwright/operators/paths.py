@@ -14,13 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import save_intermediate, ship_library
 
-ROWS = 4_096        # rows whose products a task holds at a time
+ROWS = 512          # rows whose products a task takes at a time: small enough that they stay in cache and on one thread
 PASSES = 100
+WIDEST = 64         # features of a grid whose models are advanced together: each has a Hessian
 TOLERANCE = 1e-10   # largest change of a coefficient, relative to the largest coefficient (at least 1)
 
 
@@ -67,15 +69,14 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def _directions(beta: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, l2: np.ndarray, sweeps: int = 20_000) -> np.ndarray:
     """Steps (a row per model) that minimise the quadratic models plus their
-    penalties; the last coefficient (intercept) is free. With an L1 part by
+    penalties, given per model and coefficient. With an L1 part by
     coordinate descent, all models together."""
     m, p = beta.shape
-    penalised = np.r_[np.ones(p - 1), 0.0]
     diagonal = np.arange(p)
     a = h.copy()
     # the ridge, and a little for directions that the data do not determine
-    a[:, diagonal, diagonal] += l2[:, None] * penalised + 1e-12 * np.maximum(1.0, np.trace(h, axis1=1, axis2=2))[:, None]
-    rest = g + l2[:, None] * penalised * beta      # gradient of the quadratic at the step
+    a[:, diagonal, diagonal] += l2 + 1e-12 * np.maximum(1.0, np.trace(h, axis1=1, axis2=2))[:, None]
+    rest = g + l2 * beta      # gradient of the quadratic at the step
     if not l1.any():
         return -np.linalg.solve(a, rest[..., None])[..., 0]
     point = beta.copy()
@@ -83,7 +84,7 @@ def _directions(beta: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray,
         largest = 0.0
         for j in range(p):
             free = point[:, j] - rest[:, j] / a[:, j, j]
-            new = np.sign(free) * np.maximum(0.0, np.abs(free) - l1 * penalised[j] / a[:, j, j])
+            new = np.sign(free) * np.maximum(0.0, np.abs(free) - l1[:, j] / a[:, j, j])
             change = new - point[:, j]
             point[:, j] = new
             rest += a[:, :, j] * change[:, None]
@@ -91,7 +92,7 @@ def _directions(beta: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray,
         if largest <= 1e-13 * max(1.0, np.abs(point).max()):
             break
         if sweep % 25 == 0:
-            _polish(point, rest, a, l1[:, None] * penalised)
+            _polish(point, rest, a, l1)
     return point - beta
 
 
@@ -107,37 +108,13 @@ def _polish(point: np.ndarray, rest: np.ndarray, a: np.ndarray, l1: np.ndarray)
             rest[m] += a[m][:, s] @ move
 
 
-def logit_path(df: DataFrame, features: Sequence[str], label: str, cs: Sequence[float], elastic: float = 0.0,
-               fold: str | None = None) -> Path:
-    """Logistic regressions over inverse strengths ``cs`` (falling penalty)
-    on all rows and, with ``fold`` (values 0 to k - 1), on all rows but those of
-    each fold, which then score the model.
+def _newton(data: DataFrame, model_fold: np.ndarray, size: np.ndarray, reg: np.ndarray, elastic: float,
+            weight: np.ndarray) -> tuple[np.ndarray, int]:
+    """Coefficients (a row per model, intercept last) and passes over ``data`` (x, y, fold).
 
-    Minimises the mean log loss plus ``1 / (c n)`` times ``elastic |b|_1 + (1 -
-    elastic) / 2 |b|^2``, the intercept unpenalised, as a separate fit with
-    ``reg_param_for_c`` does on features taken as they are. Rows with a null
-    feature, label or fold are refused. The driver holds p * p numbers per
-    model; a table without rows is refused.
-    """
-    cs, p = tuple(float(c) for c in cs), len(features) + 1
-    ship_library(df.sparkSession)
-    f = F.col(fold).cast("long") if fold else F.lit(0).cast("long")
-    needed = [F.col(c) for c in (*features, label, *([fold] if fold else []))]
-    data = df.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(label).cast("double").alias("y"),
-                     f.alias("fold"), (sum((c.isNull().cast("int") for c in needed), F.lit(0)) > 0).alias("bad"))
-    data = save_intermediate(data, "path")
-    seen = data.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), (F.max("fold") + 1).alias("k")).first()
-    if seen.bad or not seen.n:
-        raise ValueError(f"{seen.bad} of {seen.n} rows have nulls")
-    data = data.select("x", "y", "fold")
-    k = int(seen.k) if fold else 0
-    sizes = {r.fold: r.n for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    groups = [*range(k), -1]
-    n = np.array([seen.n - (sizes.get(g, 0) if g >= 0 else 0) for g in groups], dtype=float)
-    model_fold = np.repeat(groups, len(cs))
-    size = np.repeat(n, len(cs))
-    reg = 1 / (np.tile(cs, len(groups)) * size)
-    m = len(model_fold)
+    A model leaves out fold ``model_fold`` (-1: none), has ``size`` rows and
+    penalty ``reg`` on its coefficients times ``weight``."""
+    m, p = len(model_fold), weight.shape[1] + 1
     upper = np.triu_indices(p)
     beta = np.zeros((m, p))
     step = np.zeros((m, p))
@@ -147,7 +124,7 @@ def logit_path(df: DataFrame, features: Sequence[str], label: str, cs: Sequence[
     open_ = np.ones(m, bool)
 
     def penalty(b: np.ndarray) -> np.ndarray:
-        w = b[:, :-1]
+        w = weight * b[:, :-1]
         return reg * (elastic * np.abs(w).sum(1) + (1 - elastic) / 2 * (w * w).sum(1))
 
     def evaluate(points: np.ndarray, left_out: np.ndarray):
@@ -187,11 +164,47 @@ def logit_path(df: DataFrame, features: Sequence[str], label: str, cs: Sequence[
         beta[now], held[now], scale[now] = trial[good], objective[now], 1.0
         l1, l2 = reg[now] * elastic, reg[now] * (1 - elastic)
         slope = g[good] / size[now, None]
-        step[now] = _directions(beta[now], slope, h[good] / size[now, None, None], l1, l2)
+        s = weight[now]
+        step[now] = _directions(beta[now], slope, h[good] / size[now, None, None], np.c_[l1[:, None] * s, np.zeros(len(now))],
+                                np.c_[l2[:, None] * s * s, np.zeros(len(now))])
         before, after = beta[now, :-1], beta[now, :-1] + step[now, :-1]
-        promised[now] = ((slope * step[now]).sum(1) + l1 * (np.abs(after).sum(1) - np.abs(before).sum(1))
-                         + l2 * (before * (after - before)).sum(1))
+        promised[now] = ((slope * step[now]).sum(1) + l1 * ((s * np.abs(after)).sum(1) - (s * np.abs(before)).sum(1))
+                         + l2 * (s * s * before * (after - before)).sum(1))
         open_[now] = np.abs(step[now]).max(1) > TOLERANCE * np.maximum(1.0, np.abs(beta[now]).max(1))
+    return beta, passes
+
+
+def logit_path(df: DataFrame, features: Sequence[str], label: str, cs: Sequence[float], elastic: float = 0.0,
+               fold: str | None = None) -> Path:
+    """Logistic regressions over inverse strengths ``cs`` (falling penalty)
+    on all rows and, with ``fold`` (values 0 to k - 1), on all rows but those of
+    each fold, which then score the model.
+
+    Minimises the mean log loss plus ``1 / (c n)`` times ``elastic |b|_1 + (1 -
+    elastic) / 2 |b|^2``, the intercept unpenalised, as a separate fit with
+    ``reg_param_for_c`` does on features taken as they are. Rows with a null
+    feature, label or fold are refused. The driver holds p * p numbers per
+    model; a table without rows is refused.
+    """
+    cs, p = tuple(float(c) for c in cs), len(features) + 1
+    ship_library(df.sparkSession)
+    f = F.col(fold).cast("long") if fold else F.lit(0).cast("long")
+    needed = [F.col(c) for c in (*features, label, *([fold] if fold else []))]
+    data = df.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(label).cast("double").alias("y"),
+                     f.alias("fold"), (sum((c.isNull().cast("int") for c in needed), F.lit(0)) > 0).alias("bad"))
+    data = save_intermediate(data, "path")
+    seen = data.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), (F.max("fold") + 1).alias("k")).first()
+    if seen.bad or not seen.n:
+        raise ValueError(f"{seen.bad} of {seen.n} rows have nulls")
+    data = data.select("x", "y", "fold")
+    k = int(seen.k) if fold else 0
+    sizes = {r.fold: r.n for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    groups = [*range(k), -1]
+    n = np.array([seen.n - (sizes.get(g, 0) if g >= 0 else 0) for g in groups], dtype=float)
+    model_fold = np.repeat(groups, len(cs))
+    size = np.repeat(n, len(cs))
+    reg = 1 / (np.tile(cs, len(groups)) * size)
+    beta, passes = _newton(data, model_fold, size, reg, elastic, np.ones((len(reg), p - 1)))
     accuracy = loss_out = np.zeros((0, len(cs)))
     if k:
         points, folds = beta[:k * len(cs)], model_fold[:k * len(cs)]
@@ -207,6 +220,57 @@ def logit_path(df: DataFrame, features: Sequence[str], label: str, cs: Sequence[
     return Path(cs, tuple(features), beta.reshape(len(groups), len(cs), p), accuracy, loss_out, passes)
 
 
+def held_out_margins(df: DataFrame, features: str, label: str, regs: Sequence[float], elastic: float, fold: str, folds: int,
+                     standardise: bool = True) -> DataFrame | None:
+    """Rows (y, fold, z0, z1, ...): the margin of every row under the logistic
+    regression of each penalty of ``regs`` on all rows but its fold's.
+
+    ``features`` is a vector column. Penalties are those of Spark's estimator: on
+    coefficients times the standard deviation of their feature in the training
+    rows (``standardise``), or as they are. Gives None where that estimator does not
+    simply minimise: rows with missing or infinite values, labels but 0 and 1, no rows
+    in a fold, one class or a constant feature in training rows, more than
+    ``WIDEST`` features, or no convergence.
+    """
+    head = df.select(F.size(vector_to_array(F.col(features)))).first()
+    wide = head[0] if head else None
+    if not wide or not 0 < wide <= WIDEST or min(regs) <= 0:
+        return None
+    ship_library(df.sparkSession)
+    data = df.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"), F.col(fold).cast("long").alias("fold"))
+    ok = (F.size("x") == wide) & F.forall("x", lambda v: F.abs(v) < float("inf")) & F.col("y").isin(0.0, 1.0) & F.col("fold").between(0, folds - 1)
+    data = save_intermediate(data.withColumn("bad", ~F.coalesce(ok, F.lit(False))), "grid")
+    if data.where("bad").take(1):
+        return None
+    data = data.select("x", "y", "fold")
+    moments = [f(F.col("x")[j]).alias(f"{n}{j}") for n, f in (("m", F.avg), ("v", F.var_pop)) for j in range(wide)]
+    seen = {r.fold: r for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), *moments).collect()}
+    if len(seen) < folds:
+        return None
+    n = np.array([seen[i].n for i in range(folds)], dtype=float)
+    pos = np.array([seen[i].pos for i in range(folds)])
+    mean, var = (np.array([[seen[i][f"{c}{j}"] for j in range(wide)] for i in range(folds)]) for c in "mv")
+    size, sds = n.sum() - n, []
+    for i in range(folds):
+        rest = np.arange(folds) != i
+        if not 0 < pos[rest].sum() < size[i]:
+            return None
+        centre = n[rest] @ mean[rest] / size[i]
+        sds.append(np.sqrt(n[rest] @ (var[rest] + (mean[rest] - centre) ** 2) / max(1.0, size[i] - 1)))
+    sds = np.array(sds)
+    if not (sds > 0).all():
+        return None
+    many = len(regs)
+    beta, passes = _newton(data, np.repeat(np.arange(folds), many), np.repeat(size, many), np.tile(np.asarray(regs, float), folds), elastic,
+                           np.repeat(sds if standardise else np.ones_like(sds), many, axis=0))
+    if passes >= PASSES or not np.isfinite(beta).all():
+        return None
+    beta = beta.reshape(folds, many, wide + 1)
+    of = lambda i, j: F.array(*[F.lit(float(b)) for b in beta[:, i, j]])[F.col("fold")]
+    margins = [sum((of(i, j) * F.col("x")[j] for j in range(wide)), of(i, wide)).alias(f"z{i}") for i in range(many)]
+    return data.select("y", *margins, "fold")
+
+
 def path_rows(path: Path) -> list[tuple]:
     """(c_index, c, feature, coef, accuracy, log_loss, best) of the models of all rows."""
     names = (*path.features, "intercept")

@@ -12,30 +12,70 @@ import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import save_intermediate
-from .folds import concurrently
+from .folds import concurrently, written_by_year
+from .paths import held_out_margins
 
 
 def grid_cv(estimator, grid: Mapping, train: DataFrame, fold_col: str, label: str = "label",
             metric: str = "areaUnderROC", parallelism: int = 1, num_folds: int | None = None):
     """M7: grid search with k-fold CV on an explicit fold column (values 0..k-1);
-    returns the CV model."""
+    returns the CV model.
+
+    Strengths of a binary logistic regression advance together, all folds in one pass
+    over the data per step (``paths``); only the best is fitted by itself. Any other
+    grid is a fit per point and fold.
+    """
     if num_folds is None:
         num_folds = int(train.agg(F.max(fold_col)).first()[0]) + 1
     b = ParamGridBuilder()
     for param, values in grid.items():
         b = b.addGrid(param, list(values))
     ev = BinaryClassificationEvaluator(labelCol=label, metricName=metric)
+    if _only_strengths(estimator, grid, label):
+        model = _strengths_cv(estimator, b.build(), train, fold_col, label, metric, parallelism, num_folds)
+        if model is not None:
+            return model
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=b.build(), evaluator=ev, foldCol=fold_col,
                         numFolds=num_folds, parallelism=parallelism)
     return cv.fit(train)
 
 
+def _only_strengths(estimator, grid: Mapping, label: str) -> bool:
+    """Whether ``grid`` varies nothing but the penalty of a plain logistic regression."""
+    if type(estimator) is not LogisticRegression or [p.name for p in grid] != ["regParam"] or estimator.getLabelCol() != label:
+        return False
+    free = {"featuresCol", "labelCol", "predictionCol", "probabilityCol", "rawPredictionCol", "regParam", "elasticNetParam",
+            "standardization", "threshold", "aggregationDepth", "maxBlockSizeInMB"}
+    return {p.name for p in estimator.params if estimator.isSet(p)} <= free and estimator.getRawPredictionCol() == "rawPrediction"
+
+
+def _strengths_cv(estimator, maps: Sequence, train: DataFrame, fold_col: str, label: str, metric: str, parallelism: int, num_folds: int):
+    """The CV model of a grid of strengths, or None where the folds cannot be fitted together."""
+    margins = held_out_margins(train, estimator.getFeaturesCol(), label, [float(m[estimator.regParam]) for m in maps],
+                               estimator.getElasticNetParam(), fold_col, num_folds, estimator.getStandardization())
+    if margins is None:
+        return None
+    scored = written_by_year(margins, "fold")
+
+    def score(i: int, fold: int) -> float:
+        ev = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol=f"z{i}", metricName=metric)
+        return ev.evaluate(scored.where(F.col("fold") == fold).select("y", f"z{i}"))
+
+    jobs = [lambda i=i, f=f: score(i, f) for f in range(num_folds) for i in range(len(maps))]
+    got = np.array(concurrently(train.sparkSession, jobs, parallelism, "grid")).reshape(num_folds, len(maps))
+    means = got.mean(0)
+    best = estimator.fit(train, maps[int(np.argmax(means))])
+    return CrossValidatorModel(best, avgMetrics=means.tolist(), stdMetrics=got.std(0).tolist())
+
+
 # A search space entry: ("float", lo, hi) | ("logfloat", lo, hi) | ("int", lo, hi, step) | ("cat", [values])
 Space = Mapping[str, tuple]
 

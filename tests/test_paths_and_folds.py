@@ -6,9 +6,12 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
-from sparkwright.operators import folds, models, paths, split
+from sparkwright.operators import folds, models, paths, split, tune
 from sparkwright.operators import features as X
 
 
@@ -55,6 +58,47 @@ def test_path_is_a_minimum(points):
     assert (b == 0).any()
 
 
+@pytest.mark.parametrize(("elastic", "standardise"), [(0.0, True), (1.0, True), (0.0, False)])
+def test_a_grid_of_strengths_is_fitted_together(points, monkeypatch, elastic, standardise):
+    """The same scores and best model as a fit per strength and fold, without those fits."""
+    data = X.assemble(["a", "b", "c", "d"]).transform(points)
+    lr = LogisticRegression(labelCol="label", elasticNetParam=elastic, standardization=standardise)
+    regs = [0.2, 0.05, 0.001]
+    ev = BinaryClassificationEvaluator(labelCol="label")
+    each = CrossValidator(estimator=lr, evaluator=ev, numFolds=3, foldCol="fold",
+                          estimatorParamMaps=[{lr.regParam: r} for r in regs]).fit(data)
+    monkeypatch.setattr(tune, "CrossValidator", None)
+    got = tune.grid_cv(lr, {lr.regParam: regs}, data, "fold", parallelism=3)
+    assert got.avgMetrics == pytest.approx(each.avgMetrics, abs=1e-3)
+    assert got.stdMetrics == pytest.approx(each.stdMetrics, abs=1e-3)
+    assert got.bestModel.getRegParam() == regs[int(np.argmax(got.avgMetrics))] == each.bestModel.getRegParam()
+    assert got.bestModel.coefficients.toArray() == pytest.approx(each.bestModel.coefficients.toArray(), abs=1e-3)
+
+
+def test_margins_equal_those_of_a_fit_per_fold(points):
+    data = X.assemble(["a", "b", "c", "d"]).transform(points)
+    for elastic, standardise in ((0.0, True), (0.0, False)):
+        rows = paths.held_out_margins(data, "features", "label", [0.05, 0.002], elastic, "fold", 3, standardise).where("fold = 1").collect()
+        assert len(rows) == data.where("fold = 1").count()
+        for i, reg in enumerate([0.05, 0.002]):
+            m = LogisticRegression(regParam=reg, elasticNetParam=elastic, standardization=standardise).fit(data.where("fold != 1"))
+            want = sorted(r.m for r in m.transform(data.where("fold = 1")).select(vector_to_array("rawPrediction")[1].alias("m")).collect())
+            assert sorted(r[f"z{i}"] for r in rows) == pytest.approx(want, abs=1e-2)
+
+
+def test_margins_are_refused_where_a_fit_does_more(points):
+    data = X.assemble(["a", "b"]).transform(points)
+    margins = lambda df, f="features", regs=(0.1,): paths.held_out_margins(df, f, "label", regs, 0.0, "fold", 3)
+    assert margins(data) is not None
+    assert margins(data.withColumn("label", F.col("label") + F.col("id") % 2)) is None                       # three classes
+    assert margins(data.withColumn("label", F.when(F.col("id") != 3, F.col("label")))) is None               # a null label
+    assert margins(data.withColumn("label", F.when(F.col("fold") == 0, F.col("label")).otherwise(0.0))) is None   # one class without fold 0
+    assert margins(data.withColumn("fold", F.col("fold") * 2)) is None                                       # a fold of no rows, one out of range
+    assert margins(data, regs=(0.1, 0.0)) is None                                                            # no penalty: no minimum where classes part
+    assert margins(X.assemble(["a", "k"]).transform(points.withColumn("k", F.lit(1.0)))) is None             # a constant feature
+    assert margins(data.limit(0)) is None
+
+
 def test_jobs_do_not_grow_with_strengths(points):
     names = ["a", "b"]
     few = paths.logit_path(points, names, "label", [0.1, 1.0], 0.0, "fold").passes
