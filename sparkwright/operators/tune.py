@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import save_intermediate
+from . import boosting
 from .folds import concurrently, written_by_year
 from .paths import held_out_margins
 
@@ -136,8 +137,10 @@ def halving_search(build: Callable[[dict], object], space: Space, train: DataFra
     All ``n_trials`` draws run with ``least`` of the resource (boosting rounds) on one
     fold; the best ``1 / eta`` of a rung go on with ``eta`` times as much, on
     another fold, until ``eta`` or fewer are left or ``most`` is reached. The
-    last rung is scored on ``last_folds`` folds (default: all). Fits of a rung are
-    independent jobs, ``width`` at a time. Ties go to the earlier draw.
+    last rung is scored on ``last_folds`` folds (default: all). Ties go to the earlier draw.
+
+    Plain boosted trees of a rung advance together, one pass over the data per round and tree level
+    (``boosting``). Fits of any other learner are independent jobs, ``width`` at a time.
 
     Returns (best params, best mean score, rows), a row per draw and rung:
     (trial, rung, resource, folds, mean score, params).
@@ -147,19 +150,34 @@ def halving_search(build: Callable[[dict], object], space: Space, train: DataFra
     ev = BinaryClassificationEvaluator(labelCol=label, metricName=metric)
     data = save_intermediate(train, "search")
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
+    trees = _boosted_together([build({**d, resource: least}) for d in draws], data, fold_col, label)
     # A fit is many short jobs: no more tasks than the rows are worth.
-    data = data.coalesce(max(1, data.count() // 20_000))
+    n_rows = data.count()
+    data = data.coalesce(max(1, n_rows // 20_000))
 
     def score(trial: int, amount: int, fold: int) -> float:
         model = build({**draws[trial], resource: amount}).fit(data.where(F.col(fold_col) != fold))
         return ev.evaluate(model.transform(data.where(F.col(fold_col) == fold)))
 
+    def scores(jobs: Sequence[tuple[int, int]], amount: int) -> list[float]:
+        models = [boosting.settings(build({**draws[t], resource: amount}), label) for t, _ in jobs] if trees else [None]
+        if any(m is None or (m.bins, m.seed) != (trees.bins, trees.seed) for m in models):
+            return concurrently(train.sparkSession, [lambda t=t, f=f: score(t, amount, f) for t, f in jobs], width, "search")
+        at = {t: i for i, t in enumerate(dict.fromkeys(t for t, _ in jobs))}
+        scored = trees.scored([(m, f) for m, (_, f) in zip(models, jobs, strict=True)], [at[t] for t, _ in jobs])
+
+        def one(trial: int, fold: int) -> float:
+            z = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol=f"z{at[trial]}", metricName=metric)
+            return z.evaluate(scored.where(F.col("fold") == fold).select("y", f"z{at[trial]}").coalesce(max(1, n_rows // 20_000)))
+
+        return concurrently(train.sparkSession, [lambda t=t, f=f: one(t, f) for t, f in jobs], width, "search")
+
     alive, amount, rung, rows = list(range(n_trials)), least, 0, []
     while True:
         last = len(alive) <= eta or amount >= most
         use = folds[:last_folds] if last else [folds[rung % len(folds)]]
         jobs = [(t, f) for t in alive for f in use]
-        got = concurrently(train.sparkSession, [lambda t=t, f=f: score(t, min(amount, most), f) for t, f in jobs], width, "search")
+        got = scores(jobs, min(amount, most))
         means = {t: sum(s for (x, _), s in zip(jobs, got) if x == t) / len(use) for t in alive}
         rows += [(t, rung, min(amount, most), len(use), means[t], draws[t]) for t in alive]
         ranked = sorted(alive, key=lambda t: (-means[t], t))
@@ -169,6 +187,14 @@ def halving_search(build: Callable[[dict], object], space: Space, train: DataFra
         amount, rung = amount * eta, rung + 1
 
 
+def _boosted_together(estimators: Sequence, data: DataFrame, fold_col: str, label: str) -> boosting.Together | None:
+    """The rows to fit ``estimators`` on together, or None where they are not all plain boosted trees."""
+    found = [boosting.settings(e, label) for e in estimators]
+    if None in found or len({(s.bins, s.seed) for s in found}) > 1 or len({e.getFeaturesCol() for e in estimators}) > 1:
+        return None
+    return boosting.together(data, estimators[0].getFeaturesCol(), label, fold_col, found[0].bins, found[0].seed)
+
+
 def c_path(n_values: int = 10, lo: float = 1e-4, hi: float = 1e4) -> list[float]:
     """Log-spaced inverse-strength values (the ``Cs=10`` path)."""
     return [math.exp(math.log(lo) + i * (math.log(hi) - math.log(lo)) / (n_values - 1)) for i in range(n_values)]
