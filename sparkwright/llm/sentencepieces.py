@@ -9,6 +9,7 @@ the original implementation.
 from __future__ import annotations
 
 import functools
+import operator
 import os
 import re
 import struct
@@ -145,11 +146,12 @@ class Codec:
     """Encoder and decoder of one model file, checked against the original library.
 
     Where words can be encoded one by one, each distinct word of a call is
-    encoded once; the ids of at most twice ``CACHE_WORDS`` words are kept for
-    the next calls. A piece that can be joined from several pairs has merges
-    of equal score, whose order the two libraries resolve differently. So
-    every distinct word is compared, and every text that is not encoded
-    by words; the original's ids stand where they differ.
+    encoded, and its ids decoded, once; what was found for at most twice
+    ``CACHE_WORDS`` words is kept for the next calls. A piece that can be
+    joined from several pairs has merges of equal score, whose order the two
+    libraries resolve differently. So every distinct word is compared, and
+    every text that is not encoded by words; the original's ids stand where
+    they differ.
     """
 
     def __init__(self, path: str, threads: int = 2):
@@ -159,51 +161,73 @@ class Codec:
         with open(path, "rb") as f:
             spec = parse(f.read())
         self.tokenizer = build(spec)
-        self.by_word = separable(spec) and spec.dummy_prefix and not spec.charsmap and not spec.squeeze_spaces
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in spec.pieces])
+        self.by_word = (separable(spec) and spec.dummy_prefix and not spec.charsmap and not spec.squeeze_spaces
+                        and any(p == MARK for p, _, _ in spec.pieces))
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
         self.differences = 0
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words as long texts, in parallel; the word each id belongs to tells them apart again."""
+        """Encode words as long texts, in parallel, and decode their ids.
+
+        The first id of a word, and no other, has a mark, which tells the words apart again. The original
+        encodes the same long texts, and each word by itself where any id differs.
+        """
         parts = [words[at:at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
-        for part, e in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
-            raw = np.asarray(e.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.asarray(e.word_ids), minlength=len(part))) * 4
-            at = 0
-            for word, end, want in zip(part, ends.tolist(), self.original.encode(part)):
-                ids = np.asarray(want, "<u4").tobytes()
-                self.differences += ids != raw[at:end]
-                self.new[word] = ids
-                at = end
-
-    def _by_word(self, texts: list[str]) -> list[np.ndarray]:
+        joined = [" ".join(p) for p in parts]
+        wanted = self.original.encode(joined)
+        found = []
+        for part, want, e in zip(parts, wanted, self.tokenizer.encode_batch(joined, add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            raw, at = ids.tobytes(), (np.flatnonzero(self.marked[ids]) * 4).tolist()
+            own = [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+            if len(own) != len(part) or not np.array_equal(ids, want):
+                right = [np.asarray(x, "<u4").tobytes() for x in self.original.encode(part)]
+                self.differences += sum(map(operator.ne, own, right))
+                own = right
+            found.append(own)
+        texts = self.decode([np.frombuffer(b"".join(own), "<u4") for own in found])
+        for part, own, text in zip(parts, found, texts):
+            back = text.split(" ")
+            if len(back) != len(part):  # some word's ids hold spaces of their own
+                back = self.decode([np.frombuffer(x, "<u4") for x in own])
+            self.new.update(zip(part, zip(own, back, strict=True), strict=True))
+
+    def _by_word(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         words = [t.split(" ") for t in texts]
         missing = set().union(*words).difference(self.new)
         known = missing.intersection(self.old)
         self.new.update((w, self.old[w]) for w in known)
         self._learn(list(missing - known))
         new = self.new
-        out = [np.frombuffer(b"".join([new[w] for w in ws]), "<u4") for ws in words]
+        out = []
+        for ws in words:
+            found = [new[w] for w in ws]
+            out.append((np.frombuffer(b"".join([f[0] for f in found]), "<u4"), " ".join([f[1] for f in found])))
         if len(new) > CACHE_WORDS:
             self.old, self.new = new, {}
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def round_trip(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        """Ids of each text, and what they decode to."""
         odd = [not t or "  " in t or MARK in t or t[0] == " " or t[-1] == " " for t in texts]
         plain = [i for i, o in enumerate(odd) if self.by_word and not o]
         out = dict(zip(plain, self._by_word([texts[i] for i in plain]))) if plain else {}
         rest = [i for i in range(len(texts)) if i not in out]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.asarray(e.ids, "<u4")
-        for i, ids in zip(rest, self.original.encode([texts[i] for i in rest])):
-            ids = np.asarray(ids, "<u4")
-            if not np.array_equal(ids, out[i]):
-                self.differences += 1
-                out[i] = ids
+        some = [texts[i] for i in rest]
+        found = []
+        for e, want in zip(self.tokenizer.encode_batch_fast(some, add_special_tokens=False), self.original.encode(some)):
+            ids, want = np.asarray(e.ids, "<u4"), np.asarray(want, "<u4")
+            self.differences += not np.array_equal(ids, want)
+            found.append(want)
+        out.update(zip(rest, zip(found, self.decode(found))))
         return [out[i] for i in range(len(texts))]
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [ids for ids, _ in self.round_trip(texts)]
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of ids, by the decoder of ``tokenizers``."""
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=True)
@@ -230,12 +254,12 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in text_slices(texts, CHARS_AT_ONCE):
-                ids = c.encode(texts[a:b])
+                ids, decoded = zip(*c.round_trip(texts[a:b]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()),
                      pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                      pa.array([x.astype("int32") for x in ids], pa.list_(pa.int32())),
-                     pa.array(c.decode(ids), pa.string())],
+                     pa.array(decoded, pa.string())],
                     names=["doc_id", "n_tokens", "ids_crc32", "ids", "decoded"])
 
     schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_crc32 long, ids array<int>, decoded string"

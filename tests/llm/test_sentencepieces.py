@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from llm_support import clash, docs, no_docs, sf  # noqa: F401
@@ -92,3 +93,60 @@ def test_every_word_is_compared(original):
     c.tokenizer = Wrong(c.tokenizer)
     assert [x.tolist() for x in c.encode(texts)] == [original.encode(t) for t in texts]
     assert c.differences == 1
+
+
+class Counting:
+    """A tokenizer that counts the ids it decodes."""
+
+    def __init__(self, t, change=lambda text: text):
+        self.t, self.change, self.ids = t, change, 0
+
+    def __getattr__(self, name):
+        return getattr(self.t, name)
+
+    def decode_batch(self, ids, **k):
+        self.ids += sum(map(len, ids))
+        return [self.change(x) for x in self.t.decode_batch(ids, **k)]
+
+
+def test_every_word_is_decoded_once(spark, original, monkeypatch):
+    """The rows of a task decode the ids of each distinct word, not of each text."""
+    texts = [f"the river {w} runs\nto the sea" for w in ("日本", "😀é", "a\x00b", "old")] * 50
+    c = S.Codec(PATH)
+    c.tokenizer = Counting(c.tokenizer)
+    monkeypatch.setattr(S, "codec", lambda path: c)
+    monkeypatch.setattr(S, "ship", lambda spark: None)
+
+    class Rows:  # stands for a DataFrame whose one partition is run here
+        sparkSession, schema = spark, spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):
+            return list(work(iter([pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})])))
+
+    rows = [r for b in S.encode(Rows(), PATH) for r in b.to_pylist()]
+    assert [r["ids"] for r in rows] == [original.encode(t) for t in texts] and [r["decoded"] for r in rows] == texts
+    words = {w for t in texts for w in t.split(" ")}
+    assert c.tokenizer.ids == sum(len(original.encode(w)) for w in words)
+
+
+@pytest.mark.parametrize(("at_once", "kept"), [(1, 0), (3, 5), (4096, 300_000)])
+def test_words_in_any_portions(original, monkeypatch, at_once, kept):
+    """Portions and kept words of any size give the ids and texts of whole texts."""
+    monkeypatch.setattr(S, "WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(S, "CACHE_WORDS", kept)
+    texts = [*ODD, "one\ntwo\n\nthree", "\xa0x \u3000 y", "été über 日本語\nテキスト 👩\u200d🚀", "x" * 300 + " y"]
+    c = S.Codec(PATH)
+    for part in (texts, texts[::-1], texts[3:9], texts):
+        found = c.round_trip(part)
+        assert [ids.tolist() for ids, _ in found] == [original.encode(t) for t in part]
+        assert [back for _, back in found] == c.decode([ids for ids, _ in found]) == [original.decode(original.encode(t)) for t in part]
+
+
+def test_words_that_decode_to_spaces():
+    """Words are told apart also where the ids of one decode to spaces."""
+    c = S.Codec(PATH)
+    c.tokenizer = Counting(c.tokenizer, lambda text: text.replace("~", " "))
+    assert [back for _, back in c.round_trip(["one a~b two", "two one"])] == ["one a b two", "two one"]
