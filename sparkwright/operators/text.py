@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens as _tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_library
+from . import lda
 
 # A small English stop-word list used by X5 (this repo's own
 # list; pass ``words=`` to use another, e.g. StopWordsRemover's default).
@@ -64,8 +65,8 @@ def remove_stopwords(tok: str | Column, words: Sequence[str] = STOPWORDS, case_s
     """Drop stop words (at most ``MAX_LITERAL``) from a token array, case-insensitive by default."""
     t = F.col(tok) if isinstance(tok, str) else tok
     ws = [w if case_sensitive else w.lower() for w in _bounded(words)]
-    arr = F.array(*[F.lit(w) for w in ws])
-    return F.filter(t, lambda x: ~F.array_contains(arr, x if case_sensitive else F.lower(x)))
+    # isin is a look-up in a set, array_contains goes through the words; both drop null tokens
+    return F.filter(t, lambda x: ~(x if case_sensitive else F.lower(x)).isin(ws) if ws else x.isNotNull())
 
 
 def remove_words(df: DataFrame, key: str, tok: str, words: DataFrame, out: str = "clean") -> DataFrame:
@@ -287,14 +288,23 @@ def concat_vectors(*cols: str | Column) -> Column:
 # ----------------------------------------------------- Spark ML estimators
 
 def count_vectors(df: DataFrame, col: str, out: str = "tf", vocab_size: int = 2**31 - 1, min_df: float = 1.0,
-                  max_df: float | None = None, min_tf: float = 1.0):
+                  max_df: float | None = None, min_tf: float = 1.0, wide: bool = False):
     """Fit ``CountVectorizer``; returns (model, transformed).
 
     No term is cut off unless ``vocab_size`` is given; the fitted vocabulary
-    is held by the driver, so for one that has no bound use ``term_counts`` or
-    ``hash_tf``. ``min_df``/``max_df`` below 1 are document shares, otherwise counts
-    (``max_df=None`` keeps Spark's unbounded default).
+    is held by the driver, so for one that has no bound use ``wide``,
+    ``term_counts`` or ``hash_tf``. ``min_df``/``max_df`` below 1 are document shares, otherwise
+    counts (``max_df=None`` keeps Spark's unbounded default).
+
+    ``wide`` counts every term and gathers no vocabulary: ``out`` holds 64-bit hashes
+    of the terms (``indices``) and their counts (``values``), for ``topics``.
     """
+    if wide:
+        if (vocab_size, min_df, max_df, min_tf) != (2**31 - 1, 1.0, None, 1.0):
+            raise ValueError("the wide form counts every term")
+        ship_library(df.sparkSession)
+        count = F.arrow_udf(lda.counted, lda.COUNTS)
+        return lda.Terms(df, col), df.withColumn(out, count(F.transform(col, lambda w: F.xxhash64(w))))
     from pyspark.ml.feature import CountVectorizer
     cv = CountVectorizer(inputCol=col, outputCol=out, vocabSize=vocab_size, minDF=min_df, minTF=min_tf)
     if max_df is not None:
@@ -358,8 +368,11 @@ def topics(df: DataFrame, col: str, k: int = 100, max_iter: int = 10, seed: int
 
     Every iteration reads all of ``df`` and each of its tasks returns a sum per
     term and topic, so the vectors are kept by a checkpoint, in no more
-    parts than there are cores.
+    parts than there are cores. Vectors of the wide form (``count_vectors``) are
+    fitted by the same steps without a task that holds all terms (``lda.py``).
     """
+    if "indices" in getattr(df.schema[col].dataType, "names", ()):
+        return lda.fit(df, col, k, max_iter, seed, out)
     from pyspark.ml.clustering import LDA
     cores = df.sparkSession.sparkContext.defaultParallelism
     df = cut_lineage(df.coalesce(cores))
@@ -367,8 +380,16 @@ def topics(df: DataFrame, col: str, k: int = 100, max_iter: int = 10, seed: int
     return m, m.transform(df)
 
 
-def topic_terms(model, vocabulary: Sequence[str], spark, n: int | None = 10) -> DataFrame:
-    """X11: (topic, rank, term, weight), the ``n`` strongest terms of each topic (``None``: all), weights of a topic's terms sum to 1."""
+def topic_terms(model, vocabulary: Sequence[str] | lda.Terms, spark, n: int | None = 10) -> DataFrame:
+    """X11: (topic, rank, term, weight), the ``n`` strongest terms of each topic (``None``: all), weights of a topic's terms sum to 1.
+
+    A model of the wide form takes the count vectors' model as ``vocabulary``; ties go by hash.
+    """
+    if isinstance(vocabulary, lda.Terms):
+        top = model.strongest(n)
+        ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "at")))
+        words = vocabulary.table.join(top.select("at").distinct(), "at", "left_semi").groupBy("at").agg(F.min("term").alias("term"))
+        return ranked.join(words, "at").select("topic", "rank", "term", "weight")
     words = spark.createDataFrame(list(enumerate(vocabulary)), "at int, term string")
     top = model.describeTopics(n or len(vocabulary))
     pairs = top.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
