@@ -35,7 +35,7 @@ from ..session import save_intermediate, ship_library
 # Defaults of Spark's estimator.
 OFFSET, DECAY, SHARE, SHAPE, CHANGE = 1024.0, 0.51, 0.05, 100.0, 1e-3
 DEAD = 1e-20            # a topic below this share of a document can't come back: weights in a term differ far less
-DOCS_PER_BLOCK, BLOCKS_PER_PART = 5_000, 8   # where that gives more blocks and parts than there are cores
+DOCS_PER_BLOCK, BLOCKS_PER_PART = 10_000, 4   # where that gives more blocks and parts than there are cores
 TOGETHER, FEWER = 32, 0.8   # documents whose topics are updated by one call, share of the topics left at which the others go
 LONG = 10_000           # tokens from which a document is fitted in double precision
 CHUNK, SLICE = 2_000, 500   # term rows that one call computes, documents whose terms' rows are held at once
@@ -295,18 +295,17 @@ class WideTopics:
                 out += quantiles()[draws(names[j:j + CHUNK], k, seed)].sum(0, dtype=float)
             return out, len(names)
 
-        self.state = _kept(self._asked(None).map(first))
+        self.state = _kept(self._asked(self.blocks.map(lambda block: block[-1])).map(first))
         sums = self.state.map(total).collect()
         self.sums, self.n_terms = sum(x for x, _ in sums), sum(m for _, m in sums)
 
-    def _asked(self, i):
-        """For each part, the terms of the blocks' documents of the mini-batch ``i`` (None: of all documents)."""
-        parts, seed = self.parts, self.seed + 2
-        names = lambda b, it: (x for block in it for x in _by_part(b, block[-1] if i is None else _batch(block, seed + i)[0], parts))
-        return _gathered(self.blocks.mapPartitionsWithIndex(names), parts)
+    def _asked(self, names):
+        """For each part, the terms that the blocks name."""
+        parts = self.parts
+        return _gathered(names.mapPartitionsWithIndex(lambda b, it: (x for own in it for x in _by_part(b, own, parts))), parts)
 
-    def _answers(self, i):
-        """For each block, the gains of the terms that it asked for: positions of the terms, topics, values."""
+    def _answers(self, names):
+        """For each block, the gains of the terms that it names: positions of the terms, topics, values."""
         def answer(p, it):
             for (names, ends, topic, gain), asked in it:
                 for b, at, wanted in asked:
@@ -315,7 +314,7 @@ class WideTopics:
                     sizes = np.diff(to)
                     yield b, (p, at[sizes > 0], sizes[sizes > 0].astype(np.uint16), topic[entries], gain[entries])
 
-        return _gathered(_beside(self.state, self._asked(i)).mapPartitionsWithIndex(answer), self.blocks.getNumPartitions())
+        return _gathered(_beside(self.state, self._asked(names)).mapPartitionsWithIndex(answer), self.blocks.getNumPartitions())
 
     def _rows(self):
         """A function of term names and their gains: exp of the expected log of each topic's share in each term."""
@@ -360,8 +359,7 @@ class WideTopics:
         least = LEAST * scale / (rho * grown)
 
         def fitted(b, it):
-            for block, answers in it:
-                names, ends, at, counts, times = _batch(block, seed)
+            for (names, ends, at, counts, times), answers in it:
                 total, logs, found = np.zeros(k), np.zeros(k), []
                 for lo, hi, own, local, beta, (gamma, theta, ratio) in fitter(names, ends, at, counts, answers):
                     doc = np.repeat(np.arange(hi - lo), np.diff(ends[lo:hi + 1]))
@@ -385,10 +383,12 @@ class WideTopics:
                         first = np.flatnonzero(np.diff(term[e], prepend=-1))
                         yield p, (b, names[term[e[first]]], np.diff(first, append=len(e)).astype(np.uint16), topic[e], add[e])
 
-        answers = self._answers(i)
-        sent = _beside(self.blocks, answers).mapPartitionsWithIndex(fitted).persist(StorageLevel.MEMORY_AND_DISK)
+        batch = _kept(self.blocks.map(lambda block: _batch(block, seed)))
+        answers = self._answers(batch.map(lambda x: x[0]))
+        sent = _beside(batch, answers).mapPartitionsWithIndex(fitted).persist(StorageLevel.MEMORY_AND_DISK)
         told = sorted(sent.filter(lambda x: x[0] < 0).values().collect(), key=lambda x: x[0])
         _forget(answers)
+        batch.unpersist()
         total, logs, n = (sum(x[j] for x in told) for j in (1, 2, 3))
         if n:
             self._settle()
@@ -451,7 +451,7 @@ class WideTopics:
                         ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * k)
                         yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(ends, pa.array(share[j * k:(j + len(own)) * k]))], ["_row", "_share"])
 
-        got = _beside(self.blocks, self._answers(None)).map(mixed)
+        got = _beside(self.blocks, self._answers(self.blocks.map(lambda block: block[-1]))).map(mixed)
         table = self.docs.sparkSession.createDataFrame(got, "row binary, share binary").mapInArrow(unpacked, "_row long, _share array<double>")
         return self.docs.join(table, "_row").withColumn(out, array_to_vector("_share")).drop("_row", "_share")
 
@@ -482,6 +482,6 @@ class WideTopics:
 
 def fit(df: DataFrame, col: str, k: int, max_iter: int, seed: int, out: str):
     """(model, ``df`` with its topics): the count vectors are written once and read from the shared folder."""
-    docs = save_intermediate(df.withColumn("_row", F.monotonically_increasing_id()), "topic-docs", maxRecordsPerFile=DOCS_PER_BLOCK // 2)
+    docs = save_intermediate(df.withColumn("_row", F.monotonically_increasing_id()), "topic-docs", maxRecordsPerFile=DOCS_PER_BLOCK // 4)
     model = WideTopics(docs, col, k, max_iter, seed)
     return model, model.transform(out)
